@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from .lets import let
 from .scalars import col, count_reasons, exposure_status, finite, normalize_reason
 
 MIN_ISO = 300
@@ -34,16 +35,17 @@ def array_mean(v: Column) -> Column:
 
 
 def array_std(v: Column) -> Column:
-    from ..operators.chunks import let
     return let(array_mean(v), lambda m: F.sqrt(
         F.aggregate(v, F.lit(0.0), lambda a, x: a + (x - m) * (x - m)) / F.size(v)))
 
 
 def window_reason(arr, ibi, fps=30) -> Column:
     """Same test on an array of ``(t, v)`` samples."""
-    v = F.transform(col(arr), lambda s: s["v"])
-    return F.when(F.size(v) > 0, window_reason_of(F.size(v), F.array_max(v) - F.array_min(v), array_std(v), ibi, fps)
-                  ).otherwise("insufficient_window")
+    def judge(v: Column) -> Column:
+        return F.when(F.size(v) > 0, let(array_std(v), lambda sd: window_reason_of(
+            F.size(v), F.array_max(v) - F.array_min(v), sd, ibi, fps))).otherwise("insufficient_window")
+
+    return let(F.transform(col(arr), lambda s: s["v"]), judge)
 
 
 def relttp_reason(v2p, p2v) -> Column:

@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import Column, functions as F
 
-from ..operators.chunks import let
+from .lets import let
 from .quality import array_mean, array_std
 from .scalars import col
 
@@ -27,21 +27,25 @@ def _sum(v: Column) -> Column:
 
 def beat_stats(v) -> Column:
     """struct<n, min, max, range, std> of one beat window."""
-    v = col(v)
+    return let(col(v), _stats)
+
+
+def _stats(v: Column) -> Column:
     return F.struct(F.size(v).alias("n"), F.array_min(v).alias("min"), F.array_max(v).alias("max"),
                     (F.array_max(v) - F.array_min(v)).alias("range"), array_std(v).alias("std"))
 
 
 def centered_ma(v, k) -> Column:
     """Centred moving mean of odd width k, cut at both ends."""
-    v, half = col(v), F.floor(col(k) / 2).cast("int")
-    n = F.size(v)
+    half = F.floor(col(k) / 2).cast("int")
 
-    def around(x: Column, i: Column) -> Column:
-        lo, hi = F.greatest(F.lit(0), i - half), F.least(n - 1, i + half)
-        return _sum(F.slice(v, lo + 1, hi - lo + 1)) / (hi - lo + 1)
+    def smooth(v: Column) -> Column:
+        def around(x: Column, i: Column) -> Column:
+            lo, hi = F.greatest(F.lit(0), i - half), F.least(F.size(v) - 1, i + half)
+            return _sum(F.slice(v, lo + 1, hi - lo + 1)) / (hi - lo + 1)
+        return F.transform(v, around)
 
-    return F.transform(v, around)
+    return let(col(v), smooth)
 
 
 def smoothing_width(n: Column) -> Column:
@@ -50,8 +54,7 @@ def smoothing_width(n: Column) -> Column:
 
 def _first_max(v: Column, upto: Column) -> Column:
     """Zero-based index of the first maximum among the first ``upto`` values."""
-    head = F.slice(v, 1, upto)
-    return (F.array_position(head, F.array_max(head)) - 1).cast("int")
+    return let(F.slice(v, 1, upto), lambda head: (F.array_position(head, F.array_max(head)) - 1).cast("int"))
 
 
 def search_head(n: Column) -> Column:
@@ -69,8 +72,8 @@ def systole_ratio(arr, ibi) -> Column:
         def with_peak(p: Column) -> Column:
             end = F.least(n - 1, F.floor(n * F.lit(0.8)).cast("int"))
             part = F.slice(sm, p + 1, end - p + 1)
-            valley = p + (F.array_position(part, F.array_min(part)) - 1).cast("int")
-            span = (F.get(arr, valley)["t"] - F.get(arr, p)["t"]).cast("double")
+            valley = let(part, lambda x: p + (F.array_position(x, F.array_min(x)) - 1).cast("int"))
+            span = let(valley, lambda k: (F.get(arr, k)["t"] - F.get(arr, p)["t"]).cast("double"))
 
             def ratios(d: Column) -> Column:
                 s, dd = (ibi - d) / ibi, d / ibi
@@ -87,15 +90,18 @@ def systole_ratio(arr, ibi) -> Column:
 
 def resample(v, n: int = FIT_POINTS) -> Column:
     """Linear interpolation to n points, end points kept."""
-    v = col(v)
-    last = F.size(v) - 1
+    grid = F.sequence(F.lit(0), F.lit(n - 1))
 
-    def at(i: Column) -> Column:
-        return let((i * last) / float(n - 1), lambda p: let(F.floor(p).cast("int"), lambda k: (
-            F.get(v, k) * (F.lit(1.0) - (p - k)) + F.get(v, F.least(k + 1, last)) * (p - k))))
+    def spread(v: Column) -> Column:
+        last = F.size(v) - 1
 
-    return F.when(F.size(v) > 0, F.transform(F.sequence(F.lit(0), F.lit(n - 1)), at)).otherwise(
-        F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.lit(0.0)))
+        def at(i: Column) -> Column:
+            return let((i * last) / float(n - 1), lambda p: let(F.floor(p).cast("int"), lambda k: (
+                F.get(v, k) * (F.lit(1.0) - (p - k)) + F.get(v, F.least(k + 1, last)) * (p - k))))
+
+        return F.when(F.size(v) > 0, F.transform(grid, at)).otherwise(F.transform(grid, lambda i: F.lit(0.0)))
+
+    return let(col(v), spread)
 
 
 def _harmonic(v: Column) -> Column:
@@ -109,11 +115,11 @@ def _fit(v: Column, mean: Column, ab: Column, with_rmse: bool) -> Column:
     amp = F.sqrt(ab["a"] * ab["a"] + ab["b"] * ab["b"])
     small = amp < TINY
     raw = F.atan2(ab["b"], ab["a"])
-    phi = F.when(raw < 0, raw + TWO_PI).otherwise(raw)
+    phi = F.when(raw < 0, raw + F.lit(TWO_PI)).otherwise(raw)
     n = F.size(v)
-    err = lambda x, i: x - (mean + ab["a"] * F.sin(F.lit(TWO_PI) * i / n)
-                            + ab["b"] * F.cos(F.lit(TWO_PI) * i / n))
-    rmse = F.sqrt(_sum(F.transform(v, lambda x, i: err(x, i) * err(x, i))) / n)
+    err = lambda x, i: let(F.lit(TWO_PI) * i / n, lambda g: x - (
+        mean + ab["a"] * F.sin(g) + ab["b"] * F.cos(g)))
+    rmse = F.sqrt(_sum(F.transform(v, lambda x, i: let(err(x, i), lambda d: d * d))) / n)
     zero = F.lit(0.0)
     fields = [mean.alias("mean"), ab["a"].alias("a"), ab["b"].alias("b"), F.when(small, zero).otherwise(amp).alias("amp"),
               F.when(small, zero).otherwise(phi).alias("phi"),
@@ -126,15 +132,17 @@ def _fit(v: Column, mean: Column, ab: Column, with_rmse: bool) -> Column:
 
 def sine_fit_raw(v) -> Column:
     """First harmonic of the mean-free samples: mean, a, b, amp, phi, sin_phi, cos_phi, rmse."""
-    v = col(v)
-    return let(array_mean(v), lambda m: let(_harmonic(F.transform(v, lambda x: x - m)),
-                                            lambda ab: _fit(v, m, ab, True)))
+    def fit(v: Column) -> Column:
+        return let(array_mean(v), lambda m: let(let(F.transform(v, lambda x: x - m), _harmonic),
+                                                lambda ab: _fit(v, m, ab, True)))
+    return let(col(v), fit)
 
 
 def sine_fit_resampled(v, n: int = FIT_POINTS) -> Column:
     """First harmonic of the resampled beat, mean kept in."""
-    v = col(v)
-    return let(_harmonic(resample(v, n)), lambda ab: _fit(v, array_mean(v), ab, False))
+    def fit(v: Column) -> Column:
+        return let(array_mean(v), lambda m: let(let(resample(v, n), _harmonic), lambda ab: _fit(v, m, ab, False)))
+    return let(col(v), fit)
 
 
 def basis(phase, systole, diastole) -> Column:
@@ -152,18 +160,21 @@ def ideal_curve(position, mean, amp, systole, diastole) -> Column:
 
 def distortion(v, amp, systole, diastole) -> Column:
     """RMS distance of the samples from mean + amp * basis; 0 for a flat fit."""
-    v, amp = col(v), col(amp)
-    n = F.size(v)
-    rms = let(array_mean(v), lambda m: F.sqrt(_sum(F.transform(v, lambda x, i: F.pow(
-        x - ideal_curve(i.cast("double") / n, m, amp, systole, diastole), F.lit(2.0)))) / n))
-    return F.when(amp < TINY, 0.0).otherwise(rms)
+    amp = col(amp)
+
+    def rms(v: Column) -> Column:
+        n = F.size(v)
+        return let(array_mean(v), lambda m: F.sqrt(_sum(F.transform(v, lambda x, i: let(
+            x - ideal_curve(i.cast("double") / n, m, amp, systole, diastole), lambda d: d * d))) / n))
+
+    return F.when(amp < TINY, 0.0).otherwise(let(col(v), rms))
 
 
 def peak_phase(arr, ibi) -> Column:
     """Time of the raw maximum in the first fifth, wrapped into [0, ibi)."""
     arr, ibi = col(arr), col(ibi)
-    v = values(arr)
-    at = F.get(arr, _first_max(v, search_head(F.size(v))))["t"] - F.get(arr, F.lit(0))["t"]
+    first = let(values(arr), lambda v: _first_max(v, search_head(F.size(v))))
+    at = F.get(arr, first)["t"] - F.get(arr, F.lit(0))["t"]
     return F.when(F.size(arr) < 3, 0.0).otherwise(F.pmod(at.cast("double"), ibi))
 
 
@@ -173,9 +184,17 @@ def phase_offset(peak_time, ibi) -> Column:
 
 def array_corr(a: Column, b: Column) -> Column:
     """Pearson correlation of two equally long arrays; null when one is constant."""
+    def bound(r: Column) -> Column:
+        return _corr(r["x"], r["y"])
+
+    return let(F.struct(a.alias("x"), b.alias("y")), bound)
+
+
+def _corr(a: Column, b: Column) -> Column:
     def with_means(m: Column) -> Column:
         s = lambda f: _sum(F.zip_with(a, b, f))
         cov = s(lambda x, y: (x - m["a"]) * (y - m["b"]))
         va, vb = s(lambda x, y: (x - m["a"]) * (x - m["a"])), s(lambda x, y: (y - m["b"]) * (y - m["b"]))
         return let(va * vb, lambda d: F.when(d > 0, cov / F.sqrt(d)))
+
     return let(F.struct(array_mean(a).alias("a"), array_mean(b).alias("b")), with_means)

@@ -121,16 +121,16 @@ def quantiles(rows: DataFrame, cols: Sequence[str], probs: Sequence[float], key:
     hi = F.col("_b") + F.col("_cum") - 1  # zero-based positions [lo, hi] hold this value
     lo = hi - F.col("n") + 1
     outs = []
-    for p in probs:
+    for i, p in enumerate(probs):
         pos = F.lit(p) * (F.col("total") - 1)
         f, c = F.floor(pos), F.ceil(pos)
-        outs += [F.max(F.when((lo <= f) & (f <= hi), F.col("x"))).alias(f"_f{p}"),
-                 F.max(F.when((lo <= c) & (c <= hi), F.col("x"))).alias(f"_c{p}")]
+        outs += [F.max(F.when((lo <= f) & (f <= hi), F.col("x"))).alias(f"_f{i}"),
+                 F.max(F.when((lo <= c) & (c <= hi), F.col("x"))).alias(f"_c{i}")]
     got = ranked.groupBy(*gk).agg(F.max("total").alias("total"), *outs)
     frac = lambda p: F.lit(p) * (F.col("total") - 1) - F.floor(F.lit(p) * (F.col("total") - 1))
-    value = lambda p: (F.col(f"_f{p}") * (1.0 - frac(p)) + F.col(f"_c{p}") * frac(p))
-    return got.select(*gk, F.explode(F.array(*[F.struct(F.lit(float(p)).alias("q"), value(p).alias("value"))
-                                               for p in probs])).alias("r")).select(*gk, "r.*")
+    value = lambda i, p: F.col(f"_f{i}") * (1.0 - frac(p)) + F.col(f"_c{i}") * frac(p)
+    return got.select(*gk, F.explode(F.array(*[F.struct(F.lit(float(p)).alias("q"), value(i, p).alias("value"))
+                                               for i, p in enumerate(probs)])).alias("r")).select(*gk, "r.*")
 
 
 def session_summary(rows: DataFrame, cols: Sequence[str], layout: str = "column", key: Sequence[str] = (KEY,),

@@ -34,7 +34,10 @@ def _sine_step(a, x):
 
     # before the frame path knows an interval, the reference comes from the beats of this path
     def judged(s):
-        v, ibi = waves.values(s), (a["last"] - a["prev"]).cast("double")
+        return let(waves.values(s), lambda v: judged_values(s, v))
+
+    def judged_values(s, v):
+        ibi = (a["last"] - a["prev"]).cast("double")
         fit = F.when(x["path"] == "M", waves.sine_fit_raw(v)["amp"]).otherwise(waves.sine_fit_resampled(v)["amp"])
 
         def with_fit(amp):

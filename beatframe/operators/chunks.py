@@ -21,6 +21,8 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from ..functions.lets import let
+
 KEY = "session_id"
 IDX = "frame_idx"
 DEFAULT_CHUNK_ROWS = 16_384
@@ -181,11 +183,6 @@ def ewma(df: DataFrame, value: str, alpha: float, out: str, key=KEY, ordinal: st
     )
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Bind an expression once inside a higher-order function."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 Step = Callable[[Column, Column], Column]
 
 

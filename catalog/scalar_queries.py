@@ -89,8 +89,8 @@ d AS (SELECT DISTINCT l_quantity, l_tax FROM lineitem),
 z AS (SELECT l_quantity, l_tax, count(*) FILTER (WHERE l_tax * 4013.0 + 60.0 * rad * sin(th) >= 150.0 AND
  power((l_quantity * 7.03 + 80.0 * rad * cos(th) - 180.0) / 110.0, 2) + power((l_tax * 4013.0 + 60.0 * rad * sin(th) - 150.0) / 90.0, 2) <= 1.0) AS n FROM d, pts GROUP BY ALL)
 SELECT {LROW}, round(l_quantity * 100 * (n / 64.0::DOUBLE), 6) AS area FROM lineitem JOIN z USING (l_quantity, l_tax)""")
-add("p17_normalize_area", lines(lambda d: d.select(*ROW, r6(s.normalize_area("l_extendedprice", C("l_tax") * 40 + 0.37)).alias("area"))),
-    f"""SELECT {LROW}, round(l_extendedprice * power(2.625::DOUBLE / (l_tax * 40 + 0.37::DOUBLE), 2), 6) AS area FROM lineitem""")
+add("p17_normalize_area", lines(lambda d: d.select(*ROW, r6(s.normalize_area(C("l_extendedprice") / 3, C("l_tax") * 40 + 0.37)).alias("area"))),
+    f"""SELECT {LROW}, round(l_extendedprice / 3 * power(2.625::DOUBLE / (l_tax * 40 + 0.37::DOUBLE), 2), 6) AS area FROM lineitem""")
 add("p18_press_progress", lines(lambda d: d.select(*ROW, r6(s.press_progress(C("l_quantity") * 500)).alias("progress"))),
     f"SELECT {LROW}, round(greatest(0, least(1, (l_quantity * 500 - 16000) / 2000)), 6) AS progress FROM lineitem")
 EVP = "CASE event_type WHEN 'click' THEN 0 WHEN 'view' THEN 1 WHEN 'purchase' THEN 2 ELSE 3 END"
