@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, functions as F
 
 from . import quality as q
+from .lets import let
 from .scalars import clamp, clamp_feature, clamp_feature_upper, col, dbp_of, join_reasons, sbp_of
 
 # Published coefficients (intercept first), feature supports and limits.
@@ -141,36 +142,72 @@ def _supported(label: str, value, bounds) -> Column:
     return clamp_feature_upper(label, value, hi) if lo is None else clamp_feature(label, value, lo, hi)
 
 
+def bind(body, **named: Column) -> Column:
+    """Evaluate the named expressions once and hand them to ``body`` as struct fields."""
+    return let(F.struct(*[c.alias(n) for n, c in named.items()]), lambda r: body(**{n: r[n] for n in named}))
+
+
+def _plain_terms(coefs: Sequence[float], used: Sequence[Column]) -> Column:
+    return F.array(F.lit(float(coefs[0])), *[F.lit(float(c)) * u for c, u in zip(coefs[1:], used)])
+
+
+def _plain_total(terms: Column, n: int) -> Column:
+    out = F.get(terms, F.lit(0))
+    for i in range(1, n):
+        out = out + F.get(terms, F.lit(i))
+    return out
+
+
+def _support(clamped: list[Column], timing: Column, reject: bool, body) -> Column:
+    """Bind clamp results, then call ``body(used, joined, clamps_known, stop)``."""
+    def joined_up(timing, **cs):
+        return bind(lambda used, joined, timing: bind(
+            lambda used, joined, stop, known: body(used, joined, known, stop), used=used, joined=joined,
+            known=timing == q.OK,
+            stop=F.when(timing != q.OK, timing).otherwise(q.support_reason(joined) if reject else F.lit(q.OK))),
+            used=F.array(*[c["used"] for c in cs.values()]), joined=join_reasons(*[c["reason"] for c in cs.values()]),
+            timing=timing)
+    return bind(joined_up, timing=timing, **{f"c{i}": c for i, c in enumerate(clamped)})
+
+
 def score(model: str | Model, features: dict[str, Column]) -> Column:
     """One struct with used features, terms, raw and final pressures, flags and the reject reason.
 
     Value fields are null where the model stops before computing them.
     """
     m = MODELS[model] if isinstance(model, str) else model
-    clamped = {n: _supported(n, features[n], m.supports[n]) for n in m.features}
-    joined = join_reasons(*[c["reason"] for c in clamped.values()])
-    timing = (q.relttp_reason(features["V2P_relTTP"], features["P2V_relTTP"]) if m.uses_timing else F.lit(q.OK))
-    support = q.support_reason(joined) if m.reject_on_clamps else F.lit(q.OK)
-    stop = F.when(timing != q.OK, timing).otherwise(support)
-    used = F.array(*[c["used"] for c in clamped.values()])
-    mt, pt = linear_terms(literals(m.map_coefs), used), linear_terms(literals(m.pp_coefs), used)
-    map_raw, pp_raw = total(mt), total(pt)
-    dbp_raw = dbp_of(map_raw, pp_raw)
-    sbp_raw = dbp_raw + pp_raw
-    fin = constrain(sbp_raw, dbp_raw, m.min_pp)
-    reason = F.when(stop != q.OK, stop).otherwise(q.bp_reason(fin["sbp"], fin["dbp"]) if m.check_bp else F.lit(q.OK))
-    ran, clamps_known = stop == q.OK, timing == q.OK
-    fields = [F.when(clamps_known, used).alias("used"),
-              F.when(clamps_known & (joined != ""), joined).otherwise(q.OK).alias("feature_clamp_reason"),
-              F.when(clamps_known, (joined != "").cast("int")).otherwise(0).alias("feature_clamp_applied"),
-              F.when(ran, mt).alias("map_terms"), F.when(ran, pt).alias("pp_terms"),
-              F.when(ran, map_raw).alias("map_raw"), F.when(ran, pp_raw).alias("pp_raw"),
-              F.when(ran, sbp_raw).alias("sbp_raw"), F.when(ran, dbp_raw).alias("dbp_raw"),
-              F.when(ran, fin["sbp"]).alias("sbp"), F.when(ran, fin["dbp"]).alias("dbp"),
-              F.when(ran, fin["constraint_applied"]).otherwise(0).alias("constraint_applied"),
-              F.when(ran, fin["clamp_applied"]).otherwise(0).alias("clamp_applied"),
-              (reason == q.OK).cast("int").alias("output_valid"), reason.alias("reject_reason")]
-    return F.struct(*fields)
+    n = len(m.map_coefs)
+    clamped = [_supported(f, features[f], m.supports[f]) for f in m.features]
+    timing = q.relttp_reason(features["V2P_relTTP"], features["P2V_relTTP"]) if m.uses_timing else F.lit(q.OK)
+
+    def with_support(used, joined, known, stop):
+        us = [F.get(used, F.lit(i)) for i in range(len(m.features))]
+
+        def with_terms(mt, pt):
+            return bind(lambda mp, pp: bind(lambda d0: bind(lambda s0: with_raw(mt, pt, mp, pp, s0, d0), s0=d0 + pp),
+                                            d0=dbp_of(mp, pp)), mp=_plain_total(mt, n), pp=_plain_total(pt, n))
+
+        def with_raw(mt, pt, mp, pp, s0, d0):
+            return bind(lambda fin: with_final(mt, pt, mp, pp, s0, d0, fin), fin=constrain(s0, d0, m.min_pp))
+
+        def with_final(mt, pt, mp, pp, s0, d0, fin):
+            checked = q.bp_reason(fin["sbp"], fin["dbp"]) if m.check_bp else F.lit(q.OK)
+            return bind(lambda reason, ran: F.struct(
+                F.when(known, used).alias("used"),
+                F.when(known & (joined != ""), joined).otherwise(q.OK).alias("feature_clamp_reason"),
+                F.when(known, (joined != "").cast("int")).otherwise(0).alias("feature_clamp_applied"),
+                F.when(ran, mt).alias("map_terms"), F.when(ran, pt).alias("pp_terms"),
+                F.when(ran, mp).alias("map_raw"), F.when(ran, pp).alias("pp_raw"),
+                F.when(ran, s0).alias("sbp_raw"), F.when(ran, d0).alias("dbp_raw"),
+                F.when(ran, fin["sbp"]).alias("sbp"), F.when(ran, fin["dbp"]).alias("dbp"),
+                F.when(ran, fin["constraint_applied"]).otherwise(0).alias("constraint_applied"),
+                F.when(ran, fin["clamp_applied"]).otherwise(0).alias("clamp_applied"),
+                (reason == q.OK).cast("int").alias("output_valid"), reason.alias("reject_reason")),
+                reason=F.when(stop != q.OK, stop).otherwise(checked), ran=stop == q.OK)
+
+        return bind(with_terms, mt=_plain_terms(m.map_coefs, us), pt=_plain_terms(m.pp_coefs, us))
+
+    return _support(clamped, timing, m.reject_on_clamps, with_support)
 
 
 def residual_parts(features: dict[str, Column]) -> Column:
@@ -196,44 +233,52 @@ def variant(kind: str, amp, hr, v2p, p2v, e) -> Column:
     parts = [clamp_feature("A", amp, *s["A"]), clamp_feature("HR", hr, *s["HR"]),
              clamp_feature("V2P_relTTP", v2p, *s["V2P_relTTP"]), clamp_feature("P2V_relTTP", p2v, *s["P2V_relTTP"]),
              clamp_feature_upper("E", e, E_MAX)]
-    a, h, v, p, ee = [x["used"] for x in parts]
     if kind == "local_a":
-        parts.append(clamp_feature_upper("Stiffness", ee * F.sqrt(F.greatest(a, F.lit(0.0))), STIFFNESS_MAX))
-        stiff, extra = parts[5]["used"], [parts[5]["used"], ee]
-    else:
-        stiff, extra = F.lit(0.0), [ee, ee * ee][: len(VARIANT_SBP[kind]) - 1]
-    joined = join_reasons(*[x["reason"] for x in parts])
-    stop = F.when(q.relttp_reason(v2p, p2v) != q.OK, q.relttp_reason(v2p, p2v)).otherwise(q.support_reason(joined))
-    ran, clamps_known = stop == q.OK, q.relttp_reason(v2p, p2v) == q.OK
-
-    def side(base, corr):
-        coefs = (base[0] + corr[0], *base[1:], *corr[1:])
-        terms = linear_terms(literals(coefs), F.array(a, h, v, p, *extra))
-        low = linear_predict(literals(base), F.array(a, h, v, p))
-        add = linear_predict(literals(corr), F.array(*extra))
-        return coefs, terms, low, add
-
-    cs, ts, sb, sc = side(sbp_coefs(M1_MAP, M1_PP), VARIANT_SBP[kind])
-    cd, td, db, dc = side(dbp_coefs(M1_MAP, M1_PP), VARIANT_DBP[kind])
-    s0, d0 = sb + sc, db + dc
-    narrow = s0 < d0 + MIN_PP
-    s1 = F.when(narrow, d0 + MIN_PP).otherwise(s0)
-    s2, d2 = clamp(s1, *SBP_LIMITS), clamp(d0, *DBP_LIMITS)
-    moved = ((F.abs(s2 - s1) > 1e-9) | (F.abs(d2 - d0) > 1e-9)).cast("int")
-    reason = F.when(ran, q.bp_reason(s2, d2)).otherwise(stop)
-    valid = reason == q.OK
-    z = lambda cond, x, n: F.when(cond, x).otherwise(F.lit(0.0)).alias(n)
-    zi = lambda cond, x, n: F.when(cond, x).otherwise(0).alias(n)
-    blank = literals([0.0] * len(LABELS[kind]))
-    za = lambda x, n: F.when(ran, x).otherwise(blank).alias(n)
-    return F.struct(
-        z(valid, s2, "sbp"), z(valid, d2, "dbp"), z(ran, s2, "sbp_raw"), z(ran, d2, "dbp_raw"),
-        z(ran, sb, "sbp_base"), z(ran, db, "dbp_base"), z(ran, sc, "sbp_correction"), z(ran, dc, "dbp_correction"),
-        z(ran, s1, "sbp_constrained"), z(ran, d0, "dbp_constrained"), z(ran, a, "a_used"), z(ran, ee, "e_used"),
-        z(ran, stiff, "stiffness_used"), zi(ran, narrow.cast("int"), "constraint_applied"),
-        zi(ran, moved, "clamp_applied"), zi(clamps_known, (joined != "").cast("int"), "feature_clamp_applied"),
-        valid.cast("int").alias("output_valid"),
-        F.when(clamps_known & (joined != ""), joined).otherwise(q.OK).alias("feature_clamp_reason"),
-        reason.alias("reject_reason"), za(literals(cs), "sbp_coefs"), za(literals(cd), "dbp_coefs"),
-        za(ts, "sbp_terms"), za(td, "dbp_terms"))
-
+        root = F.sqrt(F.greatest(clamp(amp, *s["A"]), F.lit(0.0)))
+        parts.append(clamp_feature_upper("Stiffness", F.least(col(e), F.lit(E_MAX)) * root, STIFFNESS_MAX))
+    base_s, base_d = sbp_coefs(M1_MAP, M1_PP), dbp_coefs(M1_MAP, M1_PP)
+    corr_s, corr_d = VARIANT_SBP[kind], VARIANT_DBP[kind]
+    joint = lambda b, c: (b[0] + c[0], *b[1:], *c[1:])
+    n = 5 + len(corr_s) - 1
+    blank = literals([0.0] * n)
+
+    def with_support(used, joined, known, stop):
+        u = [F.get(used, F.lit(i)) for i in range(len(parts))]
+        ee, stiff = u[4], u[5] if kind == "local_a" else F.lit(0.0)
+        extra = [stiff, ee] if kind == "local_a" else [ee, ee * ee][: len(corr_s) - 1]
+        low = lambda b: _plain_total(_plain_terms(b, u[:4]), 5)
+        add = lambda c: _plain_total(_plain_terms(c, extra), len(c))
+
+        def with_sides(sb, sc, db, dc):
+            return bind(lambda s0, d0: bind(lambda s1, d1, narrow: bind(
+                lambda s2, d2: result(sb, sc, db, dc, s1, d1, narrow, s2, d2),
+                s2=clamp(s1, *SBP_LIMITS), d2=clamp(d1, *DBP_LIMITS)),
+                s1=F.when(s0 < d0 + MIN_PP, d0 + MIN_PP).otherwise(s0), d1=d0, narrow=(s0 < d0 + MIN_PP).cast("int")),
+                s0=sb + sc, d0=db + dc)
+
+        def result(sb, sc, db, dc, s1, d1, narrow, s2, d2):
+            moved = ((F.abs(s2 - s1) > 1e-9) | (F.abs(d2 - d1) > 1e-9)).cast("int")
+
+            def fields(ran, reason):
+                z = lambda cond, x, name: F.when(cond, x).otherwise(F.lit(0.0)).alias(name)
+                zi = lambda cond, x, name: F.when(cond, x).otherwise(0).alias(name)
+                za = lambda x, name: F.when(ran, x).otherwise(blank).alias(name)
+                ok = reason == q.OK
+                return F.struct(
+                    z(ok, s2, "sbp"), z(ok, d2, "dbp"), z(ran, s2, "sbp_raw"), z(ran, d2, "dbp_raw"),
+                    z(ran, sb, "sbp_base"), z(ran, db, "dbp_base"), z(ran, sc, "sbp_correction"),
+                    z(ran, dc, "dbp_correction"), z(ran, s1, "sbp_constrained"), z(ran, d1, "dbp_constrained"),
+                    z(ran, u[0], "a_used"), z(ran, ee, "e_used"), z(ran, stiff, "stiffness_used"),
+                    zi(ran, narrow, "constraint_applied"), zi(ran, moved, "clamp_applied"),
+                    zi(known, (joined != "").cast("int"), "feature_clamp_applied"), ok.cast("int").alias("output_valid"),
+                    F.when(known & (joined != ""), joined).otherwise(q.OK).alias("feature_clamp_reason"),
+                    reason.alias("reject_reason"), za(literals(joint(base_s, corr_s)), "sbp_coefs"),
+                    za(literals(joint(base_d, corr_d)), "dbp_coefs"),
+                    za(_plain_terms(joint(base_s, corr_s), [*u[:4], *extra]), "sbp_terms"),
+                    za(_plain_terms(joint(base_d, corr_d), [*u[:4], *extra]), "dbp_terms"))
+
+            return bind(fields, ran=stop == q.OK, reason=F.when(stop == q.OK, q.bp_reason(s2, d2)).otherwise(stop))
+
+        return bind(with_sides, sb=low(base_s), sc=add(corr_s), db=low(base_d), dc=add(corr_d))
+
+    return _support(parts, q.relttp_reason(v2p, p2v), True, with_support)

@@ -156,31 +156,39 @@ EWMA_BLOCK = 512  # alpha <= 0.7 keeps (1-alpha)^-block inside a double
 
 
 def ewma(df: DataFrame, value: str, alpha: float, out: str, key=KEY, ordinal: str = "_ord") -> DataFrame:
-    """Exponential mean seeded with the first value; ``ordinal`` is dense and zero-based per key.
+    """Exponential mean of one column, seeded with the first value; see ``ewma_many``."""
+    return ewma_many(df, {out: (value, alpha)}, key, ordinal)
+
+
+def ewma_many(df: DataFrame, outs: dict[str, tuple[str, float]], key=KEY, ordinal: str = "_ord") -> DataFrame:
+    """Exponential means ``{out: (value, alpha)}`` along ``ordinal``, which is dense and zero-based per key.
 
     Inside a block the recurrence is a running sum of values scaled by (1-alpha)^-position.  Blocks are full, so the
     state that enters block b is a sum over earlier block ends weighted by (1-alpha)^(512 * distance); terms
     below the resolution of a double are left out.
     """
-    keys, q = _keys(key), 1.0 - alpha
-    reach = max(1, math.ceil(45.0 / (-EWMA_BLOCK * math.log(q))))
-    o = F.col(ordinal)
+    keys, o = _keys(key), F.col(ordinal)
     pos = (o % EWMA_BLOCK).cast("double")
     d = df.withColumn("_blk", floor_div(o, EWMA_BLOCK))
-    x = F.when(o == 0, F.col(value)).otherwise(F.col(value) * F.lit(alpha))
-    scaled = x * F.pow(F.lit(q), -pos)
-    w = Window.partitionBy(*keys, "_blk").orderBy(ordinal)
-    local = d.withColumn("_s", F.sum(scaled).over(w.rowsBetween(Window.unboundedPreceding, 0)) * F.pow(F.lit(q), pos))
-    ends = d.groupBy(*keys, "_blk").agg((F.sum(scaled) * F.lit(q ** (EWMA_BLOCK - 1))).alias("_e"))
+    scaled = {n: F.when(o == 0, F.col(v)).otherwise(F.col(v) * F.lit(a)) * F.pow(F.lit(1.0 - a), -pos)
+              for n, (v, a) in outs.items()}
+    w = Window.partitionBy(*keys, "_blk").orderBy(ordinal).rowsBetween(Window.unboundedPreceding, 0)
+    local = d.select("*", *[(F.sum(x).over(w) * F.pow(F.lit(1.0 - outs[n][1]), pos)).alias(f"_s_{n}")
+                            for n, x in scaled.items()])
+    ends = d.groupBy(*keys, "_blk").agg(*[(F.sum(x) * F.lit((1.0 - outs[n][1]) ** (EWMA_BLOCK - 1))).alias(f"_e_{n}")
+                                          for n, x in scaled.items()])
     wb = Window.partitionBy(*keys).orderBy("_blk")
-    entering = sum((F.coalesce(F.lag("_e", j).over(wb), F.lit(0.0)) * F.lit(q ** (EWMA_BLOCK * (j - 1)))
-                    for j in range(2, reach + 1)), F.coalesce(F.lag("_e", 1).over(wb), F.lit(0.0)))
-    enter = ends.select(*keys, "_blk", entering.alias("_in"))
-    return (
-        local.join(enter, [*keys, "_blk"])
-        .withColumn(out, F.col("_s") + F.col("_in") * F.pow(F.lit(q), pos + 1))
-        .drop("_blk", "_s", "_in")
-    )
+
+    def entering(n: str) -> Column:
+        q = 1.0 - outs[n][1]
+        reach = max(1, math.ceil(45.0 / (-EWMA_BLOCK * math.log(q))))
+        return sum((F.coalesce(F.lag(f"_e_{n}", j).over(wb), F.lit(0.0)) * F.lit(q ** (EWMA_BLOCK * (j - 1)))
+                    for j in range(2, reach + 1)), F.coalesce(F.lag(f"_e_{n}", 1).over(wb), F.lit(0.0)))
+
+    enter = ends.select(*keys, "_blk", *[entering(n).alias(f"_in_{n}") for n in outs])
+    joined = local.join(enter, [*keys, "_blk"])
+    return joined.select(*[c for c in df.columns if c not in outs], *[
+        (F.col(f"_s_{n}") + F.col(f"_in_{n}") * F.pow(F.lit(1.0 - outs[n][1]), pos + 1)).alias(n) for n in outs])
 
 
 Step = Callable[[Column, Column], Column]

@@ -10,10 +10,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.models import ALPHA_MAP, ALPHA_PP, M1_MAP, M1_PP, calibrate, linear_predict, linear_terms, literals
+from ..functions.models import ALPHA_MAP, ALPHA_PP, M1_MAP, M1_PP, calibrate, linear_predict, linear_terms, literals, total
 from ..functions.quality import finite_or, is_valid
 from ..functions.scalars import dbp_of, map_of, normalize_reason, pp_of, sbp_of
-from .chunks import KEY, ewma, running_sum
+from .chunks import KEY, cut, ewma_many, running_sum
 from .joins import with_coefficients
 from .rolling import first_valid
 
@@ -31,8 +31,7 @@ def _valid_ordinal(rows: DataFrame, valid: Column, keys: Sequence[str], order: s
 
 def smooth_pair(rows: DataFrame, keys: Sequence[str], map_col: str, pp_col: str, map_out: str, pp_out: str) -> DataFrame:
     """EWMA of a MAP and a PP column along ``_ord``."""
-    d = ewma(rows, map_col, ALPHA_MAP, map_out, list(keys), "_ord")
-    return ewma(d, pp_col, ALPHA_PP, pp_out, list(keys), "_ord")
+    return ewma_many(rows, {map_out: (map_col, ALPHA_MAP), pp_out: (pp_col, ALPHA_PP)}, list(keys), "_ord")
 
 
 def postprocess(rows: DataFrame, method: str = "M1", keys: Sequence[str] = (KEY,), order: str = "beat_index",
@@ -42,7 +41,7 @@ def postprocess(rows: DataFrame, method: str = "M1", keys: Sequence[str] = (KEY,
     Rows that are not valid get zeros and ``postprocess_applied = 0``; the state is held over them.
     """
     keys = list(keys)
-    d = _valid_ordinal(rows, is_valid("output_valid", "reject_reason", "sbp", "dbp"), keys, order)
+    d = cut(_valid_ordinal(cut(rows), is_valid("output_valid", "reject_reason", "sbp", "dbp"), keys, order))
     good = d.where("_ok").withColumn("map_raw", map_of("sbp", "dbp")).withColumn("pp_raw", pp_of("sbp", "dbp"))
     good = smooth_pair(good, keys, "map_raw", "pp_raw", "map_smoothed", "pp_smoothed")
     c = calibrate("map_smoothed", "pp_smoothed", method, coef)
@@ -127,6 +126,7 @@ def adaptive_baseline(rows: DataFrame, coef: DataFrame) -> DataFrame:
 
     ``empty_policy`` adds the rows that have no value.
     """
+    rows = cut(rows)
     base = baselines(rows, coef)
     d = _valid_ordinal(rows, _status_ok(), (KEY, "method"), "beat_index").where("_ok").join(base, [KEY, "method"])
     centred = F.zip_with(_named(F.col("feature_names")), F.col("anchor"), lambda x, a: x - a)
@@ -136,6 +136,7 @@ def adaptive_baseline(rows: DataFrame, coef: DataFrame) -> DataFrame:
          .withColumn("delta_pp_value", linear_predict("delta_pp", "_x"))
          .withColumn("map_raw", F.col("baseline_map_value") + F.col("delta_map_value"))
          .withColumn("pp_raw", F.col("baseline_pp_value") + F.col("delta_pp_value")).drop("_x"))
+    d = cut(d)
     d = smooth_pair(d, GROUP, "map_raw", "pp_raw", "map", "pp")
     return d.withColumn("sbp", sbp_of("map", "pp")).withColumn("dbp", dbp_of("map", "pp")).drop("_ok", "_ord")
 
@@ -159,7 +160,6 @@ def dynamic_prediction(method: Column, models: dict) -> tuple[Column, Column]:
 
 def rich_dynamic(rich: DataFrame, models: dict, blend: dict | None = None) -> DataFrame:
     """Blend of the rich baseline with the dynamic model's change since its own anchor."""
-    from ..functions.models import total
     blend = blend or {}
     k = max(1, int(blend.get("dynamic_anchor_beats", 30)))
     gain = lambda axis: _gain(blend, axis)
@@ -167,7 +167,7 @@ def rich_dynamic(rich: DataFrame, models: dict, blend: dict | None = None) -> Da
     mt, pt = dynamic_prediction(F.col("method"), models)
     d = rich.withColumn("dynamic_map_terms", mt).withColumn("dynamic_pp_terms", pt)
     d = d.withColumn("_dm", total("dynamic_map_terms")).withColumn("_dp", total("dynamic_pp_terms"))
-    d = _valid_ordinal(d, F.lit(True), keys, "beat_index").drop("_ok")
+    d = cut(_valid_ordinal(d, F.lit(True), keys, "beat_index").drop("_ok"))
     d = smooth_pair(d, keys, "_dm", "_dp", "dynamic_map", "dynamic_pp")
     anchor = d.where(F.col("_ord") < k).groupBy(*keys).agg(
         *[F.median(c).alias(a) for c, a in (("_dm", "_am"), ("_dp", "_ap"), ("dynamic_map", "_sm"), ("dynamic_pp", "_sp"))])
@@ -226,7 +226,8 @@ def replay(rows: DataFrame, coef: DataFrame | None, models: dict | None = None,
     """All four series for all methods in long form."""
     if coef is None:
         return empty_policy(rows, rows, None)
-    adaptive = adaptive_baseline(rows, coef)
+    rows = cut(rows)
+    adaptive = cut(adaptive_baseline(rows, coef))
     rich = rich_dynamic(adaptive.where(F.col("series") == "RICH_BASELINE"), models or default_models(), blend)
     return empty_policy(rows, adaptive.unionByName(rich, allowMissingColumns=True), coef)
 
