@@ -7,7 +7,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..functions import waves
 from ..functions.lets import let
@@ -57,7 +57,7 @@ def ridge_loso(rows: DataFrame, features: Sequence[str], target: str, alpha: flo
     names = [f"g{i}_{j}" for i, j in prods]
     total = gram.agg(*[F.sum(n).alias(n) for n in names]).first()
     rest = gram.select(subject, F.array(*[F.lit(float(total[n] or 0.0)) - F.col(n) for n in names]).alias("g"))
-    schema = rest.select(subject).schema.add("coefs", "array<double>")
+    schema = T.StructType([rest.schema[subject], T.StructField("coefs", T.ArrayType(T.DoubleType()))])
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
