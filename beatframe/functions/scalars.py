@@ -309,3 +309,11 @@ def epoch_ms(ts) -> Column:
     us = F.floor(F.date_part(F.lit("SECOND"), ts) * 1000).cast("bigint")
     return (F.unix_date(ts.cast("date")).cast("bigint") * 86_400_000 + F.hour(ts) * 3_600_000
             + F.minute(ts) * 60_000 + us)
+
+
+def utc_timestamp(ts) -> Column:
+    """Instant of a timestamp as written, read as UTC, whatever the session time zone."""
+    ts = col(ts)
+    us = F.round(F.date_part(F.lit("SECOND"), ts) * 1_000_000).cast("bigint")
+    return F.timestamp_micros(F.unix_date(ts.cast("date")).cast("bigint") * 86_400_000_000
+                              + F.hour(ts).cast("bigint") * 3_600_000_000 + F.minute(ts).cast("bigint") * 60_000_000 + us)
