@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from . import quality as q
 from .lets import let
@@ -170,44 +171,44 @@ def _support(clamped: list[Column], timing: Column, reject: bool, body) -> Colum
     return bind(joined_up, timing=timing, **{f"c{i}": c for i, c in enumerate(clamped)})
 
 
-def score(model: str | Model, features: dict[str, Column]) -> Column:
-    """One struct with used features, terms, raw and final pressures, flags and the reject reason.
+def predict(df: DataFrame, model: str | Model, features: dict[str, Column], out: str | None = None) -> DataFrame:
+    """Add one struct with used features, terms, raw and final pressures, flags and the reject reason.
 
-    Value fields are null where the model stops before computing them.
+    Value fields are null where the model stops before computing them.  Each stage is a projection of plain
+    expressions, so the whole model stays inside generated code and nothing is computed twice.
     """
     m = MODELS[model] if isinstance(model, str) else model
-    n = len(m.map_coefs)
+    out = out or (model if isinstance(model, str) else "prediction")
+    n, c = len(m.map_coefs), F.col
     clamped = [_supported(f, features[f], m.supports[f]) for f in m.features]
     timing = q.relttp_reason(features["V2P_relTTP"], features["P2V_relTTP"]) if m.uses_timing else F.lit(q.OK)
-
-    def with_support(used, joined, known, stop):
-        us = [F.get(used, F.lit(i)) for i in range(len(m.features))]
-
-        def with_terms(mt, pt):
-            return bind(lambda mp, pp: bind(lambda d0: bind(lambda s0: with_raw(mt, pt, mp, pp, s0, d0), s0=d0 + pp),
-                                            d0=dbp_of(mp, pp)), mp=_plain_total(mt, n), pp=_plain_total(pt, n))
-
-        def with_raw(mt, pt, mp, pp, s0, d0):
-            return bind(lambda fin: with_final(mt, pt, mp, pp, s0, d0, fin), fin=constrain(s0, d0, m.min_pp))
-
-        def with_final(mt, pt, mp, pp, s0, d0, fin):
-            checked = q.bp_reason(fin["sbp"], fin["dbp"]) if m.check_bp else F.lit(q.OK)
-            return bind(lambda reason, ran: F.struct(
-                F.when(known, used).alias("used"),
-                F.when(known & (joined != ""), joined).otherwise(q.OK).alias("feature_clamp_reason"),
-                F.when(known, (joined != "").cast("int")).otherwise(0).alias("feature_clamp_applied"),
-                F.when(ran, mt).alias("map_terms"), F.when(ran, pt).alias("pp_terms"),
-                F.when(ran, mp).alias("map_raw"), F.when(ran, pp).alias("pp_raw"),
-                F.when(ran, s0).alias("sbp_raw"), F.when(ran, d0).alias("dbp_raw"),
-                F.when(ran, fin["sbp"]).alias("sbp"), F.when(ran, fin["dbp"]).alias("dbp"),
-                F.when(ran, fin["constraint_applied"]).otherwise(0).alias("constraint_applied"),
-                F.when(ran, fin["clamp_applied"]).otherwise(0).alias("clamp_applied"),
-                (reason == q.OK).cast("int").alias("output_valid"), reason.alias("reject_reason")),
-                reason=F.when(stop != q.OK, stop).otherwise(checked), ran=stop == q.OK)
-
-        return bind(with_terms, mt=_plain_terms(m.map_coefs, us), pt=_plain_terms(m.pp_coefs, us))
-
-    return _support(clamped, timing, m.reject_on_clamps, with_support)
+    d = df.select("*", *[x.alias(f"_c{i}") for i, x in enumerate(clamped)], timing.alias("_timing"))
+    d = d.select("*", *[c(f"_c{i}.used").alias(f"_u{i}") for i in range(n - 1)],
+                 join_reasons(*[c(f"_c{i}.reason") for i in range(n - 1)]).alias("_notes"))
+    support = q.support_reason("_notes") if m.reject_on_clamps else F.lit(q.OK)
+    d = d.withColumn("_stop", F.when(c("_timing") != q.OK, c("_timing")).otherwise(support))
+    for axis, coefs in (("map", m.map_coefs), ("pp", m.pp_coefs)):
+        d = d.select("*", F.lit(float(coefs[0])).alias(f"_{axis}0"),
+                     *[(F.lit(float(k)) * c(f"_u{i}")).alias(f"_{axis}{i + 1}") for i, k in enumerate(coefs[1:])])
+        d = d.withColumn(f"_{axis}", reduce(lambda x, y: x + y, [c(f"_{axis}{i}") for i in range(n)]))
+    d = d.withColumn("_d0", dbp_of("_map", "_pp")).withColumn("_s0", c("_d0") + c("_pp"))
+    d = d.withColumn("_fin", constrain("_s0", "_d0", m.min_pp))
+    checked = q.bp_reason("_fin.sbp", "_fin.dbp") if m.check_bp else F.lit(q.OK)
+    d = d.withColumn("_reason", F.when(c("_stop") != q.OK, c("_stop")).otherwise(checked))
+    known, ran, notes = c("_timing") == q.OK, c("_stop") == q.OK, c("_notes") != ""
+    value = lambda x, name: F.when(ran, x).alias(name)
+    flag = lambda x, name: F.when(ran, x).otherwise(0).alias(name)
+    result = F.struct(
+        F.when(known, F.array(*[c(f"_u{i}") for i in range(n - 1)])).alias("used"),
+        F.when(known & notes, c("_notes")).otherwise(q.OK).alias("feature_clamp_reason"),
+        F.when(known, notes.cast("int")).otherwise(0).alias("feature_clamp_applied"),
+        value(F.array(*[c(f"_map{i}") for i in range(n)]), "map_terms"),
+        value(F.array(*[c(f"_pp{i}") for i in range(n)]), "pp_terms"), value(c("_map"), "map_raw"),
+        value(c("_pp"), "pp_raw"), value(c("_s0"), "sbp_raw"), value(c("_d0"), "dbp_raw"),
+        value(c("_fin.sbp"), "sbp"), value(c("_fin.dbp"), "dbp"),
+        flag(c("_fin.constraint_applied"), "constraint_applied"), flag(c("_fin.clamp_applied"), "clamp_applied"),
+        (c("_reason") == q.OK).cast("int").alias("output_valid"), c("_reason").alias("reject_reason"))
+    return d.select(*[x for x in df.columns if x != out], result.alias(out))
 
 
 def residual_parts(features: dict[str, Column]) -> Column:

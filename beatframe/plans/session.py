@@ -42,7 +42,7 @@ def score_m1(s: Session) -> DataFrame:
     d = det.with_morphology(s.peaks.where("valid"), s.morph)
     hr = hr_from("smoothed_before", "interval_ms")
     feats = {"A": F.col("v2p_amp"), "HR": hr, "V2P_relTTP": F.col("v2p_rel"), "P2V_relTTP": F.col("p2v_rel")}
-    return d.withColumn("hr", hr).withColumn("M1", m.score("M1", feats)).select(
+    return m.predict(d.withColumn("hr", hr), "M1", feats).select(
         KEY, IDX, "t_peak", "interval_ms", "ibi_ms", "bpm", "bpm_sd", "smoothed_before", "smoothed_ibi_ms", *det.MORPHOLOGY,
         "hr", "M1")
 
@@ -68,7 +68,7 @@ def score_sine(s: Session, method: str) -> DataFrame:
     else:
         feats = {"A": zero("fit_m.amp"), "HR": zero("hr"), "Mean": zero("fit_m.mean"), "sinPhi": zero("fit_m.sin_phi"),
                  "cosPhi": zero("fit_m.cos_phi")}
-    d = d.withColumn("_s", m.score(method, feats))
+    d = m.predict(d, method, feats, "_s")
     return d.withColumn(method, _with_reason(F.col("beat_reason"), F.col("_s"))).drop("_s")
 
 

@@ -99,7 +99,7 @@ def post_columns(method: str) -> list[Column]:
 def method_table(beats: DataFrame, method: str, start_ms: Column | str | None = None) -> DataFrame:
     """Per-beat table of one method with its postprocess; ``*_process`` repeats the unsmoothed pressures.
 
-    ``beats`` has beat_index, t_ms, and a struct ``<method>`` as made by ``models.score``; further columns of the
+    ``beats`` has beat_index, t_ms, and a struct ``<method>`` as made by ``models.predict``; further columns of the
     method (features, fits, window metrics) are passed through.
     """
     from ..functions.models import MODELS

@@ -62,7 +62,7 @@ for _model in ("M1", "M2", "M3"):
  round(CASE WHEN ran = 1 THEN s END, 6) AS sbp, round(CASE WHEN ran = 1 THEN d END, 6) AS dbp, CASE WHEN ran = 1 AND s0 < d0 + 20 THEN 1 ELSE 0 END AS constraint_applied,
  CASE WHEN ran = 1 AND (abs(s - s0) > 1e-9 OR abs(d - d0) > 1e-9) THEN 1 ELSE 0 END AS clamp_applied FROM sc""")
     def score(spark, sf, model=_model):
-        d = feature_rows(spark, sf, indexed=False).withColumn("m", m.score(model, feats()))
+        d = m.predict(feature_rows(spark, sf, indexed=False), model, feats(), "m")
         return d.select(*ROW, "m.reject_reason", *[r6(f"m.{c}").alias(c) for c in ("map_raw", "pp_raw", "sbp", "dbp")], "m.constraint_applied", "m.clamp_applied")
 
 
@@ -117,7 +117,7 @@ def algebra(spark, sf):
 
 # ---------------------------------------------------------------- postprocess
 def scored_rows(spark, sf, model="M1"):
-    d = feature_rows(spark, sf).withColumn("m", m.score(model, feats()))
+    d = m.predict(feature_rows(spark, sf), model, feats(), "m")
     return d.select("session_id", "beat_index", F.coalesce("m.sbp", F.lit(0.0)).alias("sbp"), F.coalesce("m.dbp", F.lit(0.0)).alias("dbp"), "m.output_valid", "m.reject_reason")
 
 
@@ -169,7 +169,7 @@ def post_variants(spark, sf):
 
 @query("q9_a19_valid_counts", "WITH " + score_sql("M2", "", f"{BF}") + " SELECT session_id, count(*) FILTER (WHERE reason = 'ok') AS M2_valid FROM sc GROUP BY 1")
 def counts(spark, sf):
-    d = feature_rows(spark, sf).withColumn("m", m.score("M2", feats()))
+    d = m.predict(feature_rows(spark, sf), "M2", feats(), "m")
     d = d.withColumn("M2", F.struct("m.sbp", "m.dbp", C("m.output_valid").alias("valid"), "m.reject_reason"))
     return valid_counts(d, ["M2"], ["session_id"])
 
@@ -182,7 +182,7 @@ FEATURE_COLS = ["M1_A_used", "M1_HR_used", "M1_V2P_relTTP_used", "M1_P2V_relTTP_
 def replay_rows(spark, sf):
     d = feature_rows(spark, sf)
     for k in ("M1", "M2", "M3"):
-        d = d.withColumn(k, m.score(k, feats()))
+        d = m.predict(d, k, feats())
     cols = []
     for k in ("M1", "M2", "M3"):
         for i, n in enumerate(m.MODELS[k].features):

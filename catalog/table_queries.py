@@ -30,7 +30,7 @@ SCORE_SRC = ", src AS MATERIALIZED (SELECT session_id, beat_index, CASE WHEN ran
 for _k, _name in (("M1", "s4_method_table_m1"), ("M3", "s5_method_table_m3"), ("M2", "s6_method_table_m2")):
     @query(_name, score_sql(_k, "", f"WITH RECURSIVE {BF}") + SCORE_SRC + post_sql("src", ["session_id"]))
     def method_table(spark, sf, k=_k):
-        d = feature_rows(spark, sf).select("session_id", "beat_index", (C("beat_index") * 800).alias("t_ms"), m.score(k, feats()).alias(k))
+        d = m.predict(feature_rows(spark, sf), k, feats()).select("session_id", "beat_index", (C("beat_index") * 800).alias("t_ms"), k)
         out = t.method_table(d, k)
         return out.select("session_id", "beat_index", *[F.round(c, 5).alias(c) for c in ("map_raw", "map_smoothed", "pp_smoothed", "sbp_smoothed", "dbp_calibrated")], "postprocess_applied")
 

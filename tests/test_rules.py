@@ -33,8 +33,11 @@ def test_reason_limits(spark):
 
 
 def test_clamps_and_scores(spark):
-    f = lambda a, hr: {"A": F.lit(a), "HR": F.lit(hr), "V2P_relTTP": F.lit(-0.5), "P2V_relTTP": F.lit(-0.5), "E": F.lit(1.0)}
-    r = one(spark, none=m.score("M2", f(3.0, 70.0)), one=m.score("M2", f(9.0, 70.0)), two=m.score("M2", f(9.0, 200.0)))
+    from types import SimpleNamespace
+    d = spark.createDataFrame([(3.0, 70.0), (9.0, 70.0), (9.0, 200.0)], "a double, hr double").coalesce(1)
+    d = m.predict(d, "M2", {"A": F.col("a"), "HR": F.col("hr"), "V2P_relTTP": F.lit(-0.5), "P2V_relTTP": F.lit(-0.5), "E": F.lit(1.0)}, "p")
+    rows = {(x.a, x.hr): x.p for x in d.collect()}
+    r = SimpleNamespace(none=rows[(3.0, 70.0)], one=rows[(9.0, 70.0)], two=rows[(9.0, 200.0)])
     assert r.none.feature_clamp_reason == "ok" and r.none.output_valid == 1
     assert r.one.feature_clamp_reason == "A:9.0000->5.0983" and r.one.reject_reason == "ok"
     assert r.two.reject_reason == "feature_support_violation" and r.two.sbp is None
