@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.quality import finite_or, is_valid
 from ..functions.scalars import VIB_ON, finite, in_zone_area, normalize_area, touch_area
-from .chunks import IDX, KEY
+from .chunks import IDX, KEY, Halo
 from .joins import asof_nearest, interval_join
 from .rolling import first_valid, runs
 
@@ -49,9 +49,10 @@ def on_run_rms(imu: DataFrame, beats: DataFrame) -> DataFrame:
 
 def beat_clock(beats: DataFrame, frames: DataFrame) -> DataFrame:
     """``start_ns``/``end_ns`` of each beat (previous beat time, or 1.5 s earlier) through the nearest frame."""
-    w = Window.partitionBy(KEY).orderBy("beat_index")
-    d = beats.select(KEY, "beat_index", F.col("t_ms").alias("end_ms"),
-                     F.coalesce(F.lag("t_ms").over(w), F.col("t_ms") - 1500).alias("start_ms"))
+    h = Halo(beats, back=1, idx="beat_index")
+    before = F.lag("t_ms").over(h.window)
+    d = h.trim(h.spread(beats.select(KEY, "beat_index", "t_ms")).withColumn(
+        "start_ms", F.coalesce(before, F.col("t_ms") - 1500))).withColumnRenamed("t_ms", "end_ms")
     clock = frames.select(KEY, F.col("t_ms").alias("_at"), "t_ns", IDX)
     for side in ("start", "end"):
         d = asof_nearest(d.withColumn("_at", F.col(f"{side}_ms")), clock, "_at", ["t_ns"], first=[IDX]).withColumnRenamed(

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.quality import MIN_ISO
@@ -160,7 +160,8 @@ def autosave(beats: DataFrame, path: str, checkpoint: str, every: int = 60):
     def save(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
         batch.write.mode("overwrite").parquet(f"{path}/beats/batch={epoch}")
-        everything = spark.read.parquet(f"{path}/beats")
+        touched = batch.select(KEY).distinct()
+        everything = spark.read.parquet(f"{path}/beats").join(touched, KEY, "left_semi")
         counts = everything.groupBy(KEY).agg(
             F.count(F.lit(1)).alias("n"), F.count_if(F.col("batch") < epoch).alias("before"))
         crossed = counts.where(F.floor(F.col("n") / every) > F.floor(F.col("before") / every)).select(KEY)
@@ -178,4 +179,4 @@ def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
     q = (stream.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/progress")
          .outputMode(mode).trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.schema(T.StructType(stream.schema.fields)).parquet(f"{base}/out")
+    return spark.read.schema(stream.schema).parquet(f"{base}/out")

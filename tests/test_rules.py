@@ -161,3 +161,46 @@ def test_array_helpers(spark):
             big=agg.largest_pointer(F.array(*[F.struct(F.lit(a).alias("area"), F.lit(n).alias("n")) for a, n in ((1.0, "x"), (3.0, "y"), (3.0, "z"))]),
                                     lambda p: p["area"])["n"])
     assert r.rot == "00000101" and r.g == pytest.approx(50.0) and r.big == "y"
+
+
+def test_ridge_folds_match_direct_solution(spark):
+    import numpy as np
+    from beatframe.operators import evaluate as ev
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(60, 2))
+    y = 3 + x @ np.array([2.0, -1.0]) + rng.normal(size=60) * 0.1
+    rows = spark.createDataFrame([(i % 4, float(a), float(b), float(t)) for i, ((a, b), t) in enumerate(zip(x, y))], "subject int, a double, b double, y double")
+    for r in ev.ridge_loso(rows, ["a", "b"], "y").collect():
+        keep = np.arange(60) % 4 != r.subject
+        xc, yc = x[keep] - x[keep].mean(0), y[keep] - y[keep].mean()
+        w = np.linalg.solve(xc.T @ xc + np.eye(2), xc.T @ yc)
+        assert r.coefs == pytest.approx([y[keep].mean() - x[keep].mean(0) @ w, *w])
+
+
+def test_phase_filter_against_plain_loop(spark):
+    from beatframe.operators.beats import phase_filter
+    data = [(1, i, 700.0 + 30 * (i % 9), float((i * 53) % 17) / 6) for i in range(40)]
+    got = [r.phase_filtered for r in phase_filter(spark.createDataFrame(data, "session_id int, beat_index long, beat_ibi_ms double, phase_offset_ms double")).orderBy("beat_index").collect()]
+    shift, hist, missed, want = 0.0, [], 0, []
+    for _, _, ibi, raw in data:
+        hr = 60000 / ibi
+        weight, limit = (0.5 if hr < 70 else 0.6 if hr < 90 else 0.7), 0.7853981633974483 * (1.5 if hr < 70 else 1.0)
+        diff = raw - shift
+        if abs(diff) > limit:
+            diff, missed = (limit if diff > 0 else -limit), missed + 1
+        else:
+            missed = 0
+        if missed >= 3:
+            shift, hist, missed = raw, [raw], 0
+        else:
+            hist = (hist + [shift + diff * weight])[-3:]
+            shift = sum(hist) / len(hist)
+        want.append(shift)
+    assert got == pytest.approx(want)
+
+
+def test_beat_clock(spark, small_chunks):
+    frames = spark.range(0, 300).select(F.lit(1).alias("session_id"), F.col("id").alias("frame_idx"), (F.col("id") * 100).alias("t_ms"), (F.col("id") * 7).alias("t_ns"))
+    beats = spark.createDataFrame([(1, 1, 2000), (1, 2, 2840), (1, 3, 3660)], "session_id int, beat_index long, t_ms long")
+    got = {r.beat_index: (r.start_ns, r.end_ns) for r in agg.beat_clock(beats, frames).collect()}
+    assert got == {1: (5 * 7, 20 * 7), 2: (20 * 7, 28 * 7), 3: (28 * 7, 37 * 7)}
