@@ -172,6 +172,7 @@ def timeline_json(timeline: DataFrame) -> DataFrame:
         "json", F.to_json(F.struct(KEY, "phase_timeline")))
 
 
+# Keys of the coefficient file.
 SERIES_KEYS = {"INITIAL_BASELINE": "experimental_smartphone_initial_baseline",
                "RICH_BASELINE": "experimental_smartphone_rich_baseline",
                "SHARED_D_BASELINE": "experimental_smartphone_shared_sinbpd_baseline"}
