@@ -6,8 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from beatframe.llm.line_dedup import remove_repeated_lines
+from beatframe.llm.mixing import mix_sources
+from beatframe.llm.packing import pack_documents
 from beatframe.llm.substring_dedup import remove_shared_words
 from beatframe.llm.suffix_dedup import remove_earlier_bytes
+from beatframe.llm.vector_search import top_k_products
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -26,6 +30,12 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+@query("op3_mix_sources")
+def op3(spark, sf):
+    r = mix_sources(table(spark, sf, "documents"))
+    return r.select("row.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
 @query("op4_suffix_dedup")
 def op4(spark, sf):
     r = remove_earlier_bytes(table(spark, sf, "documents"))
@@ -36,3 +46,32 @@ def op4(spark, sf):
 def op7(spark, sf):
     r = remove_shared_words(table(spark, sf, "documents"))
     return r.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
+
+
+@query("op8_vector_search", """WITH v AS (SELECT vec_id, list_transform(embedding, x -> floor(64 * CAST(x AS DOUBLE))) e FROM embeddings
+ WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) score FROM v q JOIN v c ON c.vec_id <> q.vec_id
+ AND len(c.e) = len(q.e) WHERE q.vec_id % 20 = 0),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score FROM s)
+SELECT * FROM r WHERE rank <= 20""")
+def op8(spark, sf):
+    return top_k_products(table(spark, sf, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query("op9_pack_documents")
+def op9(spark, sf):
+    return pack_documents(table(spark, sf, "documents"))
+
+
+@query("op10_line_dedup", """WITH d AS (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS i FROM d),
+c AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM l WHERE trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> ''),
+w AS (SELECT a.doc_id, a.k, a.i AS i1, b.i AS i2, a.line AS l1, b.line AS l2 FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.k = a.k + 1),
+g AS (SELECT *, row_number() OVER (PARTITION BY l1, l2 ORDER BY doc_id, k) AS nth FROM w),
+x AS (SELECT doc_id, i1 AS i FROM g WHERE nth > 1 UNION SELECT doc_id, i2 FROM g WHERE nth > 1),
+t AS (SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.i) AS kept FROM l LEFT JOIN x ON x.doc_id = l.doc_id AND x.i = l.i WHERE x.i IS NULL GROUP BY 1)
+SELECT d.doc_id, (SELECT count(*) FROM c WHERE c.doc_id = d.doc_id) AS n_lines, (SELECT count(*) FROM x WHERE x.doc_id = d.doc_id) AS n_removed,
+ sha256(coalesce(t.kept, '')) AS kept_sha256 FROM d LEFT JOIN t ON t.doc_id = d.doc_id""")
+def op10(spark, sf):
+    r = remove_repeated_lines(table(spark, sf, "documents"))
+    return r.select("row.doc_id", "n_lines", "n_removed", F.sha2(F.encode(F.coalesce("row.text", F.lit("")), "UTF-8"), 256).alias("kept_sha256"))

@@ -37,3 +37,20 @@ def shared_words(docs, window):
                 gone[k:k + window] = [True] * window
         out.append((i, len(w), sum(gone), hashlib.sha256(b" ".join(x for x, g in zip(w, gone) if not g)).hexdigest()))
     return out
+
+
+def repeated_lines(docs, run):
+    """docs: (id, text) with distinct ids; per id: (text left, counted lines, removed lines)."""
+    seen, out = set(), {}
+    for i, t in sorted(docs, key=lambda d: (d[0] is None, d[0] or 0)):
+        lines = (t or "").split("\n")
+        at = [k for k, x in enumerate(lines) if x.strip(" \t\n\x0b\x0c\r")]
+        gone = set()
+        for k in range(len(at) - run + 1):
+            key = tuple(lines[j] for j in at[k:k + run])
+            if key in seen:
+                gone.update(at[k:k + run])
+            seen.add(key)
+        left = None if t is None else "\n".join(x for k, x in enumerate(lines) if k not in gone)
+        out[i] = (left, len(at), len(gone))
+    return out
