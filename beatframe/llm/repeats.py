@@ -138,11 +138,11 @@ class Block:
         fit = self.ends - self.starts >= length
         np.add.at(ok, self.starts[fit], 1)
         np.add.at(ok, self.ends[fit] - length + 1, -1)
-        return np.cumsum(ok[:-1]) > 0
+        return np.cumsum(ok[:-1], out=ok[:-1]) > 0
 
     def sample(self, s: Search) -> np.ndarray:
         """Places of the difference cover, counted within each document."""
-        inside = np.arange(self.n) - np.repeat(self.starts, self.ends - self.starts)
+        inside = np.arange(self.n, dtype=np.int32) - np.repeat(self.starts.astype(np.int32), self.ends - self.starts)
         member = np.zeros(s.period, bool)
         member[list(COVERS[s.period])] = True
         return np.flatnonzero(member[inside % s.period] & self.mask(s.sample_length))
@@ -292,7 +292,7 @@ def covered(block: Block, s: Search, bits: pa.Table) -> np.ndarray:
     edge = np.zeros(block.n + 1, np.int32)
     edge[at[hit]] += 1
     edge[at[hit] + s.length] -= 1
-    return np.cumsum(edge[:-1]) > 0
+    return np.cumsum(edge[:-1], out=edge[:-1]) > 0
 
 
 def search(docs: DataFrame, s: Search, finish, schema: str, id_col: str, text_col: str, block_mb: int) -> DataFrame:

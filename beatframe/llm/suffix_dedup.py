@@ -38,7 +38,7 @@ def kept_bytes(block: Block, gone: np.ndarray) -> pa.Table:
 
 
 def remove_earlier_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, period: int = 57,
-                         block_mb: int = 16) -> DataFrame:
+                         block_mb: int = 8) -> DataFrame:
     """Remove every byte covered by a ``length``-byte string that also starts earlier in the corpus.
 
     Texts are UTF-8 bytes; order is by id (null last), then place. Returns per document its id, byte count, removed count,
