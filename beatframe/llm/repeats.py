@@ -156,6 +156,12 @@ class Block:
         return np.flatnonzero((seen[s.period:s.period + self.n] > seen[:self.n]) & self.mask(s.length))
 
 
+def distinct(h: np.ndarray) -> np.ndarray:
+    """Sorted distinct values; sorting is much faster here than numpy's hash table."""
+    h = np.sort(h)
+    return h[np.r_[True, h[1:] != h[:-1]]] if len(h) else h
+
+
 class Distinct:
     """Distinct fingerprints of a block, sorted, with the group of every place."""
 
@@ -271,7 +277,7 @@ def send_sample(s: Search):
     def run(table: pa.Table) -> pa.Table:
         block = Block(table.column("payload").to_pylist(), s.unit)
         h = block.hashes(block.sample(s), s.sample_length) >> np.uint64(64 - SAMPLE_BITS)
-        return send(table.column("block")[0].as_py(), np.unique(h), s.buckets, SAMPLE_BITS)
+        return send(table.column("block")[0].as_py(), distinct(h), s.buckets, SAMPLE_BITS)
     return run
 
 
@@ -279,7 +285,7 @@ def send_open(s: Search):
     def run(packed: pa.Table, bits: pa.Table) -> pa.Table:
         block = Block(packed.column("payload").to_pylist(), s.unit)
         at = block.open_starts(s, repeated_sample(block, s, bits))
-        return send(packed.column("block")[0].as_py(), np.unique(block.hashes(at, s.length)), s.buckets, FULL_BITS)
+        return send(packed.column("block")[0].as_py(), distinct(block.hashes(at, s.length)), s.buckets, FULL_BITS)
     return run
 
 
