@@ -39,7 +39,8 @@ class Search(NamedTuple):
     length: int
     period: int
     first_stays: bool
-    buckets: int
+    buckets: int = 1
+    sample_bits: int = 48
 
     @property
     def sample_length(self) -> int:
@@ -259,7 +260,7 @@ def sort_bucket(bits: int, only_later: bool):
     return run
 
 
-SAMPLE_BITS, FULL_BITS = 48, 64
+FULL_BITS = 64
 
 
 def answers_of(table: pa.Table, kind: int) -> list[tuple[int, bytes]]:
@@ -269,15 +270,15 @@ def answers_of(table: pa.Table, kind: int) -> list[tuple[int, bytes]]:
 def repeated_sample(block: Block, s: Search, table: pa.Table) -> np.ndarray:
     """Places of the sample whose window occurs elsewhere."""
     at = block.sample(s)
-    d = Distinct(block.hashes(at, s.sample_length) >> np.uint64(64 - SAMPLE_BITS))
+    d = Distinct(block.hashes(at, s.sample_length) >> np.uint64(64 - s.sample_bits))
     return at[d.spread((d.counts > 1) | receive(answers_of(table, 1), len(d.values)))]
 
 
 def send_sample(s: Search):
     def run(table: pa.Table) -> pa.Table:
         block = Block(table.column("payload").to_pylist(), s.unit)
-        h = block.hashes(block.sample(s), s.sample_length) >> np.uint64(64 - SAMPLE_BITS)
-        return send(table.column("block")[0].as_py(), distinct(h), s.buckets, SAMPLE_BITS)
+        h = block.hashes(block.sample(s), s.sample_length) >> np.uint64(64 - s.sample_bits)
+        return send(table.column("block")[0].as_py(), distinct(h), s.buckets, s.sample_bits)
     return run
 
 
@@ -309,13 +310,14 @@ def search(docs: DataFrame, s: Search, finish, schema: str, id_col: str, text_co
     probs = [k / n for k in range(1, n)]
     cuts = rows.agg(F.percentile_approx("doc_id", F.array(*map(F.lit, probs)), F.lit(max(10_000, 100 * n))).alias("q")).first()[0] if probs else []
     bounds = np.array(sorted(set(cuts or [])), np.int64)
-    s = s._replace(buckets=1 << max(2, int(n - 1).bit_length()))
+    # Sample fingerprints only open starts for the second round: 10 bits over the corpus size open one start too many in a thousand.
+    s = s._replace(buckets=1 << max(2, int(n - 1).bit_length()), sample_bits=min(56, -(-(int(total).bit_length() + 10) // 8) * 8))
     packed = rows.mapInArrow(pack_documents(bounds), PACK).groupBy("block")
 
     def answers(messages: DataFrame, bits: int, later: bool, kind: int) -> DataFrame:
         return messages.groupBy("bucket").applyInArrow(sort_bucket(bits, later), MESSAGE).withColumn("kind", F.lit(kind))
 
-    one = answers(packed.applyInArrow(send_sample(s), MESSAGE), SAMPLE_BITS, False, 1)
+    one = answers(packed.applyInArrow(send_sample(s), MESSAGE), s.sample_bits, False, 1)
     two = answers(packed.cogroup(one.groupBy("block")).applyInArrow(send_open(s), MESSAGE), FULL_BITS, s.first_stays, 2)
 
     def last(pieces: pa.Table, bits: pa.Table) -> pa.Table:

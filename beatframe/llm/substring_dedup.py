@@ -47,7 +47,7 @@ def remove_shared_words(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Null or empty text: no words, kept is empty. Texts shorter than ``window`` words lose nothing. Rows that share an id are
     separate documents. An empty table gives an empty table. Other columns, whatever their names, are not read.
     """
-    s = Search("word", window, period, False, 1)
+    s = Search("word", window, period, False)
     if s.sample_length < 1:
         raise ValueError("the window must be at least as long as the period")
     return search(docs, s, kept_words, SCHEMA, id_col, text_col, block_mb)

@@ -52,7 +52,7 @@ def remove_earlier_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
     share an id are ordered by text; of identical rows one keeps its bytes. An empty table gives an empty table. Other columns,
     whatever their names, are not read. A single document is held by one task.
     """
-    s = Search("byte", length, period, True, 1)
+    s = Search("byte", length, period, True)
     if s.sample_length < 8:
         raise ValueError("the period must leave sample windows of at least 8 bytes")
     return search(docs, s, kept_bytes, SCHEMA, id_col, text_col, block_mb)
