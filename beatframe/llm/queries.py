@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from beatframe.llm.line_dedup import remove_repeated_lines
 from beatframe.llm.mixing import mix_sources
+from beatframe.llm.near_dedup import near_duplicates
 from beatframe.llm.packing import pack_documents
 from beatframe.llm.substring_dedup import remove_shared_words
 from beatframe.llm.suffix_dedup import remove_earlier_bytes
@@ -42,6 +43,21 @@ def op4(spark, sf):
     return r.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@query("op5_near_dedup", """WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex(
+ translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+g AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 1),
+ lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM d),
+e AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM g),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n
+ HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+u AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+r(node, reach) AS (SELECT doc_id, doc_id FROM g UNION SELECT r.node, u.b FROM r JOIN u ON u.a = r.reach),
+c AS (SELECT node, min(reach) AS component_id FROM r GROUP BY node)
+SELECT g.doc_id, CAST(len(g.s) AS BIGINT) AS n_shingles, c.component_id, g.doc_id = c.component_id AS kept FROM g JOIN c ON c.node = g.doc_id""")
+def op5(spark, sf):
+    return near_duplicates(table(spark, sf, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 @query("op7_substring_dedup")
 def op7(spark, sf):
     r = remove_shared_words(table(spark, sf, "documents"))

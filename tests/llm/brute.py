@@ -54,3 +54,27 @@ def repeated_lines(docs, run):
         left = None if t is None else "\n".join(x for k, x in enumerate(lines) if k not in gone)
         out[i] = (left, len(at), len(gone))
     return out
+
+
+def near(docs, size, percent):
+    """docs: (id, text); per row: (id, set size, component id)."""
+    sets = []
+    for _, t in docs:
+        w = [x.lower() for x in WORD.findall((t or "").encode())]
+        sets.append({tuple(w[k:k + size]) for k in range(len(w) - size + 1)} if len(w) >= size else {tuple(w)} if w else set())
+    up = list(range(len(docs)))
+
+    def root(k):
+        while up[k] != k:
+            k = up[k]
+        return k
+    for i in range(len(docs)):
+        for j in range(i):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
+                a, b = root(i), root(j)
+                up[max(a, b)] = min(a, b)
+    least = {}
+    for k, (i, _) in enumerate(docs):
+        r = root(k)
+        least[r] = i if least.get(r) is None else least[r] if i is None else min(i, least[r])
+    return [(i, len(sets[k]), least[root(k)]) for k, (i, _) in enumerate(docs)]
