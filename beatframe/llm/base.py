@@ -22,6 +22,11 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
 
 
+def numbers(n: Column) -> Column:
+    """0 .. n - 1, empty for n < 1."""
+    return F.when(n > 0, F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)))).otherwise(F.array().cast("array<int>"))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all machines share; a local one is set only where the session names none (tests)."""
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("beatframe.testFolder", None)
@@ -33,14 +38,34 @@ def shared_folder(spark: SparkSession) -> str:
     return d.rstrip("/")
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: cuts lineage, keeps column pruning, survives lost executors."""
+def stage(df: DataFrame, name: str, rows: int | None = None, per_task: int = 100_000) -> DataFrame:
+    """Write a table to the shared folder and read it back: cuts lineage, keeps column pruning, survives lost executors.
+
+    Where the number of rows is known, no more tasks than one per ``per_task`` rows (but 8 at least) write it.
+    """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(8, -(-rows // per_task)))
     path = f"{shared_folder(spark)}/llm-{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def attach(rows: DataFrame, facts: DataFrame, keys: list[str], spread: Column, total: int, heavy: int) -> DataFrame:
+    """Inner join of many rows with facts by key, where ``facts.n`` says how many rows a key has.
+
+    Keys with more than one row in ``heavy`` are at most ``heavy``, so their facts are broadcast and their rows dealt out by
+    ``spread``; the facts of the others are joined by key.
+    """
+    large = F.col("n") * heavy > total
+    names = [c for c in facts.columns if c not in keys]
+    hot = F.broadcast(facts.where(large).select(*keys, F.struct(*names).alias("hot")))
+    rest = facts.where(~large).select(*keys, F.xxhash64(*keys).alias("deal"), F.struct(*names).alias("fact"))
+    dealt = rows.join(hot, keys, "left").withColumn("deal", F.when(F.col("hot").isNotNull(), spread).otherwise(F.xxhash64(*keys)))
+    both = dealt.join(rest, [*keys, "deal"], "left").withColumn("fact", F.coalesce("hot", "fact"))
+    return both.where("fact IS NOT NULL").select(*rows.columns, *[F.col("fact")[c].alias(c) for c in names])
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finaliser of splitmix64 on uint64 arrays."""
     x = x ^ (x >> np.uint64(30))

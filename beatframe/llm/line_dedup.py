@@ -4,28 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from beatframe.llm.base import stage
+from beatframe.functions.lets import let
+from beatframe.llm.base import attach, numbers, stage
 
 BLANK = " \t\n\x0b\x0c\r"
 
 
-def get(array: Column | str, i: Column) -> Column:
-    return F.get(array, i)
-
-
-def numbers(n: Column) -> Column:
-    """0 .. n - 1, empty for n < 1."""
-    return F.when(n > 0, F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)))).otherwise(F.array().cast("array<int>"))
-
-
 def windows(hashes: str, run: int) -> Column:
     """Every window of ``run`` lines: start, hash of all its lines, and the place of its least line hash (the last of equals)."""
     def one(i):
-        place, value = i, get(hashes, i)
+        place, value = i, F.get(hashes, i)
         for j in range(1, run):
-            h = get(hashes, i + j)
+            h = F.get(hashes, i + j)
             place, value = F.when(h <= value, i + j).otherwise(place), F.least(h, value)
-        return F.struct(i.cast("int").alias("start"), F.xxhash64(*[get(hashes, i + j) for j in range(run)]).alias("window"), place.cast("int").alias("place"))
+        return F.struct(i.cast("int").alias("start"), F.xxhash64(*[F.get(hashes, i + j) for j in range(run)]).alias("window"), place.cast("int").alias("place"))
     return F.transform(numbers(F.size(hashes) - run + 1), one)
 
 
@@ -33,25 +25,10 @@ def fingerprints(hashes: str, wins: str, run: int) -> Column:
     """Every selected place once: its hash and the windows that selected it."""
     def one(p):
         near = F.slice(wins, F.greatest(p - run + 2, F.lit(1)), F.lit(run))
-        return F.struct(p.alias("place"), get(hashes, p).alias("print"), F.filter(near, lambda w: w["place"] == p).alias("around"))
+        return F.struct(p.alias("place"), F.get(hashes, p).alias("print"), F.filter(near, lambda w: w["place"] == p).alias("around"))
     return F.transform(F.array_distinct(F.transform(wins, lambda w: w["place"])), one)
 
 
-def attach(rows: DataFrame, facts: DataFrame, keys: list[str], spread: Column, total: int, heavy: int) -> DataFrame:
-    """Inner join of many rows with facts by key, where ``facts.n`` says how many rows a key has.
-
-    Keys with more than one row in ``heavy`` are at most ``heavy``, so their facts are broadcast and their rows dealt out by
-    ``spread``; the facts of the others are joined by key.
-    """
-    large = F.col("n") * heavy > total
-    names = [c for c in facts.columns if c not in keys]
-    hot = F.broadcast(facts.where(large).select(*keys, F.struct(*names).alias("hot")))
-    rest = facts.where(~large).select(*keys, F.lit(0).cast("bigint").alias("deal"), F.struct(*names).alias("fact"))
-    dealt = rows.join(hot, keys, "left").withColumn("deal", F.when(F.col("hot").isNotNull(), 1 + F.pmod(spread, F.lit(heavy))).otherwise(F.lit(0).cast("bigint")))
-    both = dealt.join(rest, [*keys, "deal"], "left").withColumn("fact", F.coalesce("hot", "fact"))
-    return both.where("fact IS NOT NULL").select(*rows.columns, *[F.col("fact")[c].alias(c) for c in names])
-
-
 def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = 2, heavy: int = 1000) -> DataFrame:
     """Delete every line covered by ``run`` consecutive lines that also start earlier in the corpus.
 
@@ -71,10 +48,9 @@ def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     body = F.col("row").getField(text_col)
     lines = F.split(F.coalesce(body, F.lit("")), "\n")
     d = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"))
-    counted = F.filter(numbers(F.size("lines")), lambda i: F.btrim(get("lines", i), F.lit(BLANK)) != "")
-    hashed = d.withColumn("lines", lines).select("id", "th", F.transform(counted, lambda i: F.xxhash64(get("lines", i))).alias("hashes"))
-    wins = hashed.where(F.size("hashes") >= run).withColumn("wins", windows("hashes", run))
-    prints = stage(wins.select("id", "th", F.inline(fingerprints("hashes", "wins", run))), "prints")
+    full = F.filter(lines, lambda x: F.btrim(x, F.lit(BLANK)) != "")
+    found = let(F.transform(full, lambda x: F.xxhash64(x)), lambda h: F.when(F.size(h) >= run, let(windows(h, run), lambda w: fingerprints(h, w, run))))
+    prints = stage(d.select("id", "th", F.inline(found)), "prints")
     total = prints.count()
     spread = F.xxhash64("id", "th", "place")
     repeated = prints.groupBy("print").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -84,10 +60,15 @@ def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     first = matched.groupBy("print", "window").agg(F.count(F.lit(1)).alias("n"), F.min(here).alias("first")).where("n > 1")
     later = attach(matched, first, ["print", "window"], spread, total, heavy).where(~here.eqNullSafe(F.col("first")))
     gone = later.groupBy(F.col("id").alias("g_id"), F.col("th").alias("g_th")).agg(F.collect_set("start").alias("starts"))
-    j = d.join(gone, F.col("id").eqNullSafe(F.col("g_id")) & (F.col("th") == F.col("g_th")), "left").withColumn("lines", lines).withColumn("counted", counted)
-    at = F.array_sort(F.array_distinct(F.flatten(F.transform("starts", lambda s: F.transform(
-        F.sequence(s, s + run - 1), lambda k: get("counted", k))))))
-    j = j.withColumn("gone", F.coalesce(at, F.array().cast("array<int>")))
-    stay = F.concat_ws("\n", F.transform(F.array_except(numbers(F.size("lines")), F.col("gone")), lambda i: get("lines", i)))
-    return j.select(F.col("row").withField(f"`{text_col}`", F.when(F.size("gone") == 0, body).otherwise(stay)).alias("row"),
-                    F.size("counted").cast("bigint").alias("n_lines"), F.size("gone").cast("bigint").alias("n_removed"), "gone")
+    j = d.join(gone, F.col("id").eqNullSafe(F.col("g_id")) & (F.col("th") == F.col("g_th")), "left")
+
+    def cut(x: Column) -> Column:
+        """The text left, the counted lines and the numbers of the removed ones."""
+        counted = F.filter(numbers(F.size(x)), lambda i: F.btrim(F.get(x, i), F.lit(BLANK)) != "")
+        at = F.coalesce(F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + run - 1)))), F.array().cast("array<int>"))
+        return let(counted, lambda c: let(F.array_sort(F.transform(at, lambda k: F.get(c, k))), lambda g: F.struct(
+            F.concat_ws("\n", F.transform(F.array_except(numbers(F.size(x)), g), lambda i: F.get(x, i))).alias("text"),
+            F.size(c).cast("bigint").alias("n_lines"), F.size(g).cast("bigint").alias("n_removed"), g.alias("gone"))))
+    r = j.select("row", let(lines, cut).alias("r"))
+    return r.select(F.col("row").withField(f"`{text_col}`", F.when(F.col("r.n_removed") == 0, body).otherwise(F.col("r.text"))).alias("row"),
+                    "r.n_lines", "r.n_removed", "r.gone")

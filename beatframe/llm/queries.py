@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from beatframe.llm.language_id import language, learn_languages
 from beatframe.llm.line_dedup import remove_repeated_lines
 from beatframe.llm.mixing import mix_sources
 from beatframe.llm.near_dedup import near_duplicates
 from beatframe.llm.packing import pack_documents
+from beatframe.llm.quality_classifier import crc_remainder, learn_quality, quality_score
+from beatframe.llm.quality_rules import quality_rules
 from beatframe.llm.substring_dedup import remove_shared_words
 from beatframe.llm.suffix_dedup import remove_earlier_bytes
 from beatframe.llm.vector_search import top_k_products
@@ -31,6 +34,20 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+@query("op1_quality_classifier")
+def op1(spark, sf):
+    docs = table(spark, sf, "documents")
+    left = crc_remainder("doc_id", 3)
+    params = learn_quality(docs, table(spark, sf, "labels"), allowed=left != 1)
+    scored = docs.select("doc_id", F.coalesce(left == 1, F.lit(False)).alias("held_out"), quality_score(F.col("text"), params).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+@query("op2_quality_rules")
+def op2(spark, sf):
+    return quality_rules(table(spark, sf, "documents"))
+
+
 @query("op3_mix_sources")
 def op3(spark, sf):
     r = mix_sources(table(spark, sf, "documents"))
@@ -58,6 +75,15 @@ def op5(spark, sf):
     return near_duplicates(table(spark, sf, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+@query("op6_language_id")
+def op6(spark, sf):
+    docs = table(spark, sf, "documents")
+    left = crc_remainder("doc_id", 4)
+    params, names = learn_languages(docs, allowed=left != 2)
+    return docs.select("doc_id", F.coalesce(left == 2, F.lit(False)).alias("held_out"), language(F.col("text"), params, names).alias("p")).select(
+        "doc_id", "held_out", "p.lang_pred", "p.score")
+
+
 @query("op7_substring_dedup")
 def op7(spark, sf):
     r = remove_shared_words(table(spark, sf, "documents"))
