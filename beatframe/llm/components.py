@@ -4,42 +4,52 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from beatframe.llm.base import attach, stage
+from beatframe.llm.base import stage
 
 
 def star(edges: DataFrame, large: bool, total: int, heavy: int) -> DataFrame:
-    """One star step on (a, b): hang every larger (or, if not large, smaller) neighbour of a node on the least of them all."""
+    """One star step on (a, b): hang every larger (or, if not large, smaller) neighbour of a node on the least of them all.
+
+    The least neighbours of nodes with more than one edge in ``heavy`` (at most ``heavy`` nodes) are broadcast, and the edges of
+    those nodes are dealt out at random in the join for all others.
+    """
     if large:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     else:
         both = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = both.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-    hung = attach(both, least, ["a"], F.xxhash64("b"), total, heavy)
+    both = both.withColumn("k", F.col("a").cast("string"))
+    least = both.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.least(F.min("a"), F.min("b")).alias("m"), F.min("a").alias("a"))
+    large_node = F.col("n") * heavy > total
+    hot = F.broadcast(least.where(large_node).select(F.col("k").alias("hot_k"), F.col("m").alias("hot_m")))
+    rest = least.where(~large_node).select(F.col("k").alias("rest_k"), F.col("m").alias("rest_m"))
+    dealt = both.join(hot, F.col("k") == F.col("hot_k"), "left").withColumn("k", F.when(F.col("hot_k").isNull(), F.col("k")).otherwise(
+        F.concat(F.lit("dealt out "), F.xxhash64("b").cast("string"))))
+    hung = dealt.join(rest, F.col("k") == F.col("rest_k"), "left").select("a", "b", F.coalesce("hot_m", "rest_m").alias("m")).coalesce(max(8, -(-total // 100_000)))
     if large:
-        out = hung.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-    else:
-        out = hung.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
+        return hung.where((F.col("b") > F.col("a")) & (F.col("b") != F.col("m"))).select(F.col("b").alias("a"), F.col("m").alias("b"))
+    out = hung.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
     return out.where(F.col("a") != F.col("b")).distinct()
 
 
 def components(edges: DataFrame, heavy: int = 1000, most_rounds: int = 60) -> DataFrame:
     """(node, label) for every node of an edge, label being the least node of its component.
 
-    Large-star and small-star steps alternate until the table stops changing; rounds grow with the logarithm of the longest path.
+    Large-star and small-star steps alternate until all components are stars; rounds grow with the logarithm of the longest path.
     Nodes with very many edges are handled apart in the joins. Each round is a table in the shared folder.
     """
-    e = stage(edges.select(F.least("a", "b").alias("b"), F.greatest("a", "b").alias("a")).where(F.col("a") != F.col("b")).select("a", "b").distinct(), "edges")
-
-    def state(t: DataFrame):
-        r = t.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b") % 1_000_003).alias("h"), F.count_distinct("a").alias("d")).first()
-        return r["n"], r["h"], r["d"]
-    last = state(e)
-    for _ in range(most_rounds):
-        e = stage(star(star(e, True, 2 * last[0], heavy), False, last[0], heavy), "edges")
-        now = state(e)
-        if now == last and now[0] == now[2]:
-            break
-        last = now
-    else:
-        raise RuntimeError("components did not settle")
+    pairs = edges.select(F.least("a", "b").alias("b"), F.greatest("a", "b").alias("a")).where(F.col("a") != F.col("b")).select("a", "b").distinct()
+    e = stage(pairs, "edges", edges.count())
+
+    def settled(t: DataFrame) -> bool:
+        """Every node hangs on one parent and no parent hangs on another."""
+        roles = t.select(F.col("a").alias("x"), F.lit(1).alias("child"), F.lit(0).alias("parent")).unionByName(
+            t.select(F.col("b").alias("x"), F.lit(0).alias("child"), F.lit(1).alias("parent")))
+        each = roles.groupBy("x").agg(F.sum("child").alias("c"), F.max("parent").alias("p"))
+        return each.where((F.col("c") > 1) | ((F.col("c") > 0) & (F.col("p") > 0))).isEmpty()
+    rounds = 0
+    while not settled(e):
+        if rounds == most_rounds:
+            raise RuntimeError("components did not settle")
+        rounds, total = rounds + 1, e.count()
+        e = stage(star(stage(star(e, True, 2 * total, heavy), "edges", total), False, total, heavy), "edges", total)
     return e.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())

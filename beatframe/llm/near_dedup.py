@@ -227,7 +227,7 @@ def links(rows: DataFrame, prepare: Callable, block_rows: int, part_rows: int, n
     total = rows.count()
     block = F.pmod(F.xxhash64("node", "grp"), F.ceil(F.col("n") / block_rows))
     first = rows.withColumn("block", block).withColumn("label", F.col("node")).withColumn("minor", F.lit(True))
-    found = stage(in_parts(first, prepare, part_rows, total), f"{name}-links")
+    found = stage(in_parts(first, prepare, part_rows, total), f"{name}-links", total)
     big = rows.where(F.col("n") > block_rows)
     if big.isEmpty():
         return found
@@ -264,7 +264,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     or all words as one if there are fewer. Two documents are linked when 100 * intersection >= percent * union over the full
     sets; component_id is the smallest id that links reach, kept marks the rows that bear it.
 
-    26 bands of 5 MinHash values miss a pair at similarity 0.85 with probability 2.4e-7; sketches let pairs through up to
+    26 bands of 5 MinHash values miss a pair at similarity 0.85 with probability 2.4e-7, at 0.8 with 3.2e-5; sketches let pairs through up to
     ``deviations`` standard deviations under the limit. No cap is set on partners.
 
     Null and empty texts, and texts without words, have an empty set, are linked with nothing and kept. Null ids come after all
@@ -275,19 +275,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sk = stage(d.mapInArrow(sketch_documents(shingle), SKETCH), "sketches")
     n_docs, full = sk.count(), sk.where("n > 0")
     nodes = stage(full.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "th")).alias("rep"),
-                                           F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "nodes")
+                                           F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "nodes", n_docs, 20_000)
     total = nodes.count() * BANDS
     slim = nodes.select("node", F.explode("bands").alias("grp"))
     shared = slim.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     met = attach(slim, shared, ["grp"], F.xxhash64("node"), total, heavy)
-    rows = stage(met.join(nodes.select("node", F.col("sketch").alias("body")), "node"), "bands")
+    rows = stage(met.join(nodes.select("node", F.col("sketch").alias("body")), "node"), "bands", total // 8)
     loose = components(links(rows, sketch_links(most_different(percent / 100, deviations)), block_rows, part_rows, "loose"), heavy)
     sizes = loose.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    members = stage(attach(loose, sizes, ["label"], F.xxhash64("node"), total, heavy).join(nodes.select("node", "rep"), "node"), "members")
+    members = stage(attach(loose, sizes, ["label"], F.xxhash64("node"), total, heavy).join(nodes.select("node", "rep"), "node"), "members", n_docs)
     asked = members.select("node", F.col("label").alias("grp"), F.col("rep.doc_id").alias("rep_id"), F.col("rep.th").alias("rep_th")).distinct()
     texts = d.where("text IS NOT NULL").join(asked, F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.col("th") == F.col("rep_th")))
     sets = texts.select("grp", "node", "text").mapInArrow(set_documents(shingle), "grp binary, node binary, body binary").dropDuplicates(["node"])
-    exact = stage(sets.join(members.select("node", "n"), "node").select("grp", "n", "node", "body"), "sets")
+    exact = stage(sets.join(members.select("node", "n"), "node").select("grp", "n", "node", "body"), "sets", n_docs, 2_000)
     label = components(links(exact, set_links(percent), max(1, block_rows // 8), max(1, part_rows // 32), "exact"), heavy)
     of = nodes.select("node", "n", F.col("rep.doc_id").alias("doc_id")).join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = of.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("component_id"))
