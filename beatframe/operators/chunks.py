@@ -167,6 +167,8 @@ def ewma_many(df: DataFrame, outs: dict[str, tuple[str, float]], key=KEY, ordina
     state that enters block b is a sum over earlier block ends weighted by (1-alpha)^(512 * distance); terms
     below the resolution of a double are left out.
     """
+    if any(not 0 <= a <= 0.7 for _, a in outs.values()):
+        raise ValueError("alpha must lie within 0 and 0.7")
     keys, o = _keys(key), F.col(ordinal)
     pos = (o % EWMA_BLOCK).cast("double")
     d = df.withColumn("_blk", floor_div(o, EWMA_BLOCK))

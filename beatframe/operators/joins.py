@@ -96,7 +96,7 @@ def align(left: DataFrame, right: DataFrame, defaults: dict[str, object], on: Se
 
 
 def label_phase(rows: DataFrame, timeline: DataFrame, on: str = "t_ms", key=KEY) -> DataFrame:
-    """Phase of each row: the latest phase start at or before it (end exclusive, last phase open).
+    """Phase of each row: the first phase that holds it (end exclusive, last phase open); phases of a timeline do not overlap.
 
     A timeline has one row per phase, so it is folded to one small map per key and joined by key.
     """

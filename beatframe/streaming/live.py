@@ -7,19 +7,23 @@ A micro-batch bounds what one task sees of a session (limit the source with ``ma
 from __future__ import annotations
 
 import math
+import sys
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.quality import MIN_ISO
 from ..functions.scalars import FPS
-from ..operators import detect as det
 from ..operators.chunks import KEY, ensure_checkpoint_dir
 from ..operators.conditioning import MIN_PROMINENCE, PROMINENCE_SHARE, RANGE_ROWS, REACH, WARM_UP
+from ..operators.detect import BPM_HISTORY, MAX_INTERVAL_S, MIN_INTERVAL_S
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need no copy of the package
 
 STATE = ("n bigint, g bigint, last_us bigint, raw array<double>, pos bigint, late int, t bigint, ibi double, "
          "smoothed double, last_ibi double, bpm double, history array<double>")
@@ -86,6 +90,8 @@ def _step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Ite
     raw = np.array(tail + pdf["green_raw"].tolist(), dtype=float)
     idx = np.arange(n - len(tail), n + len(pdf))
     t_all = np.floor(idx * 1000 / FPS).astype("int64")
+    if "_t" in pdf:
+        t_all[len(tail):] = pdf["_t"].to_numpy()
     ok = np.concatenate([np.zeros(len(tail), bool), pdf["iso"].to_numpy() >= MIN_ISO])
     gidx = g - 1 + np.cumsum(ok)
     pos, late, t, ibi, smoothed, last_ibi, bpm_now, hist = *s[4:11], list(s[11])
@@ -97,9 +103,9 @@ def _step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Ite
         if gidx[i] - pos - 1 + late < wait:
             continue
         interval = (t_peak - t) / 1000.0
-        if t >= 0 and det.MIN_INTERVAL_S <= interval <= det.MAX_INTERVAL_S:
+        if t >= 0 and MIN_INTERVAL_S <= interval <= MAX_INTERVAL_S:
             bpm = 60.0 / interval
-            hist = (hist + [bpm])[-det.BPM_HISTORY:]
+            hist = (hist + [bpm])[-BPM_HISTORY:]
             mean = sum(hist) / len(hist)
             sd = math.sqrt(sum((v - mean) * (v - mean) for v in hist) / len(hist))
             near = mean - mean * 0.1 <= bpm <= mean + mean * 0.1
@@ -118,9 +124,11 @@ def _step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Ite
         yield pd.DataFrame(rows, columns=[KEY, *[c.split()[0] for c in OUT.split(", ")]])
 
 
-def stream_beats(stream: DataFrame, ts: str = "ts", tie: str | None = None, watermark: str = "10 seconds") -> DataFrame:
+def stream_beats(stream: DataFrame, ts: str = "ts", tie: str | None = None, watermark: str = "10 seconds", clock: str = "t_ms") -> DataFrame:
     """Frames of many sessions in, beats out (append).  Needs session_id, green_raw and an event time column.
 
+    The frame clock is the column ``clock`` in ms; without such a column frames count as taken at the fixed rate.
+
     Frames are ordered by event time inside a micro-batch and numbered per session; dark frames count for the
     conditioning but never reach the detector.  Equal to ``detect_beats`` for input in order.
     """
@@ -128,7 +136,7 @@ def stream_beats(stream: DataFrame, ts: str = "ts", tie: str | None = None, wate
     iso = F.col("iso") if "iso" in stream.columns else F.lit(600)
     us = F.unix_micros(F.col(ts).cast("timestamp"))
     d = d.select(KEY, us.alias("_us"), (F.col(tie) if tie else F.lit(0)).cast("bigint").alias("_tie"), "green_raw",
-                 iso.cast("int").alias("iso"))
+                 iso.cast("int").alias("iso"), *([F.col(clock).cast("bigint").alias("_t")] if clock in stream.columns else []))
     kind = stream.schema[KEY].dataType.simpleString()
     return d.groupBy(KEY).applyInPandasWithState(
         _step, f"{KEY} {kind}, {OUT}", STATE, "append", GroupStateTimeout.NoTimeout)

@@ -359,7 +359,7 @@ def assign(spark, sf):
     return jn.assign_beat(e, _marks(e)).select("session_id", "frame_idx", "beat_index")
 
 
-BEATW = "bw AS (SELECT session_id, i AS beat_index, i * 800 AS start_t, i * 800 + 800 AS end_t FROM (SELECT session_id, max(t_ms) // 800 AS n FROM li GROUP BY 1), range(0, 1000) r(i) WHERE i < n)"
+BEATW = "bw AS (SELECT session_id, i AS beat_index, i * 800 AS start_t, i * 800 + 800 AS end_t FROM (SELECT session_id, unnest(range(n)) AS i FROM (SELECT session_id, max(t_ms) // 800 AS n FROM li GROUP BY 1)))"
 
 
 def _windows(frames):

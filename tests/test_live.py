@@ -30,6 +30,14 @@ def test_stream_equals_batch(spark, wave, tmp_path):
         assert key(live.run_available(live.stream_beats(s)).collect()) == want
 
 
+def test_stream_keeps_the_frame_clock(spark, wave, tmp_path):
+    frames = wave("sine75").withColumn("t_ms", F.floor(F.col("frame_idx") * 1000 / 24).cast("bigint")).where("frame_idx <> 301")
+    frames = frames.withColumn("frame_idx", F.col("frame_idx") - (F.col("frame_idx") > 301).cast("int"))
+    got = key(live.run_available(live.stream_beats(stream_of(spark, frames, str(tmp_path / "in"), 4))).collect())
+    assert got == key(det.detect_beats(frames).collect())
+    assert abs(sorted(r[2] for r in got)[len(got) // 2] - 1000) < 2
+
+
 def test_autosave(spark, wave, tmp_path):
     s = stream_of(spark, wave("sine60"), str(tmp_path / "in"), 3)
     q = live.autosave(live.stream_beats(s), str(tmp_path / "out"), str(tmp_path / "ckpt"), every=5).trigger(availableNow=True).start()
