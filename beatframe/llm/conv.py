@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from beatframe.llm.base import text_buffers
 
@@ -110,18 +110,22 @@ def mean_logits(col, params: dict, chunk: int, hop: int, part: int = 64) -> np.n
     return total / np.bincount(doc, minlength=len(off) - 1)[:, None]
 
 
-def learning_chunks(rows: DataFrame, label: Column, id_col: str, text_col: str, per_class: int, chunk: int, per_doc: int, seed: int = 7) -> tuple[np.ndarray, list, dict]:
-    """Chunks and labels of a bounded sample of rows: about ``per_class`` rows of each class and ``per_doc`` chunks of each.
+def draw(rows: DataFrame, per_class: int, seed: int = 7) -> tuple[DataFrame, dict]:
+    """About ``per_class`` rows (y, id, ...) of each class, drawn by a hash of the id, and the class counts of all rows.
 
-    Rows are drawn by a hash of the id, chunks lie evenly over the text. At most the 1,000 most frequent classes are learned. Returns
-    chunks, labels and the class counts of all rows.
+    At most the 1,000 most frequent classes are drawn, so the sample is bounded whatever the size of the table.
     """
-    t = rows.select(label.alias("y"), F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("y IS NOT NULL AND text IS NOT NULL")
-    counts = {r["y"]: r["n"] for r in t.groupBy("y").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "y").limit(1000).collect()}
+    known = rows.where("y IS NOT NULL")
+    counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "y").limit(1000).collect()}
     if not counts:
-        return np.zeros((0, chunk), np.uint8), [], {}
+        return known.limit(0), {}
     share = F.create_map(*[F.lit(v) for y, n in counts.items() for v in (y, int(1_000_000 * min(1.0, 1.2 * per_class / n)))])
-    drawn = t.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1_000_000)) < share[F.col("y")])
+    return known.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1_000_000)) < share[F.col("y")]), counts
+
+
+def learning_chunks(drawn: DataFrame, chunk: int, per_doc: int) -> tuple[np.ndarray, list]:
+    """At most ``per_doc`` chunks, evenly placed, of each of a bounded sample of rows (y, id, text), and their classes."""
+    drawn = drawn.where("text IS NOT NULL").select("y", "id", "text")
 
     def cut(batches):
         for b in batches:
@@ -134,6 +138,6 @@ def learning_chunks(rows: DataFrame, label: Column, id_col: str, text_col: str,
             x = chunk_bytes(buf, off, doc, begin, chunk)
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(doc)), b.column(1).take(pa.array(doc)), pa.array([r.tobytes() for r in x], pa.binary())],
                                              names=["y", "id", "x"])
-    kind = dict(t.dtypes)
+    kind = dict(drawn.dtypes)
     got = drawn.mapInArrow(cut, f"y {kind['y']}, id {kind['id']}, x binary").toArrow().sort_by([("id", "ascending"), ("x", "ascending")])
-    return np.frombuffer(b"".join(got.column("x").to_pylist()), np.uint8).reshape(-1, chunk), got.column("y").to_pylist(), counts
+    return np.frombuffer(b"".join(got.column("x").to_pylist()), np.uint8).reshape(-1, chunk), got.column("y").to_pylist()

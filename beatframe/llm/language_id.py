@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from beatframe.llm.conv import learning_chunks, mean_logits, softmax, start, train
+from beatframe.llm.conv import draw, learning_chunks, mean_logits, softmax, start, train
 
 WINDOW = 256
 
@@ -18,8 +18,9 @@ def learn_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Only texts with a letter and a non-null language are learned from; the 1,000 most frequent languages at most.
     """
     rows = docs.where((allowed if allowed is not None else F.lit(True)) & F.rlike(text_col, F.lit(r"\p{L}")))
-    x, y, counts = learning_chunks(rows, F.col(lang_col), id_col, text_col, per_class, WINDOW, per_doc)
-    names = sorted(counts)
+    drawn, _ = draw(rows.select(F.col(lang_col).alias("y"), F.col(id_col).alias("id"), F.col(text_col).alias("text")), per_class)
+    x, y = learning_chunks(drawn, WINDOW, per_doc)
+    names = sorted(set(y))
     params = start(max(1, len(names)), (3, 4, 5), 10, 8, 16, 1, seed=5)
     if len(names) > 1:
         params = train(x, np.searchsorted(names, y), params, steps)

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from beatframe.llm.conv import learning_chunks, mean_logits, start, train
+from beatframe.llm.conv import draw, learning_chunks, mean_logits, start, train
 
 CHUNK, HOP = 512, 448
 
@@ -23,11 +23,12 @@ def learn_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     label, or labels of one class only, the prior decides. The ids must not repeat in ``labels``.
     """
     known = labels.where(F.col(label_col).isin(0, 1) & (allowed if allowed is not None else F.lit(True))).select(
-        F.col(id_col).alias("known_id"), F.col(label_col).cast("int").alias("known_y"))
-    rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("body")).join(known, F.col("doc") == F.col("known_id"))
-    x, y, counts = learning_chunks(rows, F.col("known_y"), "doc", "body", per_class, CHUNK, per_doc)
+        F.col(label_col).cast("int").alias("y"), F.col(id_col).alias("id"))
+    drawn, counts = draw(known, per_class)
+    rows = F.broadcast(drawn).join(docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")), F.col("doc") == F.col("id"))
+    x, y = learning_chunks(rows, CHUNK, per_doc)
     params = start(2, (8,), 32, 8, 16, 2, seed=3)
-    if len(counts) == 2:
+    if len(set(y)) == 2:
         params = train(x, np.array(y), params, steps)
     else:
         params["out"][:] = 0
