@@ -1,7 +1,7 @@
 """Live feeds: per-session detector state over micro-batches, snapshots, throttled state, session ends.
 
 A micro-batch bounds what one task sees of a session (limit the source with ``maxOffsetsPerTrigger`` or
-``maxFilesPerTrigger``); between batches only 64 raw values and a few scalars are kept per session.
+``maxFilesPerTrigger``); between batches 64 raw values, a few scalars and the frames ahead of the watermark are kept per session.
 """
 
 from __future__ import annotations
@@ -25,8 +25,10 @@ from ..operators.detect import BPM_HISTORY, MAX_INTERVAL_S, MIN_INTERVAL_S
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need no copy of the package
 
+FEED = ("_us", "_tie", "_t", "green_raw", "iso")
 STATE = ("n bigint, g bigint, last_us bigint, raw array<double>, pos bigint, late int, t bigint, ibi double, "
-         "smoothed double, last_ibi double, bpm double, history array<double>")
+         "smoothed double, last_ibi double, bpm double, history array<double>, passed_ms bigint, "
+         "held_us array<bigint>, held_tie array<bigint>, held_t array<bigint>, held_raw array<double>, held_iso array<int>")
 START = (0, 0, -(2**62), [], -8, 1, -1, 0.0, 0.0, 0.0, 0.0, [])
 OUT = ("frame_idx bigint, gidx bigint, t_peak bigint, interval_ms double, ibi_ms double, bpm double, bpm_sd double, "
        "smoothed_before double, smoothed_ibi_ms double")
@@ -80,17 +82,13 @@ def _candidates(r: np.ndarray, t_ms: np.ndarray, first: int) -> Iterator[tuple[i
         yield int(i), _half_up(_half_up(t_ms[i] - frame) + max(-0.5, min(0.5, shift)) * frame)
 
 
-def _step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    s = list(state.get) if state.exists else list(START)
-    pdf = pd.concat(list(batches)).sort_values(["_us", "_tie"], kind="stable")
-    pdf = pdf[pdf["_us"] >= s[2]]  # rows older than what was already processed are dropped
-    if len(pdf) == 0:
-        return
+def _advance(key: tuple, s: tuple, pdf: pd.DataFrame, clocked: bool) -> tuple[tuple, list[tuple]]:
+    """Detector state after consecutive frames in order, and the beats they close."""
     n, g, tail = s[0], s[1], list(s[3])
     raw = np.array(tail + pdf["green_raw"].tolist(), dtype=float)
     idx = np.arange(n - len(tail), n + len(pdf))
     t_all = np.floor(idx * 1000 / FPS).astype("int64")
-    if "_t" in pdf:
+    if clocked:
         t_all[len(tail):] = pdf["_t"].to_numpy()
     ok = np.concatenate([np.zeros(len(tail), bool), pdf["iso"].to_numpy() >= MIN_ISO])
     gidx = g - 1 + np.cumsum(ok)
@@ -118,28 +116,68 @@ def _step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Ite
         else:
             late = 1
         pos, t = int(gidx[i]), t_peak
-    state.update((n + len(pdf), int(gidx[-1]) + 1, int(pdf["_us"].iloc[-1]), raw[-REACH:].tolist(), pos, late, t, ibi,
-                  smoothed, last_ibi, bpm_now, hist))
-    if rows:
-        yield pd.DataFrame(rows, columns=[KEY, *[c.split()[0] for c in OUT.split(", ")]])
+    return (n + len(pdf), int(gidx[-1]) + 1, int(pdf["_us"].iloc[-1]), raw[-REACH:].tolist(), pos, late, t, ibi,
+            smoothed, last_ibi, bpm_now, hist), rows
+
+
+def _stepper(idle_us: int, clocked: bool):
+    """State step: frames are held until the watermark passes them, so they are always processed in time order."""
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        saved = tuple(state.get) if state.exists else None
+        s, passed = (saved[:12], saved[12]) if saved else (START, -(2**62))
+        parts = [b[list(FEED)] for b in batches if len(b)]
+        if saved and len(saved[13]):
+            parts.append(pd.DataFrame({c: list(v) for c, v in zip(FEED, saved[13:])}))
+        mark = state.getCurrentWatermarkMs()
+        pdf = pd.concat(parts) if parts else pd.DataFrame({c: [] for c in FEED})
+        # rows without a value only move the watermark; rows behind the released point are late
+        pdf = pdf[pdf["green_raw"].notna() & (pdf["_us"] > passed * 1000)].sort_values(["_us", "_tie"], kind="stable")
+        us = pdf["_us"].to_numpy(dtype="int64")
+        ready, rows = int(np.searchsorted(us, mark * 1000, side="right")), []
+        if ready:
+            gaps = np.diff(us[:ready], prepend=us[0] if s[0] == 0 else s[2])
+            for part in np.split(np.arange(ready), np.flatnonzero(gaps > idle_us)):
+                if len(part):
+                    s, beats = _advance(key, START if gaps[part[0]] > idle_us else s, pdf.iloc[part[0]:part[-1] + 1], clocked)
+                    rows += beats
+        held = pdf.iloc[ready:]
+        if len(held):
+            due = -(-int(us[ready]) // 1000) - 1
+        else:
+            due = (s[2] + idle_us) // 1000
+        if len(held) == 0 and (s[0] == 0 or due <= mark):
+            if state.exists:
+                state.remove()
+        else:
+            state.update((*s, max(passed, mark), *(held[c].tolist() for c in FEED)))
+            state.setTimeoutTimestamp(max(mark + 1, due))
+        if rows:
+            yield pd.DataFrame(rows, columns=[KEY, *[c.split()[0] for c in OUT.split(", ")]])
+    return step
 
 
-def stream_beats(stream: DataFrame, ts: str = "ts", tie: str | None = None, watermark: str = "10 seconds", clock: str = "t_ms") -> DataFrame:
+def stream_beats(stream: DataFrame, ts: str = "ts", tie: str | None = None, watermark: str = "10 seconds", clock: str = "t_ms",
+                 idle: float = 1800.0) -> DataFrame:
     """Frames of many sessions in, beats out (append).  Needs session_id, green_raw and an event time column.
 
     The frame clock is the column ``clock`` in ms; without such a column frames count as taken at the fixed rate.
 
-    Frames are ordered by event time inside a micro-batch and numbered per session; dark frames count for the
-    conditioning but never reach the detector.  Equal to ``detect_beats`` for input in order.
+    Frames wait in the state until the watermark passes them and are then processed in the order of event time, so
+    any order within the watermark gives the same beats; only frames behind it are lost.  Frames are numbered per
+    session; dark frames count for the conditioning but never reach the detector.  Rows whose green_raw is null are no
+    frames, they only move the watermark (keep-alives of a quiet feed).  A session that is silent for ``idle`` seconds of event
+    time leaves the state; frames after such a gap start it anew.  Without such a gap equal to ``detect_beats``.
     """
     d = stream.withWatermark(ts, watermark)
-    iso = F.col("iso") if "iso" in stream.columns else F.lit(600)
+    iso = F.coalesce(F.col("iso"), F.lit(0)) if "iso" in stream.columns else F.lit(600)
     us = F.unix_micros(F.col(ts).cast("timestamp"))
-    d = d.select(KEY, us.alias("_us"), (F.col(tie) if tie else F.lit(0)).cast("bigint").alias("_tie"), "green_raw",
-                 iso.cast("int").alias("iso"), *([F.col(clock).cast("bigint").alias("_t")] if clock in stream.columns else []))
+    clocked = clock in stream.columns
+    d = d.select(KEY, ts, us.alias("_us"), F.coalesce(F.col(tie) if tie else F.lit(0), F.lit(0)).cast("bigint").alias("_tie"),
+                 F.coalesce(F.col(clock) if clocked else F.lit(-1), F.lit(-1)).cast("bigint").alias("_t"),
+                 F.col("green_raw").cast("double").alias("green_raw"), iso.cast("int").alias("iso"))
     kind = stream.schema[KEY].dataType.simpleString()
     return d.groupBy(KEY).applyInPandasWithState(
-        _step, f"{KEY} {kind}, {OUT}", STATE, "append", GroupStateTimeout.NoTimeout)
+        _stepper(int(idle * 1_000_000), clocked), f"{KEY} {kind}, {OUT}", STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def latest_state(stream: DataFrame, every: str = "100 milliseconds", ts: str = "ts", cols=("green_raw",),

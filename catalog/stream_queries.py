@@ -1,32 +1,47 @@
 """Streaming operators run over the events table as it becomes available."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from beatframe.functions.scalars import utc_timestamp
+from beatframe.operators.chunks import ensure_checkpoint_dir
 from beatframe.sources import tables as t
 from beatframe.streaming import live
 from .base import EV, query, rounded, table
 from .signal_queries import BEATS_COLS, BEATS_R, peaks_sql
 
 C = F.col
+YEARS = 1e9  # the events of a user lie hours apart and count as one session
+
+
+def last_sign(spark, sf):
+    """Folder with one keep-alive a day after the last event: it moves the watermark past every frame."""
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/sign-{uuid.uuid4().hex}"
+    e = table(spark, sf, "events")
+    e.agg(*[(F.max(c) + F.expr("INTERVAL 1 DAY") if c == "ts" else F.lit(None)).cast(e.schema[c].dataType).alias(c) if c != "user_id"
+            else F.max(c).alias(c) for c in e.columns]).write.parquet(path)
+    return path
 
 
 def event_stream(spark, sf):
     schema = table(spark, sf, "events").schema
     e = spark.readStream.schema(schema).parquet(f"{sf}/events*.parquet")
+    e = e.unionByName(spark.readStream.schema(schema).parquet(last_sign(spark, sf)))
     return e.select(C("user_id").alias("session_id"), utc_timestamp("ts").alias("ts"), "event_id", C("value").alias("green_raw"),
                     (F.regexp_extract("props", r'"k": (\d+)', 1).cast("int") * 10).alias("iso"))
 
 
 @query("x1_x2_x8_stream_beats", f"WITH RECURSIVE {EV}, {peaks_sql('ev', True)} SELECT session_id, frame_idx, gidx, t_peak, {BEATS_R} FROM beats")
 def stream_beats(spark, sf):
-    d = live.run_available(live.stream_beats(event_stream(spark, sf), tie="event_id"))
+    d = live.run_available(live.stream_beats(event_stream(spark, sf), tie="event_id", idle=YEARS))
     return rounded(d, *BEATS_COLS)
 
 
 @query("x3_stream_events", f"""WITH RECURSIVE {EV}, {peaks_sql('ev', True)} SELECT session_id, gidx AS beat_index, '{{"event":"bp_beat","session_id":' || session_id || ',"beat_index":' || gidx || ',"timestamp_ms":' || t_peak || '}}' AS json FROM beats""")
 def stream_events(spark, sf):
-    b = live.stream_beats(event_stream(spark, sf), tie="event_id")
+    b = live.stream_beats(event_stream(spark, sf), tie="event_id", idle=YEARS)
     e = t.beat_events(b.select("session_id", C("gidx").alias("beat_index"), C("t_peak").alias("t_ms")))
     d = live.run_available(e)
     return d.select("session_id", "beat_index", F.concat(F.regexp_extract("json", r"^(.*?),\"camera\"", 1), F.lit("}")).alias("json"))

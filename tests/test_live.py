@@ -9,12 +9,20 @@ from beatframe.plans import session as plan
 from beatframe.streaming import live
 
 
-def stream_of(spark, frames, path, parts, shuffle=False):
+def write_part(d, path, shuffle=False):
+    (d.orderBy(F.rand(3)) if shuffle else d).coalesce(1).write.mode("append").parquet(path)
+
+
+def stream_of(spark, frames, path, parts, shuffle=False, swap=0):
+    """A feed of files, one micro-batch each, and a keep-alive at the end; ``swap`` frames at each cut change sides."""
     d = frames.withColumn("ts", F.timestamp_millis(F.col("t_ms") + 1_700_000_000_000))
     n = d.count()
+    near = F.pmod(F.col("frame_idx"), F.lit(2 * swap + 1)) - swap if swap else F.lit(0)
+    at = F.least(F.greatest(F.col("frame_idx") + near, F.lit(0)), F.lit(n - 1))
     for k in range(parts):
-        part = d.where((F.col("frame_idx") >= k * n // parts) & (F.col("frame_idx") < (k + 1) * n // parts))
-        (part.orderBy(F.rand(3)) if shuffle else part).coalesce(1).write.mode("append").parquet(path)
+        write_part(d.where((at >= k * n // parts) & (at < (k + 1) * n // parts)), path, shuffle)
+    late = d.orderBy(F.desc("frame_idx")).limit(1).withColumn("ts", F.col("ts") + F.expr("INTERVAL 1 DAY"))
+    write_part(late.withColumn("green_raw", F.lit(None).cast("double")), path)
     return spark.readStream.schema(d.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
@@ -38,6 +46,26 @@ def test_stream_keeps_the_frame_clock(spark, wave, tmp_path):
     assert abs(sorted(r[2] for r in got)[len(got) // 2] - 1000) < 2
 
 
+def test_frames_swapped_across_batches(spark, wave, tmp_path):
+    frames = wave("step_hr")
+    want = key(det.detect_beats(frames).collect())
+    s = stream_of(spark, frames, str(tmp_path / "in"), 6, True, swap=60)
+    assert key(live.run_available(live.stream_beats(s)).collect()) == want
+
+
+def test_idle_sessions_leave_the_state(spark, wave, tmp_path):
+    early = wave("sine60", 300)
+    again = early.withColumn("t_ms", F.col("t_ms") + 3_600_000).withColumn("frame_idx", F.col("frame_idx") + 300)
+    s = stream_of(spark, early.unionByName(again), str(tmp_path / "in"), 2)
+    q = live.stream_beats(s, idle=60.0).writeStream.format("memory").queryName("idle").option(
+        "checkpointLocation", str(tmp_path / "ckpt")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert q.lastProgress["stateOperators"][0]["numRowsTotal"] == 0
+    once = key(det.detect_beats(early).collect())
+    got = spark.table("idle").collect()
+    assert sorted(r.frame_idx for r in got) == sorted([r[0] for r in once] * 2)
+
+
 def test_autosave(spark, wave, tmp_path):
     s = stream_of(spark, wave("sine60"), str(tmp_path / "in"), 3)
     q = live.autosave(live.stream_beats(s), str(tmp_path / "out"), str(tmp_path / "ckpt"), every=5).trigger(availableNow=True).start()
