@@ -110,7 +110,8 @@ def quantiles(rows: DataFrame, cols: Sequence[str], probs: Sequence[float], key:
     pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in cols]))
     long = rows.select(*keys, pairs.alias("r")).select(*keys, "r.*").where(F.col("x").isNotNull())
     counts = long.groupBy(*keys, "column", "x").agg(F.count(F.lit(1)).alias("n"))
-    part = F.floor(F.log2(F.abs(F.col("x")) + 1.0) * 64) * F.signum(F.col("x"))
+    size = F.abs(F.col("x"))  # parts are 1/64 octave wide at every magnitude; 1075 lifts the smallest double above 0
+    part = F.when(size > 0, F.floor((F.log2(size) + 1075) * 64) * F.signum(F.col("x"))).otherwise(0.0)
     counts = counts.withColumn("_part", part)
     gk = [*keys, "column"]
     w = Window.partitionBy(*gk, "_part").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)

@@ -152,7 +152,27 @@ def carry(df: DataFrame, cols: Sequence[str], key=KEY, idx: str = IDX, chunk: in
                            for c in df.columns])
 
 
-EWMA_BLOCK = 512  # alpha <= 0.7 keeps (1-alpha)^-block inside a double
+ATTACH_PARTS = 32
+
+
+def attach(rows: DataFrame, small: DataFrame, key, by: Sequence[str], how: str = "inner", parts: int = ATTACH_PARTS) -> DataFrame:
+    """Join one row per key to rows that may crowd on a key.
+
+    The rows of a key are dealt into ``parts`` by a hash of the columns ``by`` and the small side is copied once per part, so a
+    hot key is that many join tasks.
+    """
+    keys = _keys(key)
+    dealt = rows.withColumn("_part", F.pmod(F.xxhash64(*by), F.lit(parts)))
+    copies = small.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(parts - 1).cast("bigint"))))
+    return dealt.join(copies, [*keys, "_part"], how).drop("_part")
+
+
+def ewma_block(alphas: Sequence[float]) -> int:
+    """Rows per block: (1-alpha)^-block stays inside a double, and few blocks reach into the next."""
+    if any(not 0.0001 <= a < 1 for a in alphas):
+        raise ValueError("alpha must lie within 0.0001 and 1")
+    block = 512 if min(alphas) >= 0.01 else 16_384
+    return max(1, min([block, *[int(620 / -math.log(1.0 - a)) for a in alphas]]))
 
 
 def ewma(df: DataFrame, value: str, alpha: float, out: str, key=KEY, ordinal: str = "_ord") -> DataFrame:
@@ -164,27 +184,26 @@ def ewma_many(df: DataFrame, outs: dict[str, tuple[str, float]], key=KEY, ordina
     """Exponential means ``{out: (value, alpha)}`` along ``ordinal``, which is dense and zero-based per key.
 
     Inside a block the recurrence is a running sum of values scaled by (1-alpha)^-position.  Blocks are full, so the
-    state that enters block b is a sum over earlier block ends weighted by (1-alpha)^(512 * distance); terms
+    state that enters block b is a sum over earlier block ends weighted by (1-alpha)^(block * distance); terms
     below the resolution of a double are left out.
     """
-    if any(not 0 <= a <= 0.7 for _, a in outs.values()):
-        raise ValueError("alpha must lie within 0 and 0.7")
+    size = ewma_block([a for _, a in outs.values()])
     keys, o = _keys(key), F.col(ordinal)
-    pos = (o % EWMA_BLOCK).cast("double")
-    d = df.withColumn("_blk", floor_div(o, EWMA_BLOCK))
+    pos = (o % size).cast("double")
+    d = df.withColumn("_blk", floor_div(o, size))
     scaled = {n: F.when(o == 0, F.col(v)).otherwise(F.col(v) * F.lit(a)) * F.pow(F.lit(1.0 - a), -pos)
               for n, (v, a) in outs.items()}
     w = Window.partitionBy(*keys, "_blk").orderBy(ordinal).rowsBetween(Window.unboundedPreceding, 0)
     local = d.select("*", *[(F.sum(x).over(w) * F.pow(F.lit(1.0 - outs[n][1]), pos)).alias(f"_s_{n}")
                             for n, x in scaled.items()])
-    ends = d.groupBy(*keys, "_blk").agg(*[(F.sum(x) * F.lit((1.0 - outs[n][1]) ** (EWMA_BLOCK - 1))).alias(f"_e_{n}")
+    ends = d.groupBy(*keys, "_blk").agg(*[(F.sum(x) * F.lit((1.0 - outs[n][1]) ** (size - 1))).alias(f"_e_{n}")
                                           for n, x in scaled.items()])
     wb = Window.partitionBy(*keys).orderBy("_blk")
 
     def entering(n: str) -> Column:
         q = 1.0 - outs[n][1]
-        reach = max(1, math.ceil(45.0 / (-EWMA_BLOCK * math.log(q))))
-        return sum((F.coalesce(F.lag(f"_e_{n}", j).over(wb), F.lit(0.0)) * F.lit(q ** (EWMA_BLOCK * (j - 1)))
+        reach = max(1, math.ceil(45.0 / (-size * math.log(q))))
+        return sum((F.coalesce(F.lag(f"_e_{n}", j).over(wb), F.lit(0.0)) * F.lit(q ** (size * (j - 1)))
                     for j in range(2, reach + 1)), F.coalesce(F.lag(f"_e_{n}", 1).over(wb), F.lit(0.0)))
 
     enter = ends.select(*keys, "_blk", *[entering(n).alias(f"_in_{n}") for n in outs])

@@ -5,6 +5,8 @@ Frames are reduced to sparse candidate rows first; only those go through the sta
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.quality import MIN_ISO, pair_valid
@@ -117,16 +119,16 @@ def beat_index(beats: DataFrame, order: str = IDX, out: str = "beat_index") -> D
 
 
 def smooth_ibi(beats: DataFrame, ibi: str = "ibi_ms", order: str = "beat_index") -> DataFrame:
-    """Half-average from 0 over changed intervals only; repeats keep the value."""
-    state, out = "struct<s:double,last:double>", "struct<o:bigint,smoothed_ibi_ms:double>"
-
-    def step(a, x):
-        s = F.when(x[ibi] == a["last"], a["s"]).otherwise((a["s"] + x[ibi]) / 2.0)
-        return move(F.struct(s, x[ibi]), F.struct(x["_o"], s))
-
-    init = F.struct(F.lit(0.0), F.lit(0.0))
-    folded = fold(beats, order, [ibi], init, step, state, out).withColumnRenamed("o", order)
-    return beats.join(folded, [KEY, order])
+    """Half-average from 0 over changed intervals only; repeats and missing intervals keep the value."""
+    d = dense_from(beats, order).withColumnRenamed("_ord", "_row")
+    h = Halo(d, back=1, idx="_row")
+    before = F.coalesce(F.lag(ibi).over(h.window), F.lit(0.0))
+    d = h.trim(h.spread(d).withColumn("_new", F.col(ibi).isNotNull() & (F.col(ibi) != before)))
+    # over changed intervals the recurrence is an exponential mean; halving the first value stands for the start at 0
+    x = dense_from(d.where("_new").select(KEY, "_row", F.col(ibi).cast("double").alias("_x")), "_row")
+    x = ewma(x.withColumn("_x", F.when(F.col("_ord") == 0, F.col("_x") / 2.0).otherwise(F.col("_x"))), "_x", 0.5, "smoothed_ibi_ms")
+    d = carry(d.join(x.select(KEY, "_row", "smoothed_ibi_ms"), [KEY, "_row"], "left"), ["smoothed_ibi_ms"], idx="_row")
+    return d.withColumn("smoothed_ibi_ms", F.coalesce("smoothed_ibi_ms", F.lit(0.0))).select(*beats.columns, "smoothed_ibi_ms")
 
 
 def frame_state(sig: DataFrame, peaks: DataFrame) -> DataFrame:
@@ -146,20 +148,22 @@ def frame_state(sig: DataFrame, peaks: DataFrame) -> DataFrame:
             .drop("_i", "_s", "_b", "_before"))
 
 
-def local_extremes(states: DataFrame, chunk: int | None = None) -> DataFrame:
+def local_extremes(states: DataFrame, chunk: int | None = None, max_interval_s: float = MAX_INTERVAL_S) -> DataFrame:
     """Best valley and peak of the rise and fall searches, for frames that run the search.
 
-    Search ranges count frames back and follow the current interval, at most 53 frames.  Only turning points enter
-    the per-frame lists, so they stay short.
+    Search ranges count frames back and follow the current interval.  ``max_interval_s`` bounds them; a row with a longer
+    interval is an error, never a shorter search.  Only turning points enter the per-frame lists, so they stay short.
     """
-    h = Halo(states, back=56, chunk=chunk)
+    reach = min(math.floor(max_interval_s * FPS + 0.5) + 10, RING - 5) - 3
+    h = Halo(states, back=reach, chunk=chunk)
     d = h.spread(states)
     point = F.struct(F.col("ring").alias("v"), F.col(IDX).alias("i"))
-    span = h.rows(-56, -2)
+    span = h.rows(-reach, -2)
     d = d.select("*", F.collect_list(F.when(F.col("is_low"), point)).over(span).alias("_lows"),
                  F.collect_list(F.when(F.col("is_high"), point)).over(span).alias("_highs"))
     d = h.trim(d).where("gidx is not null and not is_beat")
     n = F.least(java_round(F.col("ibi_ms") / (1000.0 / FPS)) + 10, F.lit(RING - 5))
+    n = F.when(n - 3 <= reach, n).otherwise(F.raise_error(F.lit(f"an interval is longer than max_interval_s = {max_interval_s}")))
     d = d.withColumn("_n", n).withColumn("_half", F.floor(F.col("_n") / 2).cast("bigint"))
     half, last = F.col("_half"), F.col("_n") - 2
 

@@ -13,7 +13,7 @@ from ..functions import waves
 from ..functions.lets import let
 from ..functions.scalars import VIB_OFF, VIB_ON, magnitude
 from .aggregates import quantiles
-from .chunks import KEY
+from .chunks import KEY, attach
 from .joins import asof_nearest, assign_beat
 from .rolling import rolling_sd
 
@@ -81,14 +81,14 @@ def ridge_loso(rows: DataFrame, features: Sequence[str], target: str, alpha: flo
 
 def predict_loso(rows: DataFrame, folds: DataFrame, features: Sequence[str], subject: str = "subject") -> DataFrame:
     from ..functions.models import linear_predict
-    return rows.join(folds, subject).withColumn("pred", linear_predict("coefs", F.array(
+    return attach(rows, folds, subject, features).withColumn("pred", linear_predict("coefs", F.array(
         *[F.col(c).cast("double") for c in features]))).drop("coefs")
 
 
 def bp_errors(rows: DataFrame, pred: str = "pred", ref: str = "ref", subject: str = "subject") -> DataFrame:
     """Per subject: level error, and mean absolute / RMS error after removing both subject means."""
     means = rows.groupBy(subject).agg(F.avg(pred).alias("_p"), F.avg(ref).alias("_r"))
-    d = rows.join(means, subject).withColumn("_e", (F.col(pred) - F.col("_p")) - (F.col(ref) - F.col("_r")))
+    d = attach(rows, means, subject, [pred, ref]).withColumn("_e", (F.col(pred) - F.col("_p")) - (F.col(ref) - F.col("_r")))
     return d.groupBy(subject).agg(
         F.count(F.lit(1)).alias("n"), F.abs(F.first("_p") - F.first("_r")).alias("level_error"),
         F.avg(F.abs("_e")).alias("centred_mae"), F.sqrt(F.avg(F.col("_e") * F.col("_e"))).alias("centred_rmse"))
@@ -98,7 +98,7 @@ def tracking(rows: DataFrame, pred: str = "pred", ref: str = "ref", subject: str
              ) -> DataFrame:
     """Correlation, concordance and sign agreement of deviations from the subject means (ours: delta = value - mean)."""
     means = rows.groupBy(subject, *by).agg(F.avg(pred).alias("_p"), F.avg(ref).alias("_r"))
-    d = rows.join(means, [subject, *by]).withColumn("_x", F.col(pred) - F.col("_p")).withColumn(
+    d = attach(rows, means, [subject, *by], [pred, ref]).withColumn("_x", F.col(pred) - F.col("_p")).withColumn(
         "_y", F.col(ref) - F.col("_r"))
     ccc = 2 * F.covar_pop("_x", "_y") / (F.var_pop("_x") + F.var_pop("_y") + F.pow(F.avg("_x") - F.avg("_y"), F.lit(2.0)))
     moved = (F.col("_x") != 0) & (F.col("_y") != 0)
@@ -118,9 +118,9 @@ def reject_outliers(rows: DataFrame, feature: str, ref: str, mode: str = "artifa
         m = quantiles(d, cols, [0.5], [key])
         return m.groupBy(key).agg(*[F.max(F.when(F.col("column") == c, F.col("value"))).alias(n) for c, n in zip(cols, names)])
 
-    d = rows.join(medians(rows, [feature, ref], ["_mf", "_mr"]), key)
+    d = attach(rows, medians(rows, [feature, ref], ["_mf", "_mr"]), key, [feature, ref])
     d = d.withColumn("_df", F.abs(F.col(feature) - F.col("_mf"))).withColumn("_dr", F.abs(F.col(ref) - F.col("_mr")))
-    d = d.join(medians(d, ["_df", "_dr"], ["_sf", "_sr"]), key)
+    d = attach(d, medians(d, ["_df", "_dr"], ["_sf", "_sr"]), key, [feature, ref])
     scale = limit * 1.4826
     far_f, far_r = F.col("_df") > F.col("_sf") * scale, F.col("_dr") > F.col("_sr") * scale
     drop = (far_f | far_r) if mode == "mad_both" else (far_f & ~far_r)
@@ -154,7 +154,7 @@ def wave_break(beats: DataFrame, rest, n: int = 64) -> DataFrame:
     mean = points.groupBy(KEY, "_i").agg(F.avg("_v").alias("_m"))
     template = mean.groupBy(KEY).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_m"))),
                                                  lambda x: x["_m"]).alias("_t"))  # n values per session
-    return d.join(template, KEY, "left").withColumn("wave_corr", F.when(F.col("_t").isNotNull(), waves.array_corr(
+    return attach(d, template, KEY, ["beat_index"], "left").withColumn("wave_corr", F.when(F.col("_t").isNotNull(), waves.array_corr(
         F.col("_w"), F.col("_t")))).drop("_w", "_t")
 
 

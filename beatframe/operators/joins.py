@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from .chunks import IDX, KEY, _keys, carry, floor_div
+from .chunks import IDX, KEY, _keys, attach, carry, floor_div
 
 SECOND_MS, SECOND_NS = 1_000, 1_000_000_000
 
@@ -96,16 +96,16 @@ def align(left: DataFrame, right: DataFrame, defaults: dict[str, object], on: Se
 
 
 def label_phase(rows: DataFrame, timeline: DataFrame, on: str = "t_ms", key=KEY) -> DataFrame:
-    """Phase of each row: the first phase that holds it (end exclusive, last phase open); phases of a timeline do not overlap.
+    """Phase of each row: of the phases that hold it (end exclusive, last phase open) the one that started last.
 
-    A timeline has one row per phase, so it is folded to one small map per key and joined by key.
+    A timeline has one row per phase, so it is folded to one small array per key, which is copied for parts of the key's rows.
     """
     keys = _keys(key)
     spans = timeline.where(F.col("start_time_ms") >= 0).groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct("start_time_ms", "end_time_ms", "phase"))).alias("_spans"))
+        F.sort_array(F.collect_list(F.struct("start_time_ms", "end_time_ms", "phase")), asc=False).alias("_spans"))
     inside = lambda s: (s["start_time_ms"] <= F.col(on)) & (
         (s["end_time_ms"] < 0) | (F.col(on) < s["end_time_ms"]))
-    return (rows.join(spans, keys, "left")
+    return (attach(rows, spans, keys, [on], "left")
             .withColumn("phase", F.get(F.filter("_spans", inside), F.lit(0))["phase"]).drop("_spans"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.scalars import PHASE_MS, PHASES, phase_name
-from .chunks import KEY, Halo, carry
+from .chunks import KEY, Halo, attach, carry
 
 
 def durations(overrides: dict[str, int] | None = None) -> dict[str, int]:
@@ -23,7 +23,7 @@ def phase_machine(frames: DataFrame, gate: str = "gate_ok", config: dict[str, in
     ms = durations(config)
     bounds = frames.groupBy(KEY).agg(F.min("t_ms").alias("t0"), F.max("t_ms").alias("t_last"))
     if forced:
-        ready = frames.select(KEY, "t_ms").join(bounds, KEY).where(F.col("t_ms") - F.col("t0") >= ms["placement"])
+        ready = attach(frames.select(KEY, "t_ms"), bounds, KEY, ["t_ms"]).where(F.col("t_ms") - F.col("t0") >= ms["placement"])
     else:
         h = Halo(frames, back=1)
         d = h.spread(frames).withColumn("_before", F.lag(gate).over(h.window))
@@ -35,7 +35,7 @@ def phase_machine(frames: DataFrame, gate: str = "gate_ok", config: dict[str, in
     table = bounds.join(ready.groupBy(KEY).agg(F.min("t_ms").alias("s1")), KEY, "left")
     for i, name in ((2, "rest"), (3, "cold"), (4, "recovery")):
         due = table.select(KEY, (F.col(f"s{i - 1}") + ms[name]).alias("_due")).where("_due is not null")
-        reached = frames.select(KEY, "t_ms").join(due, KEY).where(F.col("t_ms") >= F.col("_due"))
+        reached = attach(frames.select(KEY, "t_ms"), due, KEY, ["t_ms"]).where(F.col("t_ms") >= F.col("_due"))
         table = table.join(reached.groupBy(KEY).agg(F.min("t_ms").alias(f"s{i}")), KEY, "left")
     ends = [F.col("s1"), F.col("s2"), F.col("s3"), F.when(F.col("s4").isNotNull(), F.col("t_last"))]
     starts = [F.col("t0"), F.col("s1"), F.col("s2"), F.col("s3")]

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.models import ALPHA_MAP, ALPHA_PP, M1_MAP, M1_PP, calibrate, linear_predict, linear_terms, literals, total
 from ..functions.quality import finite_or, is_valid
 from ..functions.scalars import dbp_of, map_of, normalize_reason, pp_of, sbp_of
-from .chunks import KEY, cut, ewma_many, running_sum
+from .chunks import attach, KEY, cut, ewma_many, running_sum
 from .joins import with_coefficients
 from .rolling import first_valid
 
@@ -128,7 +128,8 @@ def adaptive_baseline(rows: DataFrame, coef: DataFrame) -> DataFrame:
     """
     rows = cut(rows)
     base = baselines(rows, coef)
-    d = _valid_ordinal(rows, _status_ok(), (KEY, "method"), "beat_index").where("_ok").join(base, [KEY, "method"])
+    d = _valid_ordinal(rows, _status_ok(), (KEY, "method"), "beat_index").where("_ok")
+    d = attach(d, base, [KEY, "method"], ["beat_index"])
     centred = F.zip_with(_named(F.col("feature_names")), F.col("anchor"), lambda x, a: x - a)
     d = d.withColumn("_x", centred)
     d = (d.withColumn("delta_map_terms", linear_terms("delta_map", "_x")).withColumn("delta_pp_terms", linear_terms("delta_pp", "_x"))
@@ -171,7 +172,7 @@ def rich_dynamic(rich: DataFrame, models: dict, blend: dict | None = None) -> Da
     d = smooth_pair(d, keys, "_dm", "_dp", "dynamic_map", "dynamic_pp")
     anchor = d.where(F.col("_ord") < k).groupBy(*keys).agg(
         *[F.median(c).alias(a) for c, a in (("_dm", "_am"), ("_dp", "_ap"), ("dynamic_map", "_sm"), ("dynamic_pp", "_sp"))])
-    d = d.join(anchor, keys)
+    d = attach(d, anchor, keys, ["beat_index"])
     d = (d.withColumn("dynamic_gain_map", gain("MAP")).withColumn("dynamic_gain_pp", gain("PP"))
          .withColumnRenamed("map", "rich_map").withColumnRenamed("pp", "rich_pp")
          .withColumn("dynamic_delta_map", F.col("dynamic_map") - F.col("_sm"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.quality import imu_rate_warning
 from ..functions.scalars import canonical_rotation, col, decode_pattern, tempo_speed
-from .chunks import IDX, KEY, Halo, carry, dense_index, ewma, let, running_sum
+from .chunks import IDX, KEY, Halo, attach, carry, dense_index, ewma, let, running_sum
 
 SECOND_NS = 1_000_000_000
 CLOCK_CHUNK_NS = 60 * SECOND_NS
@@ -143,4 +143,4 @@ def imu_rate_warnings(imu: DataFrame) -> DataFrame:
     d = sampling_rate(imu)
     start = d.where("phase >= 1").groupBy(KEY).agg(F.min("t_ns").alias("_from"))
     ms = (F.col("t_ns") - F.col("_from")) / 1e6
-    return d.join(start, KEY).where(imu_rate_warning("rate_hz", "phase", ms)).drop("_from")
+    return attach(d, start, KEY, ["t_ns"]).where(imu_rate_warning("rate_hz", "phase", ms)).drop("_from")

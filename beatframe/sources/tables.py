@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from ..functions.models import ALPHA_MAP, ALPHA_PP, CALIBRATION, PRESSURE_DBP, PRESSURE_SBP
 from ..functions.scalars import elapsed_s, sanitize_csv, wall_iso
-from ..operators.chunks import KEY, cut
+from ..operators.chunks import KEY, cut, dense_index, floor_div
 
 # File formats (column, decimals; None prints as is).
 FRAME_FORMAT = (("elapsed_s", 3), ("green", 2), ("sin_wave", 2), ("y_mean", 2), ("u_mean", 2), ("v_mean", 2),
@@ -43,9 +43,13 @@ def formatted(df: DataFrame, fmt, header: Sequence[str] | None = None) -> DataFr
     return df.select(*keep, *[_text(c, d, df.columns).alias(n) for (c, d), n in zip(fmt, names)])
 
 
-def _read(spark: SparkSession, path: str, fmt) -> DataFrame:
-    d = (spark.read.csv(path, schema=_schema(fmt), header=True, enforceSchema=True, ignoreLeadingWhiteSpace=True))
-    return d.withColumn(KEY, F.regexp_extract(F.col("_metadata.file_path"), r"session_id=([^/]+)/", 1))
+def _read(spark: SparkSession, path: str, fmt, kind: str) -> DataFrame:
+    """Rows of ``session_id=<name>`` folders or of flat ``<name>_<kind>.csv`` files."""
+    d = spark.read.csv(path, schema=_schema(fmt), header=True, enforceSchema=True, ignoreLeadingWhiteSpace=True,
+                       pathGlobFilter="*.csv")
+    file = F.expr("url_decode(replace(_metadata.file_path, '+', '%2B'))")
+    folder = F.regexp_extract(file, r"session_id=([^/]+)/", 1)
+    return d.withColumn(KEY, F.when(folder != "", folder).otherwise(F.regexp_extract(file, rf"([^/]+)_{kind}\.csv$", 1)))
 
 
 def _write(df: DataFrame, path: str, fmt, header, order: str, mirror: str | None) -> None:
@@ -66,7 +70,10 @@ def _write(df: DataFrame, path: str, fmt, header, order: str, mirror: str | None
 
 
 def read_frames(spark: SparkSession, path: str) -> DataFrame:
-    return _read(spark, path, FRAME_FORMAT)
+    """Frames as the detector takes them: file columns, ``t_ms``, ``t_ns`` and a dense ``frame_idx`` in time order."""
+    d = _read(spark, path, FRAME_FORMAT, "Wave_Data").withColumn(
+        "t_ms", F.round(F.coalesce("elapsed_s", F.lit(0.0)) * 1000).cast("bigint")).withColumn("t_ns", F.col("t_elapsed_ns"))
+    return dense_index(d, [F.col("t_ms"), F.col("t_ns")], floor_div(F.col("t_ms"), 60_000))
 
 
 def write_frames(df: DataFrame, path: str, mirror: str | None = None) -> None:
@@ -74,7 +81,9 @@ def write_frames(df: DataFrame, path: str, mirror: str | None = None) -> None:
 
 
 def read_imu(spark: SparkSession, path: str) -> DataFrame:
-    return _read(spark, path, IMU_FORMAT)
+    """Sensor samples: file columns, ``t_ns`` and a dense ``frame_idx`` in time order."""
+    d = _read(spark, path, IMU_FORMAT, "IMU_Data").withColumn("t_ns", F.coalesce("t_elapsed_ns", F.lit(0).cast("bigint")))
+    return dense_index(d, [F.col("t_ns")], floor_div(F.col("t_ns"), 60_000_000_000))
 
 
 def write_imu(df: DataFrame, path: str, mirror: str | None = None) -> None:
