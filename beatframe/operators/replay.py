@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.models import ALPHA_MAP, ALPHA_PP, M1_MAP, M1_PP, calibrate, linear_predict, linear_terms, literals, total
 from ..functions.quality import finite_or, is_valid
 from ..functions.scalars import dbp_of, map_of, normalize_reason, pp_of, sbp_of
-from .chunks import attach, KEY, cut, ewma_many, running_sum
+from .chunks import KEY, attach, cut, ewma_many, running_sum
 from .joins import with_coefficients
 from .rolling import first_valid
 

@@ -54,12 +54,12 @@ EV = """ev AS (SELECT user_id AS session_id, row_number() OVER (PARTITION BY use
  epoch_us(ts) // 1000 AS ts_ms FROM events)"""
 
 
-def line_rows(spark, sf, *cols: str) -> DataFrame:
+def line_rows(spark, sf, *cols: str, session: Column | None = None) -> DataFrame:
     """lineitem as long sessions: one per supplier, in ship order, with a dense frame index."""
-    li = table(spark, sf, "lineitem").withColumnRenamed("l_suppkey", "session_id")
+    li = table(spark, sf, "lineitem").withColumn("session_id", F.col("l_suppkey") if session is None else session)
     keep = li.select("session_id", "l_shipdate", "l_orderkey", "l_linenumber", *cols)
     return dense_index(keep, [F.col("l_shipdate"), F.col("l_orderkey"), F.col("l_linenumber")],
-                       F.year("l_shipdate")).drop("l_shipdate", "l_orderkey", "l_linenumber")
+                       F.unix_date(F.col("l_shipdate").cast("date"))).drop("l_shipdate", "l_orderkey", "l_linenumber")
 
 
 LI_ORDER = "PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber"
@@ -76,7 +76,8 @@ LI = f"""li AS (SELECT l_suppkey AS session_id, row_number() OVER ({LI_ORDER}) -
 
 
 def imu_samples(spark, sf) -> DataFrame:
-    d = line_rows(spark, sf, "l_quantity", "l_discount", "l_tax")
+    """lineitem as ten motion-sensor sessions at 400 Hz, many motor cycles each."""
+    d = line_rows(spark, sf, "l_quantity", "l_discount", "l_tax", session=F.col("l_suppkey") % 10)
     ms = F.floor(F.col("frame_idx") * 2.5).cast("bigint")
     b = burst_state(ms)
     return d.select("session_id", "frame_idx", (F.col("frame_idx") * 2_500_000).alias("t_ns"),
@@ -85,7 +86,8 @@ def imu_samples(spark, sf) -> DataFrame:
                     b["cycle"].alias("burst_id"))
 
 
-IMU = f"""im0 AS (SELECT l_suppkey AS session_id, row_number() OVER ({LI_ORDER}) - 1 AS frame_idx, CAST(l_quantity AS FLOAT) AS accel_x,
+IMU_ORDER = "PARTITION BY l_suppkey % 10 ORDER BY l_shipdate, l_orderkey, l_linenumber"
+IMU = f"""im0 AS (SELECT l_suppkey % 10 AS session_id, row_number() OVER ({IMU_ORDER}) - 1 AS frame_idx, CAST(l_quantity AS FLOAT) AS accel_x,
  CAST(l_discount * 100 AS FLOAT) AS accel_y, CAST(l_tax * 100 AS FLOAT) AS accel_z FROM lineitem),
 im1 AS (SELECT *, frame_idx * 2500000 AS t_ns, CAST(floor(frame_idx * 2.5) AS BIGINT) AS ms FROM im0),
 imu AS (SELECT session_id, frame_idx, t_ns, accel_x, accel_y, accel_z, CASE WHEN ms % 2100 < 1500 THEN 0 WHEN ms % 2100 < 1550 THEN 2

@@ -229,12 +229,12 @@ def sampling_rate(spark, sf):
     return rounded(ro.sampling_rate(imu_samples(spark, sf)).select("session_id", "frame_idx", "rate_hz"), "rate_hz")
 
 
-@query("q14_imu_rate_warning", f"""WITH {EV}, im AS (SELECT session_id, frame_idx, phase, ts_ms * 1000000 AS t_ns FROM ev),
+@query("q14_imu_rate_warning", f"""WITH {EV}, im AS (SELECT session_id, frame_idx, phase, ts_ms * 20 AS t_ns FROM ev),
 x AS (SELECT *, count(*) OVER r AS n, min(t_ns) OVER r AS a FROM im WINDOW r AS (PARTITION BY session_id ORDER BY t_ns RANGE BETWEEN 1000000000 PRECEDING AND CURRENT ROW)),
 p AS (SELECT session_id, min(t_ns) AS f FROM im WHERE phase >= 1 GROUP BY 1)
 SELECT session_id, frame_idx FROM x JOIN p USING (session_id) WHERE phase >= 1 AND (t_ns - f) / 1e6 >= 3000 AND n >= 2 AND t_ns > a AND (n - 1) / ((t_ns - a) / 1e9::DOUBLE) < 250""")
 def rate_warning(spark, sf):
-    im = event_frames(spark, sf).select("session_id", "frame_idx", "phase", (C("ts_ms") * 1_000_000).alias("t_ns"))
+    im = event_frames(spark, sf).select("session_id", "frame_idx", "phase", (C("ts_ms") * 20).alias("t_ns"))
     return ro.imu_rate_warnings(im).select("session_id", "frame_idx")
 
 
@@ -398,7 +398,7 @@ def align(spark, sf):
 
 
 @query("j10_label_phase", f"""WITH {EV}, tl AS (SELECT session_id, phase, min(ts_ms) AS a, min(ts_ms) + 86400000 * 10 AS b FROM ev GROUP BY 1, 2),
-x AS (SELECT ev.session_id, ev.frame_idx, min(struct_pack(a := tl.a, b := tl.b, p := tl.phase)) AS m FROM ev JOIN tl ON tl.session_id = ev.session_id AND ts_ms >= a AND ts_ms < b GROUP BY 1, 2)
+x AS (SELECT ev.session_id, ev.frame_idx, max(struct_pack(a := tl.a, b := tl.b, p := tl.phase)) AS m FROM ev JOIN tl ON tl.session_id = ev.session_id AND ts_ms >= a AND ts_ms < b GROUP BY 1, 2)
 SELECT ev.session_id, ev.frame_idx, x.m.p AS phase FROM ev LEFT JOIN x USING (session_id, frame_idx)""")
 def phase_label(spark, sf):
     e = event_frames(spark, sf)

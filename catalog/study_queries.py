@@ -74,10 +74,10 @@ def decimate(spark, sf):
     return rounded(d.groupBy("session_id", "factor").agg(F.count("*").alias("n"), F.max("frame_idx").alias("last_idx"), F.sum("green_raw").alias("total")), "total")
 
 
-@query("d9_envelope", f"""WITH {BF}, a AS (SELECT session_id, beat_index // 20 AS beat_index, max(A * A * A) - min(A * A * A) AS amp FROM bf WHERE E > 4 GROUP BY 1, 2), t AS (SELECT session_id, max(amp) AS peak_amp, min(struct_pack(a := -amp, b := beat_index)).b AS map_beat FROM a GROUP BY 1),
+@query("d9_envelope", f"""WITH {BF}, a AS (SELECT session_id, beat_index // 20 AS beat_index, max(A * A * A) - min(A * A * A) AS amp FROM bf GROUP BY 1, 2), t AS (SELECT session_id, max(amp) AS peak_amp, min(struct_pack(a := -amp, b := beat_index)).b AS map_beat FROM a GROUP BY 1),
 g AS (SELECT a.session_id, min(a.beat_index) AS vanish_beat FROM a JOIN t USING (session_id) WHERE a.beat_index > map_beat AND amp < peak_amp * 0.6 GROUP BY 1) SELECT session_id, round(peak_amp, 6) AS peak_amp, map_beat, vanish_beat FROM t LEFT JOIN g USING (session_id)""")
 def envelope(spark, sf):
-    d = feature_rows(spark, sf).where("E > 4").select("session_id", F.floor(C("beat_index") / 20).alias("beat_index"), (C("A") * C("A") * C("A")).alias("v"))
+    d = feature_rows(spark, sf).select("session_id", F.floor(C("beat_index") / 20).alias("beat_index"), (C("A") * C("A") * C("A")).alias("v"))
     return rounded(ev.envelope(d, 0.6), "peak_amp")
 
 
@@ -99,7 +99,10 @@ def on_frames(spark, sf):
     return rounded(ev.imu_on_frames(imu, imu.where("frame_idx % 13 = 5").select("session_id", "t_ns", "frame_idx"), ["accel_x"]), "accel_x")
 
 
-@query("d13_resonance")
+@query("d13_resonance", f"""WITH {IMU}, o AS (SELECT session_id, t_ns / 1e9::DOUBLE AS t, sqrt(CAST(accel_x AS DOUBLE) * accel_x + CAST(accel_y AS DOUBLE) * accel_y + CAST(accel_z AS DOUBLE) * accel_z) AS m FROM imu WHERE vib_state = 1),
+a AS (SELECT session_id, avg(m) AS am, count(*) AS n FROM o GROUP BY 1), p AS (SELECT session_id, n, f, (power(sum((m - am) * cos(2 * pi() * f * t)), 2) + power(sum((m - am) * sin(2 * pi() * f * t)), 2)) / (n * n) AS pw
+ FROM o JOIN a USING (session_id), (SELECT 20.0::DOUBLE + 5 * i AS f FROM range(30) r(i)) g GROUP BY 1, 2, 3)
+SELECT session_id, n, f AS resonance_hz, round(pw, 6) AS power FROM p QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY pw DESC, f) = 1""")
 def resonance(spark, sf):
     return rounded(ev.resonance(imu_samples(spark, sf), [20.0 + 5 * i for i in range(30)]), "power")
 
@@ -109,11 +112,11 @@ def off(spark, sf):
     return rounded(ev.off_window(imu_samples(spark, sf)), "on_rms", "off_rms", "snr")
 
 
-@query("d15_ingest", """WITH l AS (SELECT user_id AS session_id, CASE event_type WHEN 'click' THEN 'Wave_Data' WHEN 'view' THEN 'Training_Data' ELSE 'IMU_Data' END AS kind FROM events WHERE value > 60)
+@query("d15_ingest", """WITH l AS (SELECT user_id AS session_id, CASE WHEN value <= 60 THEN 'Other' ELSE CASE event_type WHEN 'click' THEN 'Wave_Data' WHEN 'view' THEN 'Training_Data' ELSE 'IMU_Data' END END AS kind FROM events)
 SELECT session_id, max(CASE WHEN kind = 'IMU_Data' THEN 1 ELSE 0 END) AS has_imu FROM l WHERE session_id % 4 <> 0 GROUP BY 1 HAVING bool_or(kind = 'Wave_Data') AND bool_or(kind = 'Training_Data')""")
 def ingest(spark, sf):
     e = table(spark, sf, "events")
-    listing = e.where("value > 60").select(C("user_id").alias("session_id"), F.expr("CASE event_type WHEN 'click' THEN 'Wave_Data' WHEN 'view' THEN 'Training_Data' ELSE 'IMU_Data' END").alias("kind"))
+    listing = e.select(C("user_id").alias("session_id"), F.expr("CASE WHEN value <= 60 THEN 'Other' ELSE CASE event_type WHEN 'click' THEN 'Wave_Data' WHEN 'view' THEN 'Training_Data' ELSE 'IMU_Data' END END").alias("kind"))
     return ev.ingest(listing, e.where("user_id % 4 = 0").select(C("user_id").alias("session_id")).distinct())
 
 

@@ -1,29 +1,71 @@
 """Output tables: frame and sensor rows as written, method tables, interval tables, events, training table."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from beatframe.functions import models as m
 from beatframe.operators.aggregates import phase_spans
 from beatframe.functions.scalars import phase_name
+from beatframe.operators.chunks import ensure_checkpoint_dir
+from beatframe.operators.detect import detect_beats
 from beatframe.plans import session as plan
 from beatframe.sources import tables as t
-from .base import BF, EV, IMU, LI, event_frames, feature_rows, imu_samples, line_frames, query, r6
+from .base import BF, EV, IMU, LI, event_frames, feature_rows, imu_samples, line_frames, query, r6, rounded
 from .model_queries import coefficient_fixture, feats, post_sql, score_sql
+from .signal_queries import BEATS_COLS, BEATS_R, peaks_sql
 
 C = F.col
 
 
-@query("s1_frame_rows", f"""WITH {EV} SELECT session_id, printf('%.3f', t_ms / 1000.0::DOUBLE) AS elapsed, printf('%.2f', green_raw) AS green, printf('%.4f', green_raw) AS green_raw, CAST(phase AS VARCHAR) AS phase, '0.00' AS y_mean FROM ev""")
+# what each file column holds: Spark expression over event frames, SQL over ev, decimals
+FRAME_FILL = {"elapsed_s": ("t_ms / 1000.0", "t_ms / 1000.0::DOUBLE"), "green": ("green_raw", "green_raw"), "sin_wave": ("green_raw * 3", "green_raw * 3"),
+              "y_mean": ("green_raw * 2", "green_raw * 2"), "u_mean": ("green_raw + 1", "green_raw + 1"), "v_mean": ("green_raw + 2", "green_raw + 2"),
+              "contact_area": ("frame_idx * 10", "frame_idx * 10"), "touch_pressure": ("green_raw / 100", "green_raw / 100"),
+              "touch_cx": ("frame_idx + 0.5D", "frame_idx + 0.5::DOUBLE"), "touch_cy": ("frame_idx + 0.25D", "frame_idx + 0.25::DOUBLE"),
+              "touch_major": ("iso", "iso"), "touch_minor": ("iso + 1", "iso + 1"), "touch_valid": ("frame_idx % 2", "frame_idx % 2"),
+              "phase": ("phase", "phase"), "press_target": ("iso * 0.125D", "iso * 0.125::DOUBLE"), "t_elapsed_ns": ("ts_ms * 1000", "ts_ms * 1000"),
+              "vib_state": ("frame_idx % 3", "frame_idx % 3"), "burst_id": ("floor(frame_idx / 7)", "frame_idx // 7"), "green_raw": ("green_raw", "green_raw")}
+
+
+def _file_sql(fmt, of):
+    return ", ".join(f"CAST(CAST({of(c)} AS BIGINT) AS VARCHAR) AS {c}" if d is None else f"printf('%.{d}f', CAST({of(c)} AS DOUBLE)) AS {c}"
+                     for c, d in fmt)
+
+
+@query("s1_frame_rows", f"WITH {EV} SELECT session_id, {_file_sql(t.FRAME_FORMAT, lambda c: FRAME_FILL[c][1])} FROM ev")
 def frame_rows(spark, sf):
-    f = event_frames(spark, sf).withColumn("elapsed_s", C("t_ms") / 1000.0).withColumn("green", C("green_raw"))
-    d = t.formatted(f, t.FRAME_FORMAT)
-    return d.select("session_id", C("elapsed_s").alias("elapsed"), "green", "green_raw", "phase", "y_mean")
+    f = event_frames(spark, sf)
+    return t.formatted(f.select("session_id", *[F.expr(e).alias(c) for c, (e, _) in FRAME_FILL.items()]), t.FRAME_FORMAT)
+
+
+IMU_FILL = {"t_elapsed_ns": "t_ns", "gyro_x": "0", "gyro_y": "0", "gyro_z": "0", "phase": "0"}
 
 
-@query("s2_imu_rows", f"""WITH {IMU} SELECT session_id, CAST(t_ns AS VARCHAR) AS t_elapsed_ns, printf('%.6f', CAST(accel_x AS DOUBLE)) AS accel_x, CAST(vib_state AS VARCHAR) AS vib_state, CAST(burst_id AS VARCHAR) AS burst_id FROM imu""")
+@query("s2_imu_rows", f"WITH {IMU} SELECT session_id, {_file_sql(t.IMU_FORMAT, lambda c: IMU_FILL.get(c, c))} FROM imu")
 def imu_rows(spark, sf):
-    d = t.formatted(imu_samples(spark, sf).withColumnRenamed("t_ns", "t_elapsed_ns"), t.IMU_FORMAT)
-    return d.select("session_id", "t_elapsed_ns", "accel_x", "vib_state", "burst_id")
+    return t.formatted(imu_samples(spark, sf).withColumnRenamed("t_ns", "t_elapsed_ns"), t.IMU_FORMAT)
+
+
+def _folder(spark, name):
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+@query("s1_files_to_beats", f"""WITH RECURSIVE {LI}, {peaks_sql('li', False)} SELECT session_id, frame_idx, gidx, t_peak, {BEATS_R} FROM beats""")
+def files_to_beats(spark, sf):
+    path = _folder(spark, "frames")
+    t.write_frames(line_frames(spark, sf).withColumn("elapsed_s", C("t_ms") / 1000.0), path)
+    d = rounded(detect_beats(t.read_frames(spark, path)), *BEATS_COLS)
+    return d.withColumn("session_id", C("session_id").cast("bigint"))
+
+
+@query("s2_files_round_trip", f"WITH {IMU} SELECT session_id, frame_idx, t_ns, round(CAST(accel_x AS DOUBLE), 6) AS accel_x, round(CAST(accel_y AS DOUBLE), 6) AS accel_y, round(CAST(accel_z AS DOUBLE), 6) AS accel_z, vib_state, burst_id FROM imu")
+def imu_round_trip(spark, sf):
+    path = _folder(spark, "imu")
+    t.write_imu(imu_samples(spark, sf).withColumnRenamed("t_ns", "t_elapsed_ns"), path)
+    d = t.read_imu(spark, path).select("session_id", "frame_idx", "t_ns", "accel_x", "accel_y", "accel_z", "vib_state", "burst_id")
+    return rounded(d.withColumn("session_id", C("session_id").cast("bigint")), "accel_x", "accel_y", "accel_z")
 
 
 SCORE_SRC = ", src AS MATERIALIZED (SELECT session_id, beat_index, CASE WHEN ran = 1 THEN s ELSE 0 END AS s, CASE WHEN ran = 1 THEN d ELSE 0 END AS d, reason = 'ok' AS ok FROM sc), "
