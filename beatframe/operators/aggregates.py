@@ -173,19 +173,20 @@ def valid_counts(rows: DataFrame, methods: Sequence[str] = ("M1", "M2", "M3"), k
 
 
 # ---------------------------------------------------------------- images and touch
-def roi_means(pixels: DataFrame, inset: float = 0.30, stride: int = 4, inside: bool | None = None,
-              values: Sequence[str] = ("yv",), key: Sequence[str] = (IDX,)) -> DataFrame:
-    """Mean pixel value per frame.
+def core_means(pixels: DataFrame, values: Sequence[str] = ("yv",), key: Sequence[str] = (IDX,)) -> DataFrame:
+    """Mean pixel value outside and inside of the central half, in one pass."""
+    x, y, w, h = (F.col(c) for c in ("x", "y", "width", "height"))
+    core = ((x >= F.floor(w / 4)) & (x < F.floor(w * 3 / 4)) & (y >= F.floor(h / 4)) & (y < F.floor(h * 3 / 4)))
+    mean = lambda keep, v: F.coalesce(F.avg(F.when(keep, F.col(v))), F.lit(0.0))
+    return pixels.groupBy(*key).agg(*[mean(~core, v).alias(f"{v}_outer") for v in values], *[mean(core, v).alias(f"{v}_inner") for v in values])
 
-    ``inside=None``: inset centre region sampled with a stride; True / False: inside / outside of the central half.
-    """
+
+def roi_means(pixels: DataFrame, inset: float = 0.30, stride: int = 4, values: Sequence[str] = ("yv",), key: Sequence[str] = (IDX,)
+              ) -> DataFrame:
+    """Mean pixel value per frame of the inset centre region, sampled with a stride."""
     x, y, w, h = (F.col(c) for c in ("x", "y", "width", "height"))
-    if inside is None:
-        x0, y0 = F.floor(w * inset), F.floor(h * inset)
-        keep = ((x >= x0) & (x < w - x0) & (y >= y0) & (y < h - y0) & ((x - x0) % stride == 0) & ((y - y0) % stride == 0))
-    else:
-        core = ((x >= F.floor(w / 4)) & (x < F.floor(w * 3 / 4)) & (y >= F.floor(h / 4)) & (y < F.floor(h * 3 / 4)))
-        keep = core if inside else ~core
+    x0, y0 = F.floor(w * inset), F.floor(h * inset)
+    keep = ((x >= x0) & (x < w - x0) & (y >= y0) & (y < h - y0) & ((x - x0) % stride == 0) & ((y - y0) % stride == 0))
     return pixels.groupBy(*key).agg(*[F.coalesce(F.avg(F.when(keep, F.col(v))), F.lit(0.0)).alias(f"{v}_mean")
                                       for v in values])
 

@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from ..functions.quality import MIN_ISO
 from ..functions.scalars import FPS
@@ -198,21 +199,33 @@ def finish_sessions(stream: DataFrame, timeout: str = "30 seconds", ts: str = "t
         KEY, F.col("w.start").alias("started"), F.col("w.end").alias("ended"), "n_frames", "last_green")
 
 
-def autosave(beats: DataFrame, path: str, checkpoint: str, every: int = 60):
+SAVE_BUCKETS = 64
+
+
+def autosave(beats: DataFrame, path: str, checkpoint: str, every: int = 60, buckets: int = SAVE_BUCKETS):
     """Keep a table of all beats and rewrite the snapshot of a session each time it passes a multiple of ``every``.
 
-    Batches run one after another, so one save is in flight; a repeated batch overwrites its own part.
+    Beats are partitioned by a bucket of the session and the batch.  Counts per session go on from the counts of the batch before, and only
+    the buckets of sessions that are due are read.  Batches run one after another, so one save is in flight; a repeated
+    batch overwrites its own part and its own counts.
     """
     def save(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{path}/beats/batch={epoch}")
-        touched = batch.select(KEY).distinct()
-        everything = spark.read.parquet(f"{path}/beats").join(touched, KEY, "left_semi")
-        counts = everything.groupBy(KEY).agg(
-            F.count(F.lit(1)).alias("n"), F.count_if(F.col("batch") < epoch).alias("before"))
-        crossed = counts.where(F.floor(F.col("n") / every) > F.floor(F.col("before") / every)).select(KEY)
-        due = everything.join(crossed, KEY, "left_semi").drop("batch")
-        due.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(KEY).parquet(f"{path}/snapshot")
+        rows = batch.withColumn("bucket", F.pmod(F.xxhash64(KEY), F.lit(buckets)).cast("int")).withColumn("batch", F.lit(epoch).cast("bigint"))
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").parquet(f"{path}/beats")
+        kind = StructType([batch.schema[KEY], StructField("bucket", IntegerType()), StructField("n", LongType())])
+        before = spark.read.schema(kind).parquet(f"{path}/counts/{epoch - 1}") if epoch else spark.createDataFrame([], kind)
+        fresh = rows.groupBy(KEY, "bucket").agg(F.count(F.lit(1)).alias("new"))
+        now = before.join(fresh, [KEY, "bucket"], "full").select(KEY, "bucket", F.coalesce("n", F.lit(0)).alias("old"),
+                                                                 (F.coalesce("n", F.lit(0)) + F.coalesce("new", F.lit(0))).alias("n"))
+        now.write.mode("overwrite").parquet(f"{path}/counts/{epoch}")
+        counted = spark.read.parquet(f"{path}/counts/{epoch}")
+        due = counted.where(F.floor(F.col("n") / every) > F.floor(F.col("old") / every)).select(KEY, "bucket")
+        full = due.select("bucket").distinct().collect()  # at most ``buckets`` numbers
+        if full:
+            held = spark.read.parquet(f"{path}/beats").where(F.col("bucket").isin([r.bucket for r in full]) & (F.col("batch") <= epoch))
+            held.join(due.select(KEY), KEY, "left_semi").drop("bucket", "batch").write.mode("overwrite").option(
+                "partitionOverwriteMode", "dynamic").partitionBy(KEY).parquet(f"{path}/snapshot")
 
     return beats.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).outputMode("append")
 

@@ -572,17 +572,15 @@ def anchors(spark, sf):
     return rounded(agg.anchors(feature_rows(spark, sf), 30, ["A", "V2P"], q.relttp_reason("V2P", "P2V") == "ok"), "A_anchor", "V2P_anchor")
 
 
-@query("a14_roi_means", f"WITH {PX} SELECT frame_idx, round(avg(yv), 6) AS yv_mean FROM px WHERE x >= 2 AND x < 6 AND y >= 2 AND y < 6 AND (x - 2) % 4 = 0 AND (y - 2) % 4 = 0 GROUP BY 1")
+@query("a14_roi_means", f"WITH {PX} SELECT frame_idx, round(avg(yv), 6) AS yv_mean FROM px WHERE x >= 2 AND x < 6 AND y >= 2 AND y < 6 AND (x - 2) % 2 = 0 AND (y - 2) % 2 = 0 GROUP BY 1")
 def roi(spark, sf):
-    return rounded(agg.roi_means(pixels(spark, sf)), "yv_mean")
+    return rounded(agg.roi_means(pixels(spark, sf), stride=2), "yv_mean")
 
 
 @query("a15_outer_inner_means", f"WITH {PX} SELECT frame_idx, round(avg(yv) FILTER (WHERE NOT (x >= 2 AND x < 6 AND y >= 2 AND y < 6)), 6) AS outer_mean, round(avg(yv) FILTER (WHERE x >= 2 AND x < 6 AND y >= 2 AND y < 6), 6) AS inner_mean FROM px GROUP BY 1")
 def halves(spark, sf):
-    p = pixels(spark, sf)
-    a = agg.roi_means(p, inside=False).withColumnRenamed("yv_mean", "outer_mean")
-    b = agg.roi_means(p, inside=True).withColumnRenamed("yv_mean", "inner_mean")
-    return rounded(a.join(b, "frame_idx"), "outer_mean", "inner_mean")
+    d = agg.core_means(pixels(spark, sf)).withColumnsRenamed({"yv_outer": "outer_mean", "yv_inner": "inner_mean"})
+    return rounded(d, "outer_mean", "inner_mean")
 
 
 GEO = {"overlay_w": 1080.0, "overlay_h": 2400.0, "center_x": 180.0, "top_y": 150.0, "half_w": 0.0, "half_h": 0.0, "density": 3.1}

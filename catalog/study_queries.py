@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from beatframe.operators import evaluate as ev
 from .base import BF, IMU, LI, REF, feature_rows, imu_samples, line_frames, query, reference_bp, rounded, table
-from .signal_queries import BEATW, SMP, _line_beats
+from .signal_queries import BEATW, RES, SMP, _line_beats
 
 C = F.col
 
@@ -81,7 +81,8 @@ def envelope(spark, sf):
     return rounded(ev.envelope(d, 0.6), "peak_amp")
 
 
-@query("d10_wave_break")
+@query("d10_wave_break", f"""WITH {LI}, {BEATW}, {SMP}, {RES}, tm AS (SELECT session_id, j, avg(v) AS m FROM rp WHERE beat_index < 8 GROUP BY 1, 2)
+SELECT rp.session_id, rp.beat_index, round(corr(rp.v, tm.m), 6) AS wave_corr FROM rp JOIN tm ON tm.session_id = rp.session_id AND tm.j = rp.j GROUP BY 1, 2""")
 def wave_break(spark, sf):
     d = ev.wave_break(_line_beats(spark, sf), C("beat_index") < 8)
     return rounded(d.select("session_id", "beat_index", "wave_corr"), "wave_corr")

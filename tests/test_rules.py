@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from beatframe.functions import models as m, quality as q, scalars as s
-from beatframe.operators import aggregates as agg, joins as jn, phases as ph, replay as rp, rolling as ro
+from beatframe.operators import aggregates as agg, chunks as ch, detect as det, joins as jn, phases as ph, replay as rp, rolling as ro
 from beatframe.sources import tables as t
 
 
@@ -114,6 +114,52 @@ def test_quantiles_match_percentile(spark):
         assert r.value == pytest.approx(want[r.session_id][[0.1, 0.5, 0.9].index(r.q)])
 
 
+def test_flat_files_feed_the_detector(spark, wave, tmp_path):
+    frames = wave("step_hr").withColumn("elapsed_s", F.col("t_ms") / 1000.0)
+    text = t.formatted(frames.drop("session_id"), t.FRAME_FORMAT, t.FRAME_HEADER).toPandas()
+    (tmp_path / "f").mkdir()
+    text.to_csv(str(tmp_path / "f" / "my run_1_Wave_Data.csv"), index=False)
+    back = t.read_frames(spark, str(tmp_path / "f"))
+    assert {r.session_id for r in back.select("session_id").distinct().collect()} == {"my run_1"}
+    rounded = frames.withColumn("green_raw", F.round("green_raw", 4))
+    key = lambda d: sorted((r.frame_idx, r.t_peak, r.ibi_ms) for r in d.collect())
+    assert key(det.detect_beats(back)) == key(det.detect_beats(rounded))
+
+
+@pytest.mark.parametrize("alpha", [0.001, 0.3, 0.95, 0.9999])
+def test_ewma_of_any_alpha(spark, alpha):
+    import math as m
+    values = [100 * m.sin(i) for i in range(1200)]
+    d = spark.createDataFrame([("s", i, v) for i, v in enumerate(values)], "session_id string, _ord long, v double")
+    got = [r.e for r in ch.ewma(d, "v", alpha, "e").orderBy("_ord").collect()]
+    want, s = [], values[0]
+    for v in values:
+        s = s + alpha * (v - s) if want else v
+        want.append(s)
+    assert got == pytest.approx(want, rel=1e-9, abs=1e-9)
+
+
+def test_half_average_of_a_steady_pulse(spark, small_chunks):
+    values = [0.0, 800.0] + [1000.0] * 300 + [None, 1000.0, 900.0, 900.0]
+    d = spark.createDataFrame([("s", 2 * i + 1, v) for i, v in enumerate(values)], "session_id string, beat_index long, ibi_ms double")
+    got = [r.smoothed_ibi_ms for r in det.smooth_ibi(d).orderBy("beat_index").collect()]
+    assert got[:3] == [0.0, 400.0, 700.0] and set(got[2:303]) == {700.0} and got[-2:] == [got[-1]] * 2
+
+
+def test_search_reach_is_checked(spark):
+    d = spark.createDataFrame([("s", i, i, i * 33, 5.0, False, False, False, 1700.0) for i in range(80)],
+                              "session_id string, frame_idx long, gidx long, t_ms long, ring double, is_low boolean, is_high boolean, is_beat boolean, ibi_ms double")
+    with pytest.raises(Exception, match="max_interval_s"):
+        det.local_extremes(d).collect()
+    assert det.local_extremes(d, max_interval_s=2.0).count() == 80
+
+
+def test_latest_phase_wins(spark):
+    rows = spark.createDataFrame([("s", 5), ("s", 15), ("s", 99)], "session_id string, t_ms long")
+    line = spark.createDataFrame([("s", 0, 0, 20), ("s", 1, 10, 30)], "session_id string, phase int, start_time_ms long, end_time_ms long")
+    assert {r.t_ms: r.phase for r in jn.label_phase(rows, line).collect()} == {5: 0, 15: 1, 99: None}
+
+
 def test_files(spark, tmp_path):
     rows = spark.range(5).select(F.lit("s1").alias("session_id"), (F.col("id") / 30).alias("elapsed_s"), (F.col("id") * 1.5).alias("green"),
                                  (F.col("id") * 7).alias("t_elapsed_ns"), (F.col("id") * 0.12345).alias("green_raw"))
