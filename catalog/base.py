@@ -57,12 +57,13 @@ EV = """ev AS (SELECT user_id AS session_id, row_number() OVER (PARTITION BY use
 def line_rows(spark, sf, *cols: str, session: Column | None = None) -> DataFrame:
     """lineitem as long sessions: one per supplier, in ship order, with a dense frame index."""
     li = table(spark, sf, "lineitem").withColumn("session_id", F.col("l_suppkey") if session is None else session)
-    keep = li.select("session_id", "l_shipdate", "l_orderkey", "l_linenumber", *cols)
-    return dense_index(keep, [F.col("l_shipdate"), F.col("l_orderkey"), F.col("l_linenumber")],
-                       F.unix_date(F.col("l_shipdate").cast("date"))).drop("l_shipdate", "l_orderkey", "l_linenumber")
+    order = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+    keep = li.select("session_id", *order, *cols)
+    return dense_index(keep, [F.col(c) for c in order], F.unix_date(F.col("l_shipdate").cast("date"))).drop(*order)
 
 
-LI_ORDER = "PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber"
+LINES = "ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice"  # a total order of lineitem
+LI_ORDER = f"PARTITION BY l_suppkey {LINES}"
 
 
 def line_frames(spark, sf) -> DataFrame:
@@ -86,7 +87,7 @@ def imu_samples(spark, sf) -> DataFrame:
                     b["cycle"].alias("burst_id"))
 
 
-IMU_ORDER = "PARTITION BY l_suppkey % 10 ORDER BY l_shipdate, l_orderkey, l_linenumber"
+IMU_ORDER = f"PARTITION BY l_suppkey % 10 {LINES}"
 IMU = f"""im0 AS (SELECT l_suppkey % 10 AS session_id, row_number() OVER ({IMU_ORDER}) - 1 AS frame_idx, CAST(l_quantity AS FLOAT) AS accel_x,
  CAST(l_discount * 100 AS FLOAT) AS accel_y, CAST(l_tax * 100 AS FLOAT) AS accel_z FROM lineitem),
 im1 AS (SELECT *, frame_idx * 2500000 AS t_ns, CAST(floor(frame_idx * 2.5) AS BIGINT) AS ms FROM im0),
