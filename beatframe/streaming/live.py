@@ -26,7 +26,7 @@ from ..operators.detect import BPM_HISTORY, MAX_INTERVAL_S, MIN_INTERVAL_S
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need no copy of the package
 
-FEED = ("_us", "_tie", "_t", "green_raw", "iso")
+FEED = {"_us": "int64", "_tie": "int64", "_t": "int64", "green_raw": "float64", "iso": "int64"}
 STATE = ("n bigint, g bigint, last_us bigint, raw array<double>, pos bigint, late int, t bigint, ibi double, "
          "smoothed double, last_ibi double, bpm double, history array<double>, passed_ms bigint, "
          "held_us array<bigint>, held_tie array<bigint>, held_t array<bigint>, held_raw array<double>, held_iso array<int>")
@@ -83,15 +83,15 @@ def _candidates(r: np.ndarray, t_ms: np.ndarray, first: int) -> Iterator[tuple[i
         yield int(i), _half_up(_half_up(t_ms[i] - frame) + max(-0.5, min(0.5, shift)) * frame)
 
 
-def _advance(key: tuple, s: tuple, pdf: pd.DataFrame, clocked: bool) -> tuple[tuple, list[tuple]]:
+def _advance(key: tuple, s: tuple, feed: dict[str, np.ndarray], clocked: bool) -> tuple[tuple, list[tuple]]:
     """Detector state after consecutive frames in order, and the beats they close."""
-    n, g, tail = s[0], s[1], list(s[3])
-    raw = np.array(tail + pdf["green_raw"].tolist(), dtype=float)
-    idx = np.arange(n - len(tail), n + len(pdf))
+    n, g, tail, fresh = s[0], s[1], np.array(s[3], dtype=float), len(feed["_us"])
+    raw = np.concatenate([tail, feed["green_raw"]])
+    idx = np.arange(n - len(tail), n + fresh)
     t_all = np.floor(idx * 1000 / FPS).astype("int64")
     if clocked:
-        t_all[len(tail):] = pdf["_t"].to_numpy()
-    ok = np.concatenate([np.zeros(len(tail), bool), pdf["iso"].to_numpy() >= MIN_ISO])
+        t_all[len(tail):] = feed["_t"]
+    ok = np.concatenate([np.zeros(len(tail), bool), feed["iso"] >= MIN_ISO])
     gidx = g - 1 + np.cumsum(ok)
     pos, late, t, ibi, smoothed, last_ibi, bpm_now, hist = *s[4:11], list(s[11])
     rows = []
@@ -117,7 +117,7 @@ def _advance(key: tuple, s: tuple, pdf: pd.DataFrame, clocked: bool) -> tuple[tu
         else:
             late = 1
         pos, t = int(gidx[i]), t_peak
-    return (n + len(pdf), int(gidx[-1]) + 1, int(pdf["_us"].iloc[-1]), raw[-REACH:].tolist(), pos, late, t, ibi,
+    return (n + fresh, int(gidx[-1]) + 1, int(feed["_us"][-1]), raw[-REACH:].tolist(), pos, late, t, ibi,
             smoothed, last_ibi, bpm_now, hist), rows
 
 
@@ -126,31 +126,34 @@ def _stepper(idle_us: int, clocked: bool):
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         saved = tuple(state.get) if state.exists else None
         s, passed = (saved[:12], saved[12]) if saved else (START, -(2**62))
-        parts = [b[list(FEED)] for b in batches if len(b)]
-        if saved and len(saved[13]):
-            parts.append(pd.DataFrame({c: list(v) for c, v in zip(FEED, saved[13:])}))
+        held = saved[13:] if saved else [[]] * len(FEED)
+        parts = [b for b in batches if len(b)]
+        feed = {c: np.concatenate([np.array(h, dtype=kind), *[b[c].to_numpy(dtype=kind) for b in parts]])
+                for (c, kind), h in zip(FEED.items(), held)}
         mark = state.getCurrentWatermarkMs()
-        pdf = pd.concat(parts) if parts else pd.DataFrame({c: [] for c in FEED})
         # rows without a value only move the watermark; rows behind the released point are late
-        pdf = pdf[pdf["green_raw"].notna() & (pdf["_us"] > passed * 1000)].sort_values(["_us", "_tie"], kind="stable")
-        us = pdf["_us"].to_numpy(dtype="int64")
+        order = np.lexsort((feed["_tie"], feed["_us"]))
+        order = order[~np.isnan(feed["green_raw"][order]) & (feed["_us"][order] > passed * 1000)]
+        feed = {c: v[order] for c, v in feed.items()}
+        us = feed["_us"]
         ready, rows = int(np.searchsorted(us, mark * 1000, side="right")), []
         if ready:
             gaps = np.diff(us[:ready], prepend=us[0] if s[0] == 0 else s[2])
             for part in np.split(np.arange(ready), np.flatnonzero(gaps > idle_us)):
                 if len(part):
-                    s, beats = _advance(key, START if gaps[part[0]] > idle_us else s, pdf.iloc[part[0]:part[-1] + 1], clocked)
+                    s, beats = _advance(key, START if gaps[part[0]] > idle_us else s,
+                                        {c: v[part[0]:part[-1] + 1] for c, v in feed.items()}, clocked)
                     rows += beats
-        held = pdf.iloc[ready:]
-        if len(held):
+        waiting = len(us) > ready
+        if waiting:
             due = -(-int(us[ready]) // 1000) - 1
         else:
             due = (s[2] + idle_us) // 1000
-        if len(held) == 0 and (s[0] == 0 or due <= mark):
+        if not waiting and (s[0] == 0 or due <= mark):
             if state.exists:
                 state.remove()
         else:
-            state.update((*s, max(passed, mark), *(held[c].tolist() for c in FEED)))
+            state.update((*s, max(passed, mark), *(v[ready:].tolist() for v in feed.values())))
             state.setTimeoutTimestamp(max(mark + 1, due))
         if rows:
             yield pd.DataFrame(rows, columns=[KEY, *[c.split()[0] for c in OUT.split(", ")]])

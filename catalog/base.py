@@ -59,7 +59,7 @@ def line_rows(spark, sf, *cols: str, session: Column | None = None) -> DataFrame
     li = table(spark, sf, "lineitem").withColumn("session_id", F.col("l_suppkey") if session is None else session)
     order = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
     keep = li.select("session_id", *order, *cols)
-    return dense_index(keep, [F.col(c) for c in order], F.unix_date(F.col("l_shipdate").cast("date"))).drop(*order)
+    return dense_index(keep, [F.col(c) for c in order], F.year("l_shipdate") * 12 + F.month("l_shipdate")).drop(*order)
 
 
 LINES = "ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice"  # a total order of lineitem
