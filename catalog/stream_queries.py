@@ -49,14 +49,12 @@ def stream_events(spark, sf):
 
 @query("x5_latest_state", "SELECT user_id AS session_id, epoch_us(ts) // 600000000 * 600 AS start_s, count(*) AS n, arg_max(value, ts) AS green_raw FROM events GROUP BY 1, 2")
 def latest(spark, sf):
-    e = table(spark, sf, "events").select(C("user_id").alias("session_id"), utc_timestamp("ts").alias("ts"), C("value").alias("green_raw"))
-    d = live.latest_state(e, "600 seconds")
+    d = live.run_available(live.latest_state(event_stream(spark, sf), "600 seconds"))
     return d.select("session_id", F.unix_seconds("start").alias("start_s"), "n", "green_raw")
 
 
 @query("x6_finish_sessions", """WITH a AS (SELECT user_id AS session_id, ts, value, CASE WHEN ts - lag(ts) OVER u < INTERVAL 4 HOUR THEN 0 ELSE 1 END AS b FROM events WINDOW u AS (PARTITION BY user_id ORDER BY ts, event_id)),
 g AS (SELECT *, sum(b) OVER (PARTITION BY session_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM a) SELECT session_id, epoch_us(min(ts)) AS started_us, count(*) AS n_frames, arg_max(value, ts) AS last_green FROM g GROUP BY session_id, k""")
 def finish(spark, sf):
-    e = table(spark, sf, "events").select(C("user_id").alias("session_id"), utc_timestamp("ts").alias("ts"), C("value").alias("green_raw"))
-    d = live.finish_sessions(e, "4 hours")
+    d = live.run_available(live.finish_sessions(event_stream(spark, sf), "4 hours"))
     return d.select("session_id", F.unix_micros("started").alias("started_us"), "n_frames", "last_green")
