@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from beatframe.functions.lets import let
-from beatframe.llm.base import numbers, stage, words
+from beatframe.llm.base import attach, numbers, stage, words
 
 DIMS = 5
 #: Least standard deviation of each transformed statistic; added to the covariance, it keeps statistics that are all but constant usable.
@@ -77,29 +77,43 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                   least_rows: int = 50, most_groups: int = 20_000) -> DataFrame:
     """doc_id, base statistics, base_failed, distance2 and kept.
 
-    Rows that pass the base rules are grouped by language and source. In each group the minimum-covariance-determinant estimate is
+    Rows that pass the base rules are grouped by language and source. A group with fewer than ``least_rows`` of them is judged by the
+    estimate of its language over all sources, and where the language has fewer, by that of the whole table. For each estimate the minimum covariance determinant is
     found from a start by medians and absolute deviations: the ``SHARE`` of rows with the least distances gives mean and covariance,
     which give new distances, ``steps`` times. A row is kept if its squared Mahalanobis distance is at most ``LIMIT``.
 
     Distances are cut at percentiles that combine before the shuffle, so a group of any size is spread over all tasks. The estimates
-    (a row of 21 numbers per group) are broadcast up to ``most_groups`` groups and joined by key beyond.
+    (a row of 21 numbers per group) are broadcast up to ``most_groups`` groups; beyond, those of the largest groups are broadcast and the
+    others joined by key.
 
-    Null and empty texts have zeros and fail the base rules. Null language and null source are values of their own. Groups with fewer
-    than ``least_rows`` rows that pass the base rules give no verdict: their rows are kept. Repeated rows count each time. An empty
-    table gives an empty table. Other columns are not read.
+    Null and empty texts have zeros and fail the base rules. Null language and null source are values of their own. Repeated rows count
+    each time. distance2 is null only where no row of the table passes the base rules. An empty table gives an empty table. Other columns
+    are not read.
     """
     s = docs.select(F.col(id_col).alias("doc_id"), F.to_json(F.struct(F.col(lang_col).alias("lang"), F.col(source_col).alias("source"))).alias("key"),
-                    text_statistics(F.col(text_col)).alias("s")).select("doc_id", "key", "s.*")
+                    F.concat(F.lit("lang "), F.to_json(F.struct(F.col(lang_col).alias("lang")))).alias("wide"),
+                    text_statistics(F.col(text_col)).alias("s")).select("doc_id", "key", "wide", "s.*")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     s = stage(s.withColumn("base_failed", failed).select("*", *[v.alias(f"x{i}") for i, v in enumerate(vector())]), "statistics")
-    good = s.where(~F.col("base_failed"))
     each = [f"x{i}" for i in range(DIMS)]
-    groups = good.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *[F.percentile_approx(c, 0.5, 1000).alias(f"m{c[1]}") for c in each]).where(F.col("n") >= least_rows)
-    few = groups.count() <= most_groups
+    sizes = stage(s.groupBy("key", "wide").agg(F.count_if(~F.col("base_failed")).alias("n")), "sizes")
+    few = sizes.count() <= most_groups
+    wides = sizes.groupBy("wide").agg(F.sum("n").alias("wide_n"), F.min("n").alias("least_n"))
+    own, by_lang = F.col("n") >= least_rows, F.col("wide_n") >= least_rows
+    whole = not wides.where(~by_lang).isEmpty()
+    uses = [F.when(own, F.col("key")), F.when(by_lang & (F.col("least_n") < least_rows), F.col("wide")), F.lit("all" if whole else None).cast("string")]
+    levels = stage(sizes.join(F.broadcast(wides) if few else wides, "wide").select(
+        "key", "n", F.when(own, F.col("key")).when(by_lang, F.col("wide")).otherwise(F.lit("all")).alias("fit"), F.array_compact(F.array(*uses)).alias("uses")), "levels")
+    counts = stage(levels.where("n > 0").select(F.explode("uses").alias("key"), "n").groupBy("key").agg(F.sum("n").alias("n")), "counts")
+    total = counts.agg(F.sum("n")).first()[0] or 0
 
     def given(rows: DataFrame, facts: DataFrame) -> DataFrame:
-        return rows.join(F.broadcast(facts) if few else facts, "key")
-    middle = stage(groups.drop("n"), "middle")
+        if few:
+            return rows.join(F.broadcast(facts), "key")
+        return attach(rows, facts.join(counts, "key"), ["key"], F.xxhash64(*each), total, 1000).drop("n")
+    passed = s.where(~F.col("base_failed")).select("key", *each)
+    good = passed.join(F.broadcast(levels) if few else levels, "key").select(F.explode("uses").alias("key"), *each)
+    middle = stage(good.groupBy("key").agg(*[F.percentile_approx(c, 0.5, 1000).alias(f"m{c[1]}") for c in each]), "middle")
     spread = given(good, middle).groupBy("key").agg(*[F.percentile_approx(F.abs(F.col(c) - F.col(f"m{c[1]}")), 0.5, 1000).alias(f"s{c[1]}") for c in each])
     first = middle.join(spread, "key").select("key", *[f"m{i}" for i in range(DIMS)], *[
         (F.sqrt((1.4826 * F.col(f"s{i}")) ** 2 + FLOORS[i] ** 2) if i == j else F.lit(0.0)).alias(f"l{i}{j}") for i in range(DIMS) for j in range(i + 1)])
@@ -108,6 +122,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         cut = distance(given(good, now)).groupBy("key").agg(F.percentile_approx("d2", SHARE, 1000).alias("cut"))
         inner = distance(given(good, now.join(cut, "key"))).where(F.col("d2") <= F.col("cut"))
         now = stage(shape(inner), "shape")
-    out = s.join(F.broadcast(now) if few else now, "key", "left")
+    verdict = levels.select("key", "fit").join(now.withColumnRenamed("key", "fit"), "fit", "left").drop("fit")
+    out = s.join(F.broadcast(verdict) if few else verdict, "key", "left")
     return distance(out).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.col("d2").alias("distance2"),
-                                (~F.col("base_failed") & F.coalesce(F.col("d2") <= LIMIT, F.lit(True))).alias("kept"))
+                                (~F.col("base_failed") & (F.col("d2") <= LIMIT)).alias("kept"))

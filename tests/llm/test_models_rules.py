@@ -99,6 +99,25 @@ def test_rules(spark):
     assert all(by[k].kept for k in range(300)) and not any(by[1000 + k].kept for k in range(5))
 
 
+def test_rules_judge_small_groups(spark):
+    g = np.random.default_rng(5)
+    voc = [f"w{k}" for k in range(300)]
+
+    def text(mark=""):
+        return "\n".join(" ".join(x + mark for x in g.choice(voc, 12)) for _ in range(5))
+    kind = "doc_id long, text string, lang string, source string"
+    docs = [(k, text(), "en", f"s{k % 10}") for k in range(100)] + [(200 + k, text(), "fr", None) for k in range(8)] + [(300, text(), None, "s1")]
+    docs += [(1000, text("%%%"), "en", "s3"), (1001, text("%%%"), "en", "new"), (1002, text("%%%"), "fr", "s1"), (1003, text("%%%"), None, None), (1004, None, "de", "s1")]
+    for rows in (docs, [d for d in docs if d[0] >= 1000 or d[0] < 30]):
+        for most in (20_000, 2):
+            got = {r.doc_id: r for r in quality_rules(spark.createDataFrame(rows, kind).repartition(3), most_groups=most).collect()}
+            assert len(got) == len(rows) and all(r.distance2 is not None for r in got.values())
+            assert {i for i, r in got.items() if not r.kept} == {1000, 1001, 1002, 1003, 1004}
+    got = quality_rules(spark.createDataFrame([(1, "a b", "en", "s"), (2, None, "fr", "s")], kind)).collect()
+    assert len(got) == 2 and not any(r.kept for r in got)
+    assert quality_rules(spark.createDataFrame([], kind)).count() == 0
+
+
 def test_pipeline_stages(spark, tmp_path):
     docs = small_docs()
     shared = "\n".join(["license line one", "license line two"])
