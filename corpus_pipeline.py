@@ -12,6 +12,8 @@ from beatframe.llm.packing import pack_documents
 from beatframe.llm.quality_classifier import learn_quality, quality_score
 
 KEEP = 0.5
+#: Least words of a line that counts as a repeat by itself.
+ALONE = 10
 
 
 def with_text(row: Column, names: list[str]) -> Column:
@@ -26,8 +28,8 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the line runs that an earlier document has; those that lose every line go."""
-    r = remove_repeated_lines(docs).where((F.col("n_removed") < F.col("n_lines")) | (F.col("n_removed") == 0))
+    """Documents without the line runs and the lines of ``ALONE`` words or more that stand earlier; those that lose every line go."""
+    r = remove_repeated_lines(docs, alone=ALONE).where((F.col("n_removed") < F.col("n_lines")) | (F.col("n_removed") == 0))
     return r.select(F.when(F.col("n_removed") == 0, F.col("row")).otherwise(with_text(F.col("row"), docs.columns)).alias("row")).select("row.*")
 
 

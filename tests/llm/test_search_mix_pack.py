@@ -2,6 +2,7 @@ import random
 from itertools import product
 
 import brute
+import corpus_pipeline
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -161,3 +162,32 @@ def test_lines_repeated_rows(spark):
     docs = [(1, "a\nb"), (1, "a\nb"), (1, "a\nb\nc"), (2, "a\nb")]
     got = remove_repeated_lines(spark.createDataFrame(docs, "doc_id long, text string")).select("row.*").collect()
     assert sorted(tuple(x) for x in got) in ([(1, "a\nb"), (1, "a\nb"), (1, "c"), (2, "")], [(1, ""), (1, ""), (1, "a\nb\nc"), (2, "")])
+
+
+def test_long_lines_alone(spark, tmp_path):
+    r = random.Random(9)
+    pool = [" ".join(f"w{k}" for k in range(a, a + r.choice([1, 3, 4, 5, 9]))) for a in range(40)] + ["", " \t"]
+    docs = [(k, "\n".join(r.choice(pool) for _ in range(r.randint(1, 6)))) for k in range(120)]
+    docs += [(500, "\n".join([pool[0] + " a b c d"] * 4)), (None, pool[0] + " a b c d"), (501, None), (502, "")]
+    want, seen = {}, set()
+    for i, t in sorted(docs, key=lambda d: (d[0] is None, d[0] or 0)):
+        lines = (t or "").split("\n")
+        at = [k for k, x in enumerate(lines) if x.strip()]
+        gone = {k for k in at if len(lines[k].split()) >= 4 and (lines[k] in seen or lines[k] in lines[:k])}
+        seen.update(x for x in lines if len(x.split()) >= 4)
+        want[i] = (lines, at, gone)
+    pairs = set()
+    for i, t in sorted(docs, key=lambda d: (d[0] is None, d[0] or 0)):
+        lines, at, gone = want[i]
+        for a, b in zip(at, at[1:]):
+            if (lines[a], lines[b]) in pairs:
+                gone |= {a, b}
+            pairs.add((lines[a], lines[b]))
+        want[i] = (None if t is None else "\n".join(x for k, x in enumerate(lines) if k not in gone), len(at), len(gone))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = {x.doc_id: (x.text, x.n_lines, x.n_removed) for x in remove_repeated_lines(df, heavy=50, alone=4).select("row.*", "n_lines", "n_removed").collect()}
+    assert got == want
+    line = " ".join(f"license{k}" for k in range(12))
+    docs = [(k, f"before {k}\n{line}\nafter {k}") for k in range(3)] + [(3, line), (4, "x\nshort line"), (5, "y\nshort line")]
+    got = corpus_pipeline.drop_lines(spark, spark.createDataFrame(docs, "doc_id long, text string"), str(tmp_path)).collect()
+    assert sorted(tuple(x) for x in got) == [(0, docs[0][1]), (1, "before 1\nafter 1"), (2, "before 2\nafter 2"), (4, docs[4][1]), (5, docs[5][1])]
