@@ -258,7 +258,7 @@ def links(rows: DataFrame, prepare: Callable, block_rows: int, part_rows: int, n
 # ---------------------------------------------------------------- the operator
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, percent: int = 85, deviations: float = 5.0,
                     block_rows: int = 4096, part_rows: int = 50_000, heavy: int = 1000) -> DataFrame:
-    """doc_id, text_hash, n_shingles, component_id and kept for every row.
+    """doc_id, text_hash, n_shingles, component_id, kept and label for every row.
 
     Words are runs other than space and 0x09 to 0x0D with A-Z in lower case; a set holds the distinct runs of ``shingle`` words,
     or all words as one if there are fewer. Two documents are linked when 100 * intersection >= percent * union over the full
@@ -269,7 +269,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Null and empty texts, and texts without words, have an empty set, are linked with nothing and kept. Null ids come after all
     others: a group of only such rows has a null component_id and all its rows are kept. Repeated rows fall into one group, and
-    all rows with its smallest id are marked kept. An empty table gives an empty table. Other columns are not read.
+    all rows with its smallest id are marked kept. label is a key of the group, null for empty sets. An empty table gives an empty table. Other columns are not read.
     """
     d = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text_col).alias("th"), F.col(text_col).cast("string").alias("text"))
     sk = stage(d.mapInArrow(sketch_documents(shingle), SKETCH), "sketches")
@@ -292,8 +292,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     of = nodes.select("node", "n", F.col("rep.doc_id").alias("doc_id")).join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = of.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("component_id"))
     named = attach(of.select("node", "label", F.col("n").alias("rows")), least.select("label", "n", "component_id"), ["label"], F.xxhash64("node"), total // BANDS, heavy)
-    out = attach(full.select("doc_id", "th", F.col("n").alias("n_shingles"), "node"), named.select("node", F.col("rows").alias("n"), "component_id"), ["node"],
-                 F.xxhash64("doc_id", F.monotonically_increasing_id()), n_docs, heavy).select("doc_id", "th", "n_shingles", "component_id")
-    none = sk.where("n = 0").select("doc_id", "th", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    out = attach(full.select("doc_id", "th", F.col("n").alias("n_shingles"), "node"), named.select("node", F.col("rows").alias("n"), "component_id", "label"), ["node"],
+                 F.xxhash64("doc_id", F.monotonically_increasing_id()), n_docs, heavy).select("doc_id", "th", "n_shingles", "component_id", "label")
+    none = sk.where("n = 0").select("doc_id", "th", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"),
+                                   F.lit(None).cast("binary").alias("label"))
     return out.unionByName(none).select("doc_id", F.col("th").alias("text_hash"), "n_shingles", "component_id",
-                                        F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+                                        F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "label")

@@ -34,9 +34,11 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, similarity 0.8 or more)."""
-    kept = near_duplicates(docs, shingle=5, percent=80).where("kept").groupBy(F.col("doc_id").alias("k_id"), F.col("text_hash").alias("k_hash")).agg(
-        F.count(F.lit(1)).alias("rows"))
+    """One document of each group of near copies (five-word shingles, similarity 0.8 or more): of its smallest id, the text with the least hash."""
+    texts = near_duplicates(docs, shingle=5, percent=80).where("kept").groupBy("label", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("rows"))
+    alone = F.when(F.col("label").isNull(), F.struct("doc_id", "text_hash"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("late"), F.col("doc_id").alias("k_id"), F.col("text_hash").alias("k_hash"), "rows"))
+    kept = texts.groupBy("label", alone.alias("alone")).agg(first.alias("first")).select("first.k_id", "first.k_hash", "first.rows")
     same = F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.xxhash64("text") == F.col("k_hash"))
     kept = stage(kept, "kept")
     out = docs.join(kept, same, "left_semi")

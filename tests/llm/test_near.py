@@ -1,6 +1,7 @@
 import random
 
 import brute
+import corpus_pipeline
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -73,3 +74,15 @@ def test_components(spark):
     df = spark.createDataFrame(edges, "a long, b long")
     assert {x.node: x.label for x in components(df, heavy=10).collect()} == want
     assert components(df.limit(0)).count() == 0
+
+
+def test_pipeline_keeps_one_of_each_group(spark, tmp_path):
+    near = [[" ".join(f"{g}{k}" for k in range(200)) + f" end{n}" for n in range(4)] for g in "abc"]
+    docs = [(None, t) for t in near[0]] + [(None, near[0][0])] + [(5, t) for t in near[1]] + [(9, near[1][0])] + [(2, near[2][0])] * 2 + [(None, near[2][1])]
+    docs += [(11, "alone"), (12, ""), (None, "!"), (None, None), (13, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = [tuple(r) for r in corpus_pipeline.drop_near(spark, df, str(tmp_path)).collect()]
+    assert set(got) <= set(docs) and len(got) == 8
+    for texts, i in zip(near, (None, 5, 2)):
+        assert [d for d, t in got if t in texts] == [i]
+    assert sorted(map(repr, (r for r in got if r[1] not in sum(near, [])))) == sorted(map(repr, docs[-5:]))
