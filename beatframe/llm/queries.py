@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from beatframe.llm.language_id import language, learn_languages
+from beatframe.llm.lexical_search import search
 from beatframe.llm.line_dedup import remove_repeated_lines
 from beatframe.llm.mixing import mix_sources
 from beatframe.llm.near_dedup import near_duplicates
 from beatframe.llm.packing import pack_documents
 from beatframe.llm.quality_classifier import crc_remainder, learn_quality, quality_score
 from beatframe.llm.quality_rules import quality_rules
+from beatframe.llm.resampling import resample
 from beatframe.llm.substring_dedup import remove_shared_words
 from beatframe.llm.suffix_dedup import remove_earlier_bytes
 from beatframe.llm.vector_search import top_k_products
@@ -117,3 +119,43 @@ SELECT d.doc_id, (SELECT count(*) FROM c WHERE c.doc_id = d.doc_id) AS n_lines,
 def op10(spark, sf):
     r = remove_repeated_lines(table(spark, sf, "documents"))
     return r.select("row.doc_id", "n_lines", "n_removed", F.sha2(F.encode(F.coalesce("row.text", F.lit("")), "UTF-8"), 256).alias("kept_sha256"))
+
+
+@query("op11_lexical_search", """WITH t AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+ 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS ts FROM documents),
+c AS (SELECT count(*) AS all_docs, CAST(sum(len(ts)) AS BIGINT) AS all_terms FROM t WHERE len(ts) > 0),
+f AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(ts) AS term FROM t) GROUP BY r, term),
+q AS (SELECT DISTINCT item_id, term FROM (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+ 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM benchmark)),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * all_docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM f, c GROUP BY term, all_docs),
+m AS (SELECT r, doc_id, 100 - 50 + ((50 * len(ts) * all_docs) // all_terms) AS m FROM t, c),
+s AS (SELECT q.item_id, f.r, sum(w.w * ((1000000000 * f.tf) // (1000 * f.tf + 20 * m.m))) AS score FROM q JOIN f ON f.term = q.term JOIN w ON w.term = q.term
+ JOIN m ON m.r = f.r GROUP BY q.item_id, f.r),
+o AS (SELECT s.item_id, CAST(row_number() OVER (PARTITION BY s.item_id ORDER BY s.score DESC, m.doc_id) AS INT) AS rank, m.doc_id, CAST(s.score AS BIGINT) AS score
+ FROM s JOIN m ON m.r = s.r WHERE s.score > 0)
+SELECT * FROM o WHERE rank <= 50""")
+def op11(spark, sf):
+    return search(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query("op12_importance_resampling", """WITH tab AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS tab),
+d AS (SELECT row_number() OVER () AS r, doc_id, sha256(coalesce(text, '')) AS tie, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+ 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+b AS (SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+x AS (SELECT r, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]),
+ list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS f FROM (SELECT r, w FROM d UNION ALL SELECT 0, w FROM b)),
+g AS (SELECT r, f, count(*) AS n FROM x GROUP BY r, f),
+h AS (SELECT f, hex(encode(f)) AS h FROM (SELECT DISTINCT f FROM g)),
+c AS (SELECT f, xor(list_reduce(list_transform(range(len(h) // 2), lambda k: CAST('0x' || substr(h, 2 * k + 1, 2) AS BIGINT)),
+ lambda c, y: xor(tab[1 + (xor(c, y) & 255)], c >> 8), 4294967295), 4294967295) % 10000 AS k FROM h, tab),
+s AS (SELECT k, sum(CASE WHEN r > 0 THEN n ELSE 0 END) AS s, sum(CASE WHEN r = 0 THEN n ELSE 0 END) AS t FROM g JOIN c ON c.f = g.f GROUP BY k),
+z AS (SELECT sum(s) AS s_all, sum(t) AS t_all FROM s),
+a AS (SELECT k, floor(1000 * ln((t + 1) * (s_all + 10000) / ((s + 1) * (t_all + 10000)))) AS gain FROM s, z),
+v AS (SELECT g.r, sum(g.n) AS n_features, sum(g.n * a.gain) AS weight FROM g JOIN c ON c.f = g.f JOIN a ON a.k = c.k WHERE g.r > 0 GROUP BY g.r),
+o AS (SELECT d.r, d.doc_id, d.tie, len(w) AS n_words, CAST(coalesce(n_features, 0) AS BIGINT) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight, CAST(coalesce(weight, 0)
+ + floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) + 0.5) / 4294967296))) AS BIGINT) AS score
+ FROM d LEFT JOIN v ON v.r = d.r),
+p AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id, tie) AS rank FROM o WHERE n_words >= 20)
+SELECT o.doc_id, o.n_features, o.weight, o.score, CASE WHEN p.rank <= 5 * (SELECT count(*) FROM p) // 100 THEN p.rank END AS rank FROM o LEFT JOIN p ON p.r = o.r""")
+def op12(spark, sf):
+    return resample(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
