@@ -12,6 +12,7 @@ from beatframe.llm.line_dedup import remove_repeated_lines
 from beatframe.llm.mixing import mix_sources
 from beatframe.llm.near_dedup import near_duplicates
 from beatframe.llm.packing import pack_documents
+from beatframe.llm.personal_data import KINDS, find_personal_data, joined
 from beatframe.llm.quality_classifier import crc_remainder, learn_quality, quality_score
 from beatframe.llm.quality_rules import quality_rules
 from beatframe.llm.resampling import resample
@@ -159,3 +160,11 @@ p AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id, tie) AS rank FRO
 SELECT o.doc_id, o.n_features, o.weight, o.score, CASE WHEN p.rank <= 5 * (SELECT count(*) FROM p) // 100 THEN p.rank END AS rank FROM o LEFT JOIN p ON p.r = o.r""")
 def op12(spark, sf):
     return resample(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query("op13_personal_data")
+def op13(spark, sf):
+    r = find_personal_data(table(spark, sf, "documents")).withColumn("base", F.filter("spans", lambda s: s["base"]))
+    kinds = F.transform("base", lambda s: s["kind"])
+    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("bigint").alias(f"n_{k}") for k in KINDS]
+    return r.select("doc_id", *counts, F.sha2(joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
