@@ -129,7 +129,11 @@ def sine_beats(states: DataFrame, peaks: DataFrame) -> DataFrame:
     spans = done.select(KEY, IDX, "gidx", "start_t", "end_t").distinct()
     gated = states.where("gidx is not null")
     feats = beat_features(beat_samples(gated, spans, index="gidx"))
-    d = peaks.join(feats, [KEY, IDX, "start_t", "end_t"], "left")
+    return judged(peaks.join(feats, [KEY, IDX, "start_t", "end_t"], "left"))
+
+
+def judged(rows: DataFrame) -> DataFrame:
+    """Reference interval and the reason a completed beat stops before scoring; rows carry ``path`` and the beat's features."""
     is_m = F.col("path") == "M"
     amp = F.when(is_m, F.col("fit_m.amp")).otherwise(F.col("fit_d.amp"))
     fitted = F.when(amp >= waves.TINY, F.col("beat_ibi_ms")).otherwise(F.col("fit_ibi"))
@@ -138,7 +142,7 @@ def sine_beats(states: DataFrame, peaks: DataFrame) -> DataFrame:
     reason = (F.when(F.col("end_t").isNull(), "initial_peak").when(F.col("samples").isNull(), "empty_beat_samples")
               .when(F.col("window_reason") != q.OK, F.col("window_reason")).when(beat != q.OK, beat)
               .when(is_m & (F.col("fit_m.rmse") > 1.0), "poor_sine_fit").otherwise(q.OK))
-    return d.withColumn("ref_ibi_ms", ref).withColumn("beat_reason", reason)
+    return rows.withColumn("ref_ibi_ms", ref).withColumn("beat_reason", reason)
 
 
 PHASE_STATE = "struct<shift:double,history:array<double>,missed:int>"

@@ -39,14 +39,18 @@ def analyse(frames: DataFrame, logic: str = "1") -> Session:
 
 def score_m1(s: Session) -> DataFrame:
     """Timing model at each beat, with the state from before the beat."""
-    d = det.with_morphology(s.peaks.where("valid"), s.morph)
-    hr = hr_from("smoothed_before", "interval_ms")
-    feats = {"A": F.col("v2p_amp"), "HR": hr, "V2P_relTTP": F.col("v2p_rel"), "P2V_relTTP": F.col("p2v_rel")}
-    return m.predict(d.withColumn("hr", hr), "M1", feats).select(
+    return timing_scored(det.with_morphology(s.peaks.where("valid"), s.morph)).select(
         KEY, IDX, "t_peak", "interval_ms", "ibi_ms", "bpm", "bpm_sd", "smoothed_before", "smoothed_ibi_ms", *det.MORPHOLOGY,
         "hr", "M1")
 
 
+def timing_scored(rows: DataFrame) -> DataFrame:
+    """``hr`` and ``M1`` of rows with smoothed_before, interval_ms and morphology."""
+    hr = hr_from("smoothed_before", "interval_ms")
+    feats = {"A": F.col("v2p_amp"), "HR": hr, "V2P_relTTP": F.col("v2p_rel"), "P2V_relTTP": F.col("p2v_rel")}
+    return m.predict(rows.withColumn("hr", hr), "M1", feats)
+
+
 def _with_reason(reason: Column, scored: Column) -> Column:
     """Score struct with the reason a beat stopped before scoring put in front."""
     stopped = reason != q.OK
@@ -59,8 +63,12 @@ def _with_reason(reason: Column, scored: Column) -> Column:
 def score_sine(s: Session, method: str) -> DataFrame:
     """Distortion (M2) or harmonic (M3) model at each completed sine beat."""
     path = "D" if method == "M2" else "M"
-    d = det.with_morphology(s.sine.where(F.col("path") == path), s.morph).withColumn(
-        "hr", hr_from("smoothed", "beat_ibi_ms"))
+    return sine_scored(det.with_morphology(s.sine.where(F.col("path") == path), s.morph), method)
+
+
+def sine_scored(rows: DataFrame, method: str) -> DataFrame:
+    """``hr`` and the method's struct of judged sine beats with morphology."""
+    d = rows.withColumn("hr", hr_from("smoothed", "beat_ibi_ms"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     if method == "M2":
         feats = {"A": F.col("v2p_amp"), "HR": zero("hr"), "V2P_relTTP": F.col("v2p_rel"), "P2V_relTTP": F.col("p2v_rel"),
@@ -84,13 +92,22 @@ def scored_beats(s: Session) -> DataFrame:
     d = beat_rows(s)
     m1 = score_m1(s).select(KEY, IDX, F.struct("M1", "hr", "v2p_amp", "v2p_rel", "p2v_rel", "ai").alias("m1_row"))
     d = asof_backward(d, m1, ["m1_row"])
-    for method, fit in (("M2", "fit_d"), ("M3", "fit_m")):
+    for method in ("M2", "M3"):
         x = score_sine(s, method)
-        extra = ["v2p_amp", "v2p_rel", "p2v_rel", "e"] if method == "M2" else []
-        row = F.struct(F.col(method), F.col("hr"), F.col("beat_ibi_ms"), F.col("stats"), F.col("ratio"), F.col(fit).alias("fit"),
-                       *[F.col(c) for c in extra])
-        d = asof_backward(d, x.select(KEY, IDX, row.alias(f"{method.lower()}_row")), [f"{method.lower()}_row"])
-    d = d.select("*", F.col("m1_row.M1").alias("M1"), F.col("m2_row.M2").alias("M2"), F.col("m3_row.M3").alias("M3"))
+        d = asof_backward(d, x.select(KEY, IDX, sine_row(method).alias(f"{method.lower()}_row")), [f"{method.lower()}_row"])
+    return with_variants(d)
+
+
+def sine_row(method: str) -> Column:
+    """Result of a sine method as it is carried on to the beat rows after it."""
+    extra = ["v2p_amp", "v2p_rel", "p2v_rel", "e"] if method == "M2" else []
+    fit = F.col("fit_d" if method == "M2" else "fit_m").alias("fit")
+    return F.struct(F.col(method), F.col("hr"), F.col("beat_ibi_ms"), F.col("stats"), F.col("ratio"), fit, *[F.col(c) for c in extra])
+
+
+def with_variants(rows: DataFrame) -> DataFrame:
+    """The three methods of beat rows with m1_row, m2_row and m3_row, and the comparison branches."""
+    d = rows.select("*", F.col("m1_row.M1").alias("M1"), F.col("m2_row.M2").alias("M2"), F.col("m3_row.M3").alias("M3"))
     r = F.col("m2_row")
     z = lambda c: F.coalesce(c, F.lit(0.0))
     local = z(r["stats"]["range"])
@@ -139,6 +156,22 @@ def training_table(frames: DataFrame, imu: DataFrame | None = None, coef: DataFr
     """Widest output: session context, three methods with terms and postprocess, variants, baselines, beat context."""
     s = session or analyse(frames, logic)
     scored = cut(scored_beats(s))
+    table = training_rows(scored, coef, models, blend)
+    present = [c for c in CONTEXT if c in frames.columns]
+    marks = scored.select(KEY, IDX, "beat_index")
+    ctx_cols = [KEY, IDX, *present, *[c for c in ("phase", "vib_state") if c in frames.columns]]
+    ctx = beat_context(assign_beat(frames.select(*ctx_cols), marks), present)
+    defaults = {c: 0.0 for c in ctx.columns if c.endswith("_median") or c == "vib_duty_in_beat"} | (
+        {"phase": 0} if "phase" in ctx.columns else {})
+    table = align(table, ctx, defaults)
+    if imu is not None and "t_ns" in frames.columns:
+        vib = on_run_rms(imu, beat_clock(scored.select(KEY, "beat_index", "t_ms"), frames))
+        table = align(table, vib, {"imu_vib_rms_on_median": 0.0})
+    return table
+
+
+def training_rows(scored: DataFrame, coef: DataFrame | None = None, models: dict | None = None, blend: dict | None = None) -> DataFrame:
+    """Flat rows of scored beats: three methods with terms and postprocess, variants, and baselines where coefficients are given."""
     head = [c for c in (KEY, "beat_index", IDX, "t_ms", "ibi_ms", "smoothed_ibi_ms", "bpm_sd", "iso") if c in scored.columns]
     flat = scored.select(*head, wall_iso("t_ms").alias("wall_time_iso"), *[c for k in ("M1", "M2", "M3") for c in _flat(k)],
                          *[c for k in ("e_only", "e2", "local_a") for c in _variant_columns(k)])
@@ -158,14 +191,4 @@ def training_table(frames: DataFrame, imu: DataFrame | None = None, coef: DataFr
         names = [f"{k}_{n}_used" for k in ("M1", "M2", "M3") for n in m.MODELS[k].features]
         rows = rp.feature_row(flat, names)
         table = table.join(rp.wide(rp.replay(rows, coef, models, blend)), [KEY, "beat_index"])
-    present = [c for c in CONTEXT if c in frames.columns]
-    marks = scored.select(KEY, IDX, "beat_index")
-    ctx_cols = [KEY, IDX, *present, *[c for c in ("phase", "vib_state") if c in frames.columns]]
-    ctx = beat_context(assign_beat(frames.select(*ctx_cols), marks), present)
-    defaults = {c: 0.0 for c in ctx.columns if c.endswith("_median") or c == "vib_duty_in_beat"} | (
-        {"phase": 0} if "phase" in ctx.columns else {})
-    table = align(table, ctx, defaults)
-    if imu is not None and "t_ns" in frames.columns:
-        vib = on_run_rms(imu, beat_clock(scored.select(KEY, "beat_index", "t_ms"), frames))
-        table = align(table, vib, {"imu_vib_rms_on_median": 0.0})
     return table
