@@ -220,7 +220,7 @@ def pair_history(kept: DataFrame) -> DataFrame:
                                    of("p2v", "amp").alias("p2v_amp"), of("p2v", "dt").alias("p2v_dt"))
     d = carry(d, ["v2p_amp", "v2p_dt", "p2v_amp", "p2v_dt"])
     zero = F.lit(0.0)
-    rel = lambda c: F.coalesce(rel_ttp(F.col(c).cast("double"), F.col("ibi_ms")), zero)
+    rel = lambda c: F.when(F.col(c).isNotNull(), rel_ttp(F.col(c).cast("double"), F.col("ibi_ms"))).otherwise(zero)
     return d.select(KEY, IDX, "t_ms", F.coalesce("v2p_amp", zero).alias("v2p_amp"),
                     F.coalesce("p2v_amp", zero).alias("p2v_amp"), rel("v2p_dt").alias("v2p_rel"),
                     rel("p2v_dt").alias("p2v_rel"),

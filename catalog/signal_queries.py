@@ -157,7 +157,7 @@ m0 AS (SELECT session_id, frame_idx, max(ibi_ms) AS ibi, max(amp) FILTER (WHERE
  max(dt) FILTER (WHERE kind = 'p2v') AS pd FROM kept WHERE hit GROUP BY 1, 2),
 m1 AS (SELECT session_id, frame_idx, ibi, coalesce(last_value(va IGNORE NULLS) OVER u, 0) AS va, last_value(vd IGNORE NULLS) OVER u AS vd, coalesce(last_value(pa IGNORE NULLS) OVER u, 0) AS pa,
  last_value(pd IGNORE NULLS) OVER u AS pd FROM m0 WINDOW u AS (PARTITION BY session_id ORDER BY frame_idx ROWS UNBOUNDED PRECEDING))
-SELECT session_id, frame_idx, round(va, 6) AS v2p_amp, round(pa, 6) AS p2v_amp, round(coalesce(-least(0.95, vd / ibi), 0), 6) AS v2p_rel, round(coalesce(-least(0.95, pd / ibi), 0), 6) AS p2v_rel,
+SELECT session_id, frame_idx, round(va, 6) AS v2p_amp, round(pa, 6) AS p2v_amp, round(CASE WHEN vd IS NULL THEN 0.0 ELSE -least(0.95, vd / ibi) END, 6) AS v2p_rel, round(CASE WHEN pd IS NULL THEN 0.0 ELSE -least(0.95, pd / ibi) END, 6) AS p2v_rel,
  round(va / (va + pa) * 100, 6) AS ai FROM m1""")
 def morphology(spark, sf):
     return rounded(det.morphology(_search_frames(spark, sf)), *det.MORPHOLOGY).drop("t_ms")

@@ -250,3 +250,11 @@ def test_beat_clock(spark, small_chunks):
     beats = spark.createDataFrame([(1, 1, 2000), (1, 2, 2840), (1, 3, 3660)], "session_id int, beat_index long, t_ms long")
     got = {r.beat_index: (r.start_ns, r.end_ns) for r in agg.beat_clock(beats, frames).collect()}
     assert got == {1: (5 * 7, 20 * 7), 2: (20 * 7, 28 * 7), 3: (28 * 7, 37 * 7)}
+
+
+def test_missing_pair_has_no_relative_time(spark):
+    rows = [("a", 5, 100, 800.0, "v2p", 2.0, 330, 10), ("a", 40, 1300, 800.0, "p2v", 1.0, 264, 8)]
+    kept = spark.createDataFrame(rows, "session_id string, frame_idx long, t_ms long, ibi_ms double, kind string, amp double, dt long, gap long")
+    got = det.pair_history(kept).orderBy("frame_idx").collect()
+    assert (got[0].v2p_rel, got[0].p2v_rel, got[0].p2v_amp) == (-0.4125, 0.0, 0.0)
+    assert (got[1].v2p_rel, got[1].p2v_rel) == (-0.4125, -0.33)
