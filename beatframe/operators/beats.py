@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import quality as q, waves
 from ..functions.scalars import java_round, wrap01
-from .chunks import IDX, KEY, Halo, fold, let, move
+from .chunks import IDX, KEY, Halo, Lift, fold, let, move
 from .conditioning import strict_peaks
 from .joins import interval_join
 
@@ -62,6 +62,19 @@ def _sine_step(a, x):
     return F.when(accepted, let(early, result)).otherwise(move(a, F.lit(None).cast(SINE_OUT)))
 
 
+def _known_lift() -> Lift:
+    """The path's own intervals pass a chunk unread and unchanged once the frame path knows an interval."""
+    def note(l, s, r, x):
+        return F.struct(l["passes"] & (x["smoothed"] > 0))
+
+    def covers(l, ran, real):
+        return l["passes"] & ran["last"].eqNullSafe(real["last"]) & ran["prev"].eqNullSafe(real["prev"])
+
+    def end(l, s, real):
+        return F.when(l["passes"], s.withField("valid_ibi", real["valid_ibi"]).withField("fit_ibi", real["fit_ibi"])).otherwise(s)
+    return Lift("struct<passes:boolean>", F.struct(F.lit(True)), note, covers, end)
+
+
 def sine_peaks(states: DataFrame) -> DataFrame:
     """Peaks of the sine path, per estimator path.  ``start_t``/``end_t`` bound the beat that a peak completes.
 
@@ -83,7 +96,7 @@ def sine_peaks(states: DataFrame) -> DataFrame:
     rows = rows.withColumn("_path", F.col("path")).withColumnRenamed("path", "path_key").withColumnRenamed(
         "_path", "path")
     items = ["frame_idx", "gidx", "t_ms", "t_peak", "smoothed", "path", "early"]
-    return fold(rows, "gidx", items, init, _sine_step, SINE_STATE, SINE_OUT, key=[KEY, "path_key"]).withColumnRenamed("path_key", "path")
+    return fold(rows, "gidx", items, init, _sine_step, SINE_STATE, SINE_OUT, key=[KEY, "path_key"], lift=_known_lift()).withColumnRenamed("path_key", "path")
 
 
 def beat_samples(frames: DataFrame, beats: DataFrame, value: str = "green", index: str | None = None) -> DataFrame:

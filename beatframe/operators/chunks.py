@@ -19,6 +19,7 @@ import math
 import tempfile
 import uuid
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
@@ -245,13 +246,53 @@ FOLD_ITEMS = 512
 FOLD_TAIL = 256
 
 
+@dataclass(frozen=True)
+class Lift:
+    """What a chunk's run says about starts it did not run from.
+
+    A note is gathered beside the state: ``note(note, state, moved, item)`` after each step, from ``start``.  ``covers(note, ran, real)``
+    tells whether the chunk would have taken the same decisions from ``real`` as from ``ran``; ``end(note, end, real)`` is the end it would
+    have reached.
+    """
+    kind: str
+    start: Column
+    note: Callable[[Column, Column, Column, Column], Column]
+    covers: Callable[[Column, Column, Column], Column]
+    end: Callable[[Column, Column, Column], Column]
+
+
+def _run_noted(arr: Column, start: Column, step: Step, state: str, lift: Lift) -> Column:
+    """Left fold to the end state and the note."""
+    zero = F.struct(start.cast(state).alias("s"), lift.start.cast(lift.kind).alias("l"))
+    return F.aggregate(arr, zero, lambda a, x: let(step(a["s"], x), lambda r: F.struct(
+        r["s"].cast(state).alias("s"), lift.note(a["l"], a["s"], r, x).cast(lift.kind).alias("l"))))
+
+
+def _real_starts(chunks: Column, state: str, lift: Lift) -> Column:
+    """Along a key's chunks (start, end, note): the start each one really has, and whether it must run again from it."""
+    kind = f"struct<_c:bigint,start:{state},again:boolean>"
+    first = let(F.get(chunks, 0), lambda c: F.struct(c["end"].alias("s"), F.array(F.struct(c["_c"].cast("bigint"), c["start"], F.lit(False))).cast(f"array<{kind}>").alias("o")))
+
+    def link(a: Column, c: Column) -> Column:
+        def judged(same: Column) -> Column:
+            end = F.when(same, c["end"]).otherwise(lift.end(c["l"], c["end"], a["s"]).cast(state))
+            again = ~same & ~F.coalesce(lift.covers(c["l"], c["start"], a["s"]), F.lit(False))
+            return F.struct(end.alias("s"), F.array_append(a["o"], F.struct(c["_c"].cast("bigint"), a["s"], again).cast(kind)).alias("o"))
+        return let(c["start"].eqNullSafe(a["s"]), judged)
+    return F.aggregate(F.slice(chunks, 2, F.greatest(F.size(chunks) - 1, F.lit(0))), first, link)["o"]
+
+
 def fold(rows: DataFrame, order: str, item: Sequence[str], init: Column, step: Step, state: str, out: str,
-         key=KEY, items: int | None = None, tail: int = FOLD_TAIL) -> DataFrame:
+         key=KEY, items: int | None = None, tail: int = FOLD_TAIL, lift: Lift | None = None) -> DataFrame:
     """Run a state machine along ``order`` (unique per key) and return its output rows.
 
     ``step(state, item)`` returns ``move(next state, output struct or null)``.  Arrays are bounded by ``items`` and
     ``tail``.  Only keys with more than one chunk need checking; their chunks are run again until every chunk
     starts from the real end of the one before, so the result equals one pass over the whole key.
+
+    With ``lift`` a chunk that started from a wrong guess runs again only if a decision in it hangs on that: otherwise its end follows from
+    its note, and one pass over a key's chunk summaries carries the real state through all of them.  ``fold.rounds`` tells how often
+    chunks were run again.
     """
     keys = _keys(key)
     items = items or int(rows.sparkSession.conf.get("beatframe.foldItems", str(FOLD_ITEMS)))
@@ -272,6 +313,21 @@ def fold(rows: DataFrame, order: str, item: Sequence[str], init: Column, step: S
                                                                      F.least(F.size("arr"), F.lit(tail))).alias("t"))
     guess = parts.join(tails, [*keys, "_c"], "left").withColumn(
         "start", F.when(F.col("_c") == 0, init.cast(state)).otherwise(_run(F.col("t"), init, step, state, None)))
+    fold.rounds = 0
+    if lift is not None:
+        noted = lambda d: d.select(*keys, "_c", "start", _run_noted(F.col("arr"), F.col("start"), step, state, lift).alias("r")).select(
+            *keys, "_c", "start", F.col("r.s").alias("end"), F.col("r.l").alias("l"))
+        ends = cut(noted(guess))
+        while True:
+            summary = F.array_sort(F.collect_list(F.struct("_c", "start", "end", "l")), lambda a, b: (a["_c"] - b["_c"]).cast("int"))
+            real = ends.groupBy(*keys).agg(summary.alias("chunks")).select(*keys, F.inline(_real_starts(F.col("chunks"), state, lift)))
+            real = cut(real)
+            again = real.where("again").drop("again")
+            if again.limit(1).count() == 0:
+                return result(parts.join(real.drop("again"), [*keys, "_c"]), F.col("start"))
+            fold.rounds += 1
+            redone = noted(again.join(parts, [*keys, "_c"]))
+            ends = cut(ends.join(again.select(*keys, "_c"), [*keys, "_c"], "left_anti").unionByName(redone))
     ends = cut(guess.select(*keys, "_c", "start", _run(F.col("arr"), F.col("start"), step, state, None).alias("end")))
     while True:
         real = ends.select(*keys, (F.col("_c") + 1).alias("_c"), F.col("end").alias("real"))
@@ -280,12 +336,16 @@ def fold(rows: DataFrame, order: str, item: Sequence[str], init: Column, step: S
         again = checked.where(wrong).select(*keys, "_c", F.col("real").alias("start"))
         if again.limit(1).count() == 0:
             break
+        fold.rounds += 1
         redone = again.join(parts, [*keys, "_c"]).select(
             *keys, "_c", "start", _run(F.col("arr"), F.col("start"), step, state, None).alias("end"))
         ends = cut(ends.join(again.select(*keys, "_c"), [*keys, "_c"], "left_anti").unionByName(redone))
     return result(parts.join(ends.select(*keys, "_c", "start"), [*keys, "_c"]), F.col("start"))
 
 
+fold.rounds = 0
+
+
 def _ordinal(rows: DataFrame, order: str, keys: list[str], items: int) -> DataFrame:
     """Split a key's rows into consecutive chunks of about ``items`` rows, numbered without gaps."""
     span = chunk_rows(rows)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.quality import MIN_ISO, pair_valid
 from ..functions.scalars import FPS, augmentation_index, java_round, rel_ttp
-from .chunks import IDX, KEY, Halo, carry, ewma, fold, let, move, running_sum
+from .chunks import IDX, KEY, Halo, Lift, carry, ewma, fold, let, move, running_sum
 from .conditioning import signal
 from .joins import asof_backward
 
@@ -88,6 +88,36 @@ def _peak_step(a, x):
     return F.when(accepted, let(new, result)).otherwise(move(a, F.lit(None).cast(PEAK_OUT)))
 
 
+def _smoother_lift() -> Lift:
+    """The smoothed interval of a chunk is ``a * start + b``, as long as the start leaves every accept decision as it was.
+
+    A wait of n frames is kept by smoothed intervals below (n + 0.5) / share per frame; the bounds on the start are taken in by a hair, and a
+    start outside them runs again.
+    """
+    per_frame = REFRACTORY_SHARE / (1000.0 / FPS)
+
+    def note(l, s, r, x):
+        since = x["gidx"] - s["g"] - 1 + s["late"]
+        edge = ((since + F.lit(0.5)) / per_frame - l["b"]) / l["a"]  # start at which this decision would turn
+        open_ = (since >= REFRACTORY_MIN) & (since < REFRACTORY_MAX) & (l["a"] > 0)
+        accepted = r["o"].isNotNull()
+        new = F.coalesce(accepted & r["o"]["valid"] & (r["s"]["ibi"] != s["last_ibi"]), F.lit(False))
+        return F.struct(F.when(new, l["a"] / 2.0).otherwise(l["a"]), F.when(new, (l["b"] + r["s"]["ibi"]) / 2.0).otherwise(l["b"]),
+                        F.when(open_ & ~accepted, F.greatest(l["lo"], edge)).otherwise(l["lo"]), F.when(open_ & accepted, F.least(l["hi"], edge)).otherwise(l["hi"]))
+
+    def others(s):
+        return F.struct(*[s[c] for c in ("g", "late", "t", "ibi", "last_ibi", "bpm", "history")])
+
+    def covers(l, ran, real):
+        v = real["smoothed"]
+        return others(ran).eqNullSafe(others(real)) & (ran["smoothed"] > 0) & (v > 0) & (v > l["lo"] + 1e-6) & (v < l["hi"] - 1e-6)
+
+    def end(l, s, real):
+        return s.withField("smoothed", l["a"] * real["smoothed"] + l["b"])
+    zero = F.struct(F.lit(1.0), F.lit(0.0), F.lit(0.0), F.lit(1e12))
+    return Lift("struct<a:double,b:double,lo:double,hi:double>", zero, note, covers, end)
+
+
 def accept_peaks(cands: DataFrame) -> DataFrame:
     """Adaptive refractory accept, interval test, BPM history and half-average smoothing in one state machine.
 
@@ -96,7 +126,7 @@ def accept_peaks(cands: DataFrame) -> DataFrame:
     """
     init = F.struct(F.lit(-8).cast("bigint"), F.lit(1), F.lit(None).cast("bigint"), F.lit(0.0), F.lit(0.0), F.lit(0.0),
                     F.lit(0.0), F.array().cast("array<double>")).cast(PEAK_STATE)
-    return fold(cands, "gidx", ["frame_idx", "gidx", "t_peak"], init, _peak_step, PEAK_STATE, PEAK_OUT)
+    return fold(cands, "gidx", ["frame_idx", "gidx", "t_peak"], init, _peak_step, PEAK_STATE, PEAK_OUT, lift=_smoother_lift())
 
 
 def candidates_of(sig: DataFrame, chunk_col: str | None = None) -> DataFrame:
