@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from beatframe.llm.base import WORD, stage
+from beatframe.llm.base import WORD, attach, stage
 from beatframe.llm.line_dedup import remove_repeated_lines
 from beatframe.llm.mixing import mix_sources
 from beatframe.llm.near_dedup import near_duplicates
@@ -33,9 +33,33 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return r.select(F.when(F.col("n_removed") == 0, F.col("row")).otherwise(with_text(F.col("row"), docs.columns)).alias("row")).select("row.*")
 
 
+def shortened_copies(docs: DataFrame, originals: DataFrame) -> DataFrame:
+    """Id and text hash of documents that line dedup shortened and whose whole text was a near copy of that of another document still there.
+
+    What such a document keeps are the lines that its copy has changed: a fragment that resembles nothing. Only ids, hashes and lengths are joined.
+    Null ids and ids with several texts are left out, as their whole text isn't known.
+    """
+    near = near_duplicates(originals, shingle=5, percent=80).where("label IS NOT NULL").select("label", F.col("doc_id").alias("o_id"), F.col("text_hash").alias("o_hash"))
+    texts = originals.groupBy(F.col("doc_id").alias("s_id")).agg(F.min(F.xxhash64("text")).alias("s_hash"), F.max(F.xxhash64("text")).alias("s_last"), F.max(F.length("text")).alias("s_size"))
+    size = texts.where("s_hash = s_last").drop("s_last")
+    here = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.length("text").alias("size"))
+    known = near.join(size, (F.col("o_id") == F.col("s_id")) & (F.col("o_hash") == F.col("s_hash")))
+    there = stage(known.join(here, F.col("doc_id") == F.col("o_id")), "there")
+    first = there.groupBy("label").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    mates = attach(there.select("label", "doc_id", "text_hash", "size", "o_hash", "s_size"), first, ["label"], F.xxhash64("doc_id", "text_hash"), there.count(), 1000)
+    cut = (F.col("text_hash") != F.col("o_hash")) & (F.col("size") < F.col("s_size"))
+    return mates.where(cut & (F.col("doc_id") > F.col("first"))).select("doc_id", "text_hash").distinct()
+
+
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, similarity 0.8 or more): of its smallest id, the text with the least hash."""
-    texts = near_duplicates(docs, shingle=5, percent=80).where("kept").groupBy("label", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("rows"))
+    """One document of each group of near copies (five-word shingles, similarity 0.8 or more): of its smallest id, the text with the least hash.
+
+    Documents that line dedup cut down and that were near copies of another one before that go too: they are told by the whole texts in ``sf_dir``.
+    """
+    same_text = ["doc_id", "text_hash"]
+    near = near_duplicates(docs, shingle=5, percent=80)
+    gone = shortened_copies(docs, spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    texts = near.groupBy("label", *same_text).agg(F.count(F.lit(1)).alias("rows")).join(gone, same_text, "left_anti")
     alone = F.when(F.col("label").isNull(), F.struct("doc_id", "text_hash"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("late"), F.col("doc_id").alias("k_id"), F.col("text_hash").alias("k_hash"), "rows"))
     kept = texts.groupBy("label", alone.alias("alone")).agg(first.alias("first")).select("first.k_id", "first.k_hash", "first.rows")
