@@ -81,8 +81,33 @@ def test_pipeline_keeps_one_of_each_group(spark, tmp_path):
     docs = [(None, t) for t in near[0]] + [(None, near[0][0])] + [(5, t) for t in near[1]] + [(9, near[1][0])] + [(2, near[2][0])] * 2 + [(None, near[2][1])]
     docs += [(11, "alone"), (12, ""), (None, "!"), (None, None), (13, None)]
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    df.write.parquet(f"{tmp_path}/documents.parquet")  # the stage reads the whole texts
     got = [tuple(r) for r in corpus_pipeline.drop_near(spark, df, str(tmp_path)).collect()]
     assert set(got) <= set(docs) and len(got) == 8
     for texts, i in zip(near, (None, 5, 2)):
         assert [d for d, t in got if t in texts] == [i]
     assert sorted(map(repr, (r for r in got if r[1] not in sum(near, [])))) == sorted(map(repr, docs[-5:]))
+
+
+def test_no_fragment_of_a_near_copy_is_left(spark, tmp_path):
+    """Copies that line dedup cuts down to their changed lines go; clean documents, shared passages and first copies stay."""
+    r = random.Random(9)
+
+    def lines(n):
+        return [" ".join("w%d" % r.randint(0, 4000) for _ in range(14)) for _ in range(n)]
+    docs, copies = [], []
+    for k in range(12):
+        body = lines(12)
+        docs.append((k, "\n".join(body)))
+        body[r.randint(0, 11)] = lines(1)[0]  # one changed line of twelve: still a near copy
+        copies.append((100 + k, "\n".join(body)))
+    passage = "\n".join(lines(3))
+    clean = [(200 + k, "\n".join(lines(6)) + "\n" + passage) for k in range(8)] + [(300, None), (301, "")]
+    df = spark.createDataFrame(docs + copies + clean, "doc_id long, text string").repartition(3)
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    cut = corpus_pipeline.drop_lines(spark, df, str(tmp_path))
+    cut.write.parquet(f"{tmp_path}/cut")
+    cut = spark.read.parquet(f"{tmp_path}/cut")
+    assert cut.where("doc_id BETWEEN 100 AND 199").count() == 12  # the changed lines are left
+    got = {x.doc_id for x in corpus_pipeline.drop_near(spark, cut, str(tmp_path)).collect()}
+    assert got == {i for i, _ in docs + clean}
