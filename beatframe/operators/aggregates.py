@@ -106,10 +106,19 @@ def quantiles(rows: DataFrame, cols: Sequence[str], probs: Sequence[float], key:
     Values are counted per distinct value first (combined before the shuffle); positions come from running counts
     over those, split by value range, so no group is collected.  Returns (key, column, q, value).
     """
-    keys = list(key)
+    return count_quantiles(value_counts(rows, cols, key), probs, key)
+
+
+def value_counts(rows: DataFrame, cols: Sequence[str], key: Sequence[str] = (KEY,)) -> DataFrame:
+    """(key, column, x, n): how often each column has each value."""
     pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in cols]))
-    long = rows.select(*keys, pairs.alias("r")).select(*keys, "r.*").where(F.col("x").isNotNull())
-    counts = long.groupBy(*keys, "column", "x").agg(F.count(F.lit(1)).alias("n"))
+    long = rows.select(*key, pairs.alias("r")).select(*key, "r.*").where(F.col("x").isNotNull())
+    return long.groupBy(*key, "column", "x").agg(F.count(F.lit(1)).alias("n"))
+
+
+def count_quantiles(counts: DataFrame, probs: Sequence[float], key: Sequence[str] = (KEY,)) -> DataFrame:
+    """Quantiles of counted values (key, column, x, n)."""
+    keys = list(key)
     size = F.abs(F.col("x"))  # parts are 1/64 octave wide at every magnitude; 1075 lifts the smallest double above 0
     part = F.when(size > 0, F.floor((F.log2(size) + 1075) * 64) * F.signum(F.col("x"))).otherwise(0.0)
     counts = counts.withColumn("_part", part)

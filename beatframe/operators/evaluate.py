@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from ..functions import waves
 from ..functions.lets import let
 from ..functions.scalars import VIB_OFF, VIB_ON, magnitude
-from .aggregates import quantiles
-from .chunks import KEY, attach
+from .aggregates import count_quantiles, value_counts
+from .chunks import KEY, attach, cut
 from .joins import asof_nearest, assign_beat
 from .rolling import rolling_sd
 
@@ -114,13 +114,15 @@ def reject_outliers(rows: DataFrame, feature: str, ref: str, mode: str = "artifa
     'mad_both' drops extremes of feature or reference; 'artifact_only' only extremes of the feature while the
     reference is normal.
     """
-    def medians(d: DataFrame, cols: Sequence[str], names: Sequence[str]) -> DataFrame:
-        m = quantiles(d, cols, [0.5], [key])
-        return m.groupBy(key).agg(*[F.max(F.when(F.col("column") == c, F.col("value"))).alias(n) for c, n in zip(cols, names)])
-
-    d = attach(rows, medians(rows, [feature, ref], ["_mf", "_mr"]), key, [feature, ref])
+    # the rows are unpivoted and counted once; deviations come from the counts
+    counts = cut(value_counts(rows, [feature, ref], [key]))
+    middle = count_quantiles(counts, [0.5], [key]).select(key, "column", F.col("value").alias("_m"))
+    moved = attach(counts, middle, [key, "column"], ["x"]).select(key, "column", F.abs(F.col("x") - F.col("_m")).alias("x"), "n")
+    spread = count_quantiles(moved.groupBy(key, "column", "x").agg(F.sum("n").alias("n")), [0.5], [key]).select(key, "column", F.col("value").alias("_s"))
+    of = lambda c, v, n: F.max(F.when(F.col("column") == c, F.col(v))).alias(n)
+    facts = middle.join(spread, [key, "column"]).groupBy(key).agg(of(feature, "_m", "_mf"), of(ref, "_m", "_mr"), of(feature, "_s", "_sf"), of(ref, "_s", "_sr"))
+    d = attach(rows, facts, key, [feature, ref])
     d = d.withColumn("_df", F.abs(F.col(feature) - F.col("_mf"))).withColumn("_dr", F.abs(F.col(ref) - F.col("_mr")))
-    d = attach(d, medians(d, ["_df", "_dr"], ["_sf", "_sr"]), key, [feature, ref])
     scale = limit * 1.4826
     far_f, far_r = F.col("_df") > F.col("_sf") * scale, F.col("_dr") > F.col("_sr") * scale
     drop = (far_f | far_r) if mode == "mad_both" else (far_f & ~far_r)
