@@ -7,6 +7,7 @@ failed half way is not seen, and one that is repeated writes the same parts agai
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..operators.chunks import KEY, cut
 from ..plans.session import training_rows
@@ -41,14 +42,15 @@ def save_batch(rows: DataFrame, epoch: int, path: str, every: int = 60, tables:
     """One micro-batch of ``stream_sessions``: the log of its rows, closing records, snapshots that are due, final tables of ended
     recordings, commit.
 
-    A snapshot of a recording is due when its beats pass a multiple of ``every``; it is a new version, older ones stay readable.  Of the
-    log, only the buckets of such recordings are read, and only their beats are scored.
+    A snapshot of a recording is due when its beats pass a multiple of ``every``; it is a new version, older ones stay readable.  The log's
+    files are sorted by a bucket of the session, so only row groups that hold such recordings are read, and only their beats are scored.
     """
     spark = rows.sparkSession
     bucket = F.pmod(F.xxhash64(KEY), F.lit(BUCKETS)).cast("int")
-    log = rows.withColumn("bucket", bucket).withColumn("epoch", F.lit(epoch).cast("bigint"))
-    log.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "epoch").parquet(f"{path}/rows")  # the state step runs once
-    whole = spark.read.schema(log.schema).parquet(f"{path}/rows").where(F.col("epoch") <= epoch)
+    log = rows.withColumn("bucket", bucket)
+    _write(log.sortWithinPartitions("bucket"), path, "rows", epoch)  # the state step runs once; an empty batch leaves a file with the columns
+    kind = StructType([*log.schema.fields, StructField("epoch", LongType())])
+    whole = spark.read.schema(kind).parquet(f"{path}/rows").where(F.col("epoch") <= epoch)
     now, ids = whole.where(F.col("epoch") == epoch), [KEY, "started_us"]
     ended = now.where("kind = 'end'")
     _write(session_ends(ended), path, "ends", epoch)
