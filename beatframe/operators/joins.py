@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .chunks import IDX, KEY, _keys, attach, carry, floor_div
 
@@ -29,30 +29,36 @@ def asof_nearest(left: DataFrame, right: DataFrame, on: str, cols: Sequence[str]
                  first: Sequence[str] = (), chunk: int = 3_600 * SECOND_MS) -> DataFrame:
     """Nearest right row by ``|left.on - right.on|``; the earlier one wins a tie, ``first`` orders equal times.
 
-    ``tol`` is exclusive.  Chunks span ``chunk`` units of ``on``, so a hot key is spread over time.
+    ``tol`` is exclusive.  Chunks span ``chunk`` units of ``on``, so a hot key is spread over time.  The rows of both sides are shuffled
+    and sorted once: within a chunk the last hit and the next one are read in the same order, and one row per chunk carries the last
+    hit of the chunks before and the first hit of the chunks behind.  A left row without a time gets no hit.
     """
     keys, cols = _keys(key), list(cols)
     order = list(first)
-    r0 = right.select(*keys, on, *order, *[c for c in cols if c not in (on, *order)])
+    r0 = right.where(F.col(on).isNotNull()).select(*keys, on, *order, *[c for c in cols if c not in (on, *order)])
     # equal times: keep the first row only, as the first minimum wins
     hit = F.struct(F.col(on).alias("_t"), *[F.col(c) for c in cols])
-    if order:
-        r = r0.groupBy(*keys, on).agg(F.min_by(hit, F.struct(*[F.col(c) for c in order])).alias("_hit"))
-    else:
-        r = r0.groupBy(*keys, on).agg(F.min(hit).alias("_hit"))
-    kind = r.schema["_hit"].dataType
-    r = r.withColumn("_side", F.lit(0)).withColumn("_prev", F.col("_hit")).withColumn("_next", F.col("_hit")).drop("_hit")
-    l = left.select("*", F.lit(1).alias("_side"), F.lit(None).cast(kind).alias("_prev"),
-                    F.lit(None).cast(kind).alias("_next"))
-    both = l.unionByName(r, allowMissingColumns=True)
-    both = carry(both, ["_prev"], keys, on, chunk, order=[F.col(on), F.col("_side")])
-    both = both.withColumn("_neg", -F.col(on))
-    both = carry(both, ["_next"], keys, "_neg", chunk, order=[F.col("_neg"), -F.col("_side")])
-    # equal times are seen by the forward pass only
+    one = F.min_by(hit, F.struct(*[F.col(c) for c in order])) if order else F.min(hit)
+    r = r0.groupBy(*keys, on).agg(one.alias("_hit")).withColumn("_side", F.lit(0))
+    l = left.select("*", F.lit(1).alias("_side"), F.lit(None).cast(r.schema["_hit"].dataType).alias("_hit"))
+    part = F.coalesce(floor_div(F.col(on), chunk), F.lit(0))
+    both = l.unionByName(r, allowMissingColumns=True).withColumn("_c", part)
+    # equal times are seen by the backward reading only, as hits are sorted before the left rows of their time
+    names = ", ".join(f"`{k}`" for k in [*keys, "_c"])
+    w = Window.partitionBy(*keys, "_c").orderBy(on, "_side").rowsBetween(Window.unboundedPreceding, 0)
+    ahead = F.expr(f"lead(_hit, 1) IGNORE NULLS OVER (PARTITION BY {names} ORDER BY `{on}`, _side)")
+    local = both.select(*left.columns, "_side", "_c", F.last("_hit", ignorenulls=True).over(w).alias("_prev"), ahead.alias("_next"))
+    chunks = left.withColumn("_c", part).select(*keys, "_c").distinct().unionByName(r.withColumn("_c", part).select(*keys, "_c", on, "_hit"), True)
+    ends = chunks.groupBy(*keys, "_c").agg(F.min_by("_hit", on).alias("_first"), F.max_by("_hit", on).alias("_last"))
+    by = Window.partitionBy(*keys).orderBy("_c")
+    behind = F.expr(f"lead(_first, 1) IGNORE NULLS OVER (PARTITION BY {', '.join(f'`{k}`' for k in keys)} ORDER BY _c)")
+    ends = ends.select(*keys, "_c", behind.alias("_after"), F.last("_last", ignorenulls=True).over(
+        by.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
+    out = local.where("_side = 1").join(ends, [*keys, "_c"]).withColumn("_prev", F.coalesce("_prev", "_before")).withColumn(
+        "_next", F.coalesce("_next", "_after"))
     before, after = F.col(on) - F.col("_prev")["_t"], F.col("_next")["_t"] - F.col(on)
     use_prev = F.col("_next").isNull() | (F.col("_prev").isNotNull() & (before <= after))
-    best = F.when(use_prev, F.col("_prev")).otherwise(F.col("_next"))
-    out = both.where(F.col("_side") == 1).withColumn("_best", best)
+    out = out.withColumn("_best", F.when(use_prev, F.col("_prev")).otherwise(F.col("_next")))
     dist = F.abs(F.col(on) - F.col("_best")["_t"])
     ok = dist.isNotNull() if tol is None else F.coalesce(dist < tol, F.lit(False))
     return out.select(*left.columns, *[F.when(ok, F.col("_best")[c]).alias(c if c not in left.columns else f"{c}_right")

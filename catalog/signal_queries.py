@@ -336,13 +336,13 @@ def nearest(spark, sf):
 
 
 @query("j2_wall_to_clock", f"""WITH {EV}, e AS (SELECT session_id, frame_idx, ts_ms, ts_ms * 1000 + frame_idx AS t_ns FROM ev), r AS (SELECT session_id, ts_ms, arg_min(t_ns, frame_idx) AS t_ns FROM e GROUP BY 1, 2),
-b AS (SELECT session_id, frame_idx AS beat_index, ts_ms + 40000000 AS t FROM e WHERE frame_idx % 7 = 0),
+b AS (SELECT session_id, frame_idx AS beat_index, ts_ms + 40000000 AS t FROM e),
 x AS (SELECT b.*, r.ts_ms AS t1, r.t_ns AS n1 FROM b ASOF LEFT JOIN r ON b.session_id = r.session_id AND b.t >= r.ts_ms),
 y AS (SELECT x.*, r.ts_ms AS t2, r.t_ns AS n2 FROM x ASOF LEFT JOIN r ON x.session_id = r.session_id AND x.t <= r.ts_ms)
 SELECT session_id, beat_index, CASE WHEN t1 IS NOT NULL AND (t2 IS NULL OR t - t1 <= t2 - t) THEN n1 ELSE n2 END AS t_ns FROM y""")
 def wall_clock(spark, sf):
     e = event_frames(spark, sf).select("session_id", "frame_idx", "ts_ms", (C("ts_ms") * 1000 + C("frame_idx")).alias("t_ns"))
-    b = e.where("frame_idx % 7 = 0").select("session_id", C("frame_idx").alias("beat_index"), (C("ts_ms") + 40_000_000).alias("ts_ms"))
+    b = e.select("session_id", C("frame_idx").alias("beat_index"), (C("ts_ms") + 40_000_000).alias("ts_ms"))
     return jn.asof_nearest(b, e, "ts_ms", ["t_ns"], first=["frame_idx"], chunk=7 * 86_400_000).select("session_id", "beat_index", "t_ns")
 
 

@@ -77,13 +77,13 @@ for _k, _name in (("M1", "s4_method_table_m1"), ("M3", "s5_method_table_m3"), ("
         return out.select("session_id", "beat_index", *[F.round(c, 5).alias(c) for c in ("map_raw", "map_smoothed", "pp_smoothed", "sbp_smoothed", "dbp_calibrated")], "postprocess_applied")
 
 
-@query("s7_raw_table", f"""WITH {EV}, i AS (SELECT session_id, frame_idx, ts_ms + 5400000 AS t_ms, green_raw AS ibi_ms FROM ev WHERE frame_idx % 5 = 0), f AS (SELECT session_id, ts_ms // 10000 AS t_ms, arg_min(green_raw, frame_idx) AS g FROM ev GROUP BY 1, 2),
+@query("s7_raw_table", f"""WITH {EV}, i AS (SELECT session_id, frame_idx, ts_ms + 5400000 AS t_ms, green_raw AS ibi_ms FROM ev), f AS (SELECT session_id, ts_ms // 10000 AS t_ms, arg_min(green_raw, frame_idx) AS g FROM ev GROUP BY 1, 2),
 j AS (SELECT session_id, frame_idx, t_ms // 10000 AS t_ms, ibi_ms FROM i), b AS (SELECT j.*, f.t_ms AS bt, f.g AS bg FROM j ASOF LEFT JOIN f ON j.session_id = f.session_id AND j.t_ms >= f.t_ms),
 n AS (SELECT b.*, f.t_ms AS ft, f.g AS fg FROM b ASOF LEFT JOIN f ON b.session_id = f.session_id AND b.t_ms <= f.t_ms)
 SELECT session_id, frame_idx, ibi_ms, coalesce(CASE WHEN bt IS NOT NULL AND (ft IS NULL OR t_ms - bt <= ft - t_ms) THEN CASE WHEN t_ms - bt < 1000 THEN bg END ELSE CASE WHEN ft - t_ms < 1000 THEN fg END END, 0) AS green_near FROM n""")
 def raw_table(spark, sf):
     e = event_frames(spark, sf).withColumn("green", C("green_raw"))
-    ibi = e.where("frame_idx % 5 = 0").select("session_id", "frame_idx", F.floor((C("ts_ms") + 5_400_000) / 10_000).alias("t_ms"), C("green_raw").alias("ibi_ms"))
+    ibi = e.select("session_id", "frame_idx", F.floor((C("ts_ms") + 5_400_000) / 10_000).alias("t_ms"), C("green_raw").alias("ibi_ms"))
     d = t.raw_table(ibi, e.withColumn("t_ms", F.floor(C("ts_ms") / 10_000)))
     return d.select("session_id", "frame_idx", "ibi_ms", "green_near")
 

@@ -84,6 +84,24 @@ def test_nearest_ties_and_distance(spark):
         assert got == {1500: "a", 2000: "b", 3000: None, 9000: None}  # earlier wins a tie; exactly 1000 ms is no match
 
 
+def test_nearest_is_one_sort_of_the_rows(spark):
+    """Random times in many chunks against a search over all rows, and one exchange of the left rows in the plan."""
+    i = F.col("id")
+    left = spark.range(400).select((i % 3).alias("k"), F.when(i % 50 != 7, F.pmod(F.xxhash64(i), F.lit(5000))).alias("t"), i.alias("n"))
+    right = spark.range(150).select((i % 2).alias("k"), F.pmod(F.xxhash64(i, F.lit(1)), F.lit(4000)).alias("t"), i.alias("v"), F.lit("x").alias("n"))
+    got = jn.asof_nearest(left, right, "t", ["v", "n"], key="k", first=["v"], chunk=130)
+    assert got.columns == ["k", "t", "n", "v", "n_right"]
+    rows, hits = got.collect(), right.collect()
+    assert len(rows) == 400
+    for r in rows:
+        near = [(abs(h.t - r.t), h.t, h.v) for h in hits if h.k == r.k] if r.t is not None else []
+        assert r.v == (min(near)[2] if near else None)
+    plan = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].splitlines()
+    rows = [n for n, line in enumerate(plan) if "Union" in line]
+    shuffles = [line for line in plan if "Exchange hashpartitioning(k" in line and "_c" in line]
+    assert len(rows) == 2 and len(shuffles) == 3  # both sides, the chunks of the left, the chunk summaries
+
+
 def test_on_runs(spark):
     rows = [(1, i, i * 100, 3.0, 0.0, 4.0, v, b) for i, (v, b) in enumerate([(0, 0), (1, 0), (1, 0), (1, 1), (2, 1), (1, 1), (0, 1)])]
     imu = spark.createDataFrame(rows, "session_id int, frame_idx long, t_ns long, accel_x double, accel_y double, accel_z double, vib_state int, burst_id int")
