@@ -217,7 +217,7 @@ def label_rows(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.drop("label").join(found, "node", "left").withColumn("label", F.coalesce("found", "node")).drop("found")
 
 
-def links(rows: DataFrame, prepare: Callable, block_rows: int, part_rows: int, name: str) -> DataFrame | None:
+def links(rows: DataFrame, prepare: Callable, block_rows: int, part_rows: int, name: str, one_task: int = 0) -> DataFrame | None:
     """Spanning links of all similar nodes that share a group key; rows are (grp, n, node, body), n the size of the group.
 
     Groups up to ``block_rows`` are one block. Larger ones are cut by a hash of the node; then, until nothing new is found, one
@@ -233,7 +233,7 @@ def links(rows: DataFrame, prepare: Callable, block_rows: int, part_rows: int, n
         return found
     before = -1
     while True:
-        labels = components(found)
+        labels = components(found, one_task=one_task)
         now = label_rows(big, labels)
         heads = now.groupBy("grp", "label").agg(F.min("node").alias("node"))
         sizes = heads.groupBy("grp").agg(F.count(F.lit(1)).alias("parts")).where("parts > 1")
@@ -257,7 +257,7 @@ def links(rows: DataFrame, prepare: Callable, block_rows: int, part_rows: int, n
 
 # ---------------------------------------------------------------- the operator
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, percent: int = 85, deviations: float = 5.0,
-                    block_rows: int = 4096, part_rows: int = 50_000, heavy: int = 1000) -> DataFrame:
+                    block_rows: int = 4096, part_rows: int = 50_000, heavy: int = 1000, one_task: int = 0) -> DataFrame:
     """doc_id, text_hash, n_shingles, component_id, kept and label for every row.
 
     Words are runs other than space and 0x09 to 0x0D with A-Z in lower case; a set holds the distinct runs of ``shingle`` words,
@@ -265,7 +265,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets; component_id is the smallest id that links reach, kept marks the rows that bear it.
 
     26 bands of 5 MinHash values miss a pair at similarity 0.85 with probability 2.4e-7, at 0.8 with 3.2e-5; sketches let pairs through up to
-    ``deviations`` standard deviations under the limit. No cap is set on partners.
+    ``deviations`` standard deviations under the limit. No cap is set on partners. Link tables of up to ``one_task`` rows are
+    contracted in one task.
 
     Null and empty texts, and texts without words, have an empty set, are linked with nothing and kept. Null ids come after all
     others: a group of only such rows has a null component_id and all its rows are kept. Repeated rows fall into one group, and
@@ -281,14 +282,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = slim.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     met = attach(slim, shared, ["grp"], F.xxhash64("node"), total, heavy)
     rows = stage(met.join(nodes.select("node", F.col("sketch").alias("body")), "node"), "bands", total // 8)
-    loose = components(links(rows, sketch_links(most_different(percent / 100, deviations)), block_rows, part_rows, "loose"), heavy)
+    loose = components(links(rows, sketch_links(most_different(percent / 100, deviations)), block_rows, part_rows, "loose", one_task), heavy, one_task=one_task)
     sizes = loose.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
     members = stage(attach(loose, sizes, ["label"], F.xxhash64("node"), total, heavy).join(nodes.select("node", "rep"), "node"), "members", n_docs)
     asked = members.select("node", F.col("label").alias("grp"), F.col("rep.doc_id").alias("rep_id"), F.col("rep.th").alias("rep_th")).distinct()
     texts = d.where("text IS NOT NULL").join(asked, F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.col("th") == F.col("rep_th")))
     sets = texts.select("grp", "node", "text").mapInArrow(set_documents(shingle), "grp binary, node binary, body binary").dropDuplicates(["node"])
     exact = stage(sets.join(members.select("node", "n"), "node").select("grp", "n", "node", "body"), "sets", n_docs, 2_000)
-    label = components(links(exact, set_links(percent), max(1, block_rows // 8), max(1, part_rows // 32), "exact"), heavy)
+    label = components(links(exact, set_links(percent), max(1, block_rows // 8), max(1, part_rows // 32), "exact", one_task), heavy, one_task=one_task)
     of = nodes.select("node", "n", F.col("rep.doc_id").alias("doc_id")).join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = of.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("component_id"))
     named = attach(of.select("node", "label", F.col("n").alias("rows")), least.select("label", "n", "component_id"), ["label"], F.xxhash64("node"), total // BANDS, heavy)

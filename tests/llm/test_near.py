@@ -111,3 +111,17 @@ def test_no_fragment_of_a_near_copy_is_left(spark, tmp_path):
     assert cut.where("doc_id BETWEEN 100 AND 199").count() == 12  # the changed lines are left
     got = {x.doc_id for x in corpus_pipeline.drop_near(spark, cut, str(tmp_path)).collect()}
     assert got == {i for i, _ in docs + clean}
+
+
+def test_components_in_one_task(spark):
+    """Paths, stars, loops and repeated edges: one task gives the labels of the rounds of joins."""
+    from beatframe.llm.components import components
+
+    r = random.Random(4)
+    edges = [(i, i + 1) for i in range(0, 40)] + [(100, 100 + i) for i in range(1, 30)] + [(r.randint(200, 400), r.randint(200, 400)) for _ in range(150)]
+    edges += edges[:20] + [(7, 7)]
+    name = lambda i: (i * 7919 % 65536).to_bytes(2, "big") + b"\0"
+    df = spark.createDataFrame([(name(a), name(b)) for a, b in edges], "a binary, b binary").repartition(3)
+    by_rounds, by_task = ({(bytes(x.node), bytes(x.label)) for x in components(df, one_task=n).collect()} for n in (0, 1000))
+    assert by_rounds == by_task and len(by_task) == len({n for n, _ in by_task}) > 200
+    assert components(df.limit(0), one_task=10).isEmpty()
