@@ -14,6 +14,8 @@ from beatframe.llm.quality_classifier import learn_quality, quality_score
 KEEP = 0.5
 #: Least words of a line that counts as a repeat by itself.
 ALONE = 10
+#: Link tables of near copies up to this many rows are contracted in one task (about 100 MB); larger ones by rounds of joins.
+ONE_TASK = 500_000
 
 
 def with_text(row: Column, names: list[str]) -> Column:
@@ -39,7 +41,7 @@ def shortened_copies(docs: DataFrame, originals: DataFrame) -> DataFrame:
     What such a document keeps are the lines that its copy has changed: a fragment that resembles nothing. Only ids, hashes and lengths are joined.
     Null ids and ids with several texts are left out, as their whole text isn't known.
     """
-    near = near_duplicates(originals, shingle=5, percent=80).where("label IS NOT NULL").select("label", F.col("doc_id").alias("o_id"), F.col("text_hash").alias("o_hash"))
+    near = near_duplicates(originals, shingle=5, percent=80, one_task=ONE_TASK).where("label IS NOT NULL").select("label", F.col("doc_id").alias("o_id"), F.col("text_hash").alias("o_hash"))
     texts = originals.groupBy(F.col("doc_id").alias("s_id")).agg(F.min(F.xxhash64("text")).alias("s_hash"), F.max(F.xxhash64("text")).alias("s_last"), F.max(F.length("text")).alias("s_size"))
     size = texts.where("s_hash = s_last").drop("s_last")
     here = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.length("text").alias("size"))
@@ -57,7 +59,7 @@ def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Documents that line dedup cut down and that were near copies of another one before that go too: they are told by the whole texts in ``sf_dir``.
     """
     same_text = ["doc_id", "text_hash"]
-    near = near_duplicates(docs, shingle=5, percent=80)
+    near = near_duplicates(docs, shingle=5, percent=80, one_task=ONE_TASK)
     gone = shortened_copies(docs, spark.read.parquet(f"{sf_dir}/documents.parquet"))
     texts = near.groupBy("label", *same_text).agg(F.count(F.lit(1)).alias("rows")).join(gone, same_text, "left_anti")
     alone = F.when(F.col("label").isNull(), F.struct("doc_id", "text_hash"))
