@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from beatframe.functions.scalars import utc_timestamp
 from beatframe.operators.chunks import ensure_checkpoint_dir
 from beatframe.sources import tables as t
-from beatframe.streaming import commits, live, sessions
+from beatframe.streaming import commits, landing, live, sessions
 from .base import EV, LI, query, r6, rounded, table
 from .model_queries import score_sql
 from .signal_queries import BEATS_COLS, BEATS_R, EXT3, KEPT, peaks_sql
@@ -133,3 +133,15 @@ def final_tables(spark, sf):
         F.count(F.lit(1)).alias("n_method"), F.count_if(C("output_valid") == 1).alias("n_valid"), F.round(F.sum("sbp"), 4).alias("sum_sbp"))
     ibi = read("ibi").groupBy(C("session_id").alias("id")).agg(F.count(F.lit(1)).alias("n_ibi"))
     return ends.join(ibi, "id").join(meth, "id").drop("id", "started_us")
+
+
+@query("d15_landed_files", """WITH l AS (SELECT user_id AS session_id, CASE event_type WHEN 'click' THEN 'Wave_Data' WHEN 'view' THEN 'Training_Data' ELSE 'IMU_Data' END AS kind FROM events WHERE value > 60)
+SELECT session_id, max(CASE WHEN kind = 'IMU_Data' THEN 1 ELSE 0 END) AS has_imu FROM l GROUP BY 1 HAVING bool_or(kind = 'Wave_Data') AND bool_or(kind = 'Training_Data')""")
+def landed(spark, sf):
+    """Events written as files of their sessions and kinds, listed as a stream and taken into a ledger."""
+    ensure_checkpoint_dir(spark)
+    base = f"{spark.sparkContext.getCheckpointDir()}/landed-{uuid.uuid4().hex}"
+    e = table(spark, sf, "events").where("value > 60").withColumn("kind", F.expr("CASE event_type WHEN 'click' THEN 'Wave_Data' WHEN 'view' THEN 'Training_Data' ELSE 'IMU_Data' END"))
+    e.select(C("user_id").alias("session_id"), "kind", "event_id", "value").repartition("session_id", "kind").write.partitionBy("session_id", "kind").csv(f"{base}/in", header=True)
+    landing.ingest_landed(landing.landed_files(spark, f"{base}/in"), f"{base}/ledger").trigger(availableNow=True).start().awaitTermination()
+    return landing.read_ledger(spark, f"{base}/ledger").select(C("session_id").cast("bigint").alias("session_id"), "has_imu")
