@@ -29,15 +29,15 @@ def landed_files(spark: SparkSession, folder: str, per_batch: int = 100_000) ->
 def save_landed(files: DataFrame, epoch: int, path: str) -> None:
     """One micro-batch: its files, the sessions that it completes, commit.
 
-    Only sessions with a file in the batch are looked at, so one that waits costs nothing until its next file. An IMU file counts when it
-    is there by the time its session is taken; later files of a taken session change nothing.
+    Only sessions with a file in the batch are looked at, so one that waits costs nothing until its next file. Later files of a taken
+    session don't take it again.
     """
     spark = files.sparkSession
     write_part(files, path, "arrivals", epoch)
     seen = spark.read.parquet(f"{path}/arrivals").where(F.col("epoch") <= epoch)
     touched = seen.where(F.col("epoch") == epoch).select(KEY).distinct()
     taken = spark.read.parquet(f"{path}/ledger").where(F.col("epoch") < epoch) if epoch else touched.limit(0)
-    write_part(ingest(seen.join(touched, KEY, "left_semi"), taken), path, "ledger", epoch)
+    write_part(ingest(seen.join(touched, KEY, "left_semi"), taken).select(KEY), path, "ledger", epoch)
     write_part(spark.range(1).select(F.lit(epoch).cast("bigint").alias("number")), path, "commits", epoch)
 
 
@@ -49,5 +49,9 @@ def ingest_landed(files: DataFrame, path: str):
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
-    """session_id, has_imu and the batch (``epoch``) of every session taken so far."""
-    return read_committed(spark, path, "ledger")
+    """session_id, the batch (``epoch``) that took it and has_imu of every session so far.
+
+    has_imu tells whether a sensor file has landed up to now, in whatever batch, so it doesn't hang on how files fell into batches.
+    """
+    imu = read_committed(spark, path, "arrivals").where("kind = 'IMU_Data'").select(KEY).distinct().withColumn("has_imu", F.lit(1))
+    return read_committed(spark, path, "ledger").join(imu, KEY, "left").withColumn("has_imu", F.coalesce("has_imu", F.lit(0)))

@@ -38,7 +38,7 @@ def test_files_land_in_three_steps(spark, tmp_path, monkeypatch):
     assert run(spark, folder, path) == {("a_1", 1), ("b", 0)}
     land(folder, "session_id=d/kind=Training_Data/part-0.csv", "b_IMU_Data.csv")
     both = run(spark, folder, path)
-    assert both == {("a_1", 1), ("b", 0), ("d", 0)}  # a sensor file after the session was taken changes nothing
+    assert both == {("a_1", 1), ("b", 1), ("d", 0)}  # a late sensor file is seen, the session is not taken again
     assert run(spark, folder, path) == both
     rows = landing.read_ledger(spark, str(path))
     assert rows.count() == 3
