@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.quality import finite_or, is_valid
 from ..functions.scalars import VIB_ON, finite, in_zone_area, normalize_area, touch_area
-from .chunks import IDX, KEY, Halo
+from .chunks import IDX, KEY, Halo, attach, cut, floor_div
 from .joins import asof_nearest, interval_join
 from .rolling import first_valid, runs
 
@@ -17,18 +17,61 @@ from .rolling import first_valid, runs
 CONTEXT = ("contact_area", "touch_pressure", "y_mean", "u_mean", "v_mean")
 
 
-def beat_context(frames: DataFrame, cols: Sequence[str] = CONTEXT, beat: str = "beat_index") -> DataFrame:
+def beat_context(frames: DataFrame, cols: Sequence[str] = CONTEXT, beat: str = "beat_index", most: int = 10_000) -> DataFrame:
     """Per beat: medians of finite values (0 when none), latest phase, share of frames with the motor on.
 
-    A beat holds a few dozen frames, so exact medians are taken inside the group.
+    ``beat`` doesn't fall along ``frame_idx``, as ``assign_beat`` gives it.  Frames are shuffled once, by blocks of ``most`` frame
+    numbers; a beat inside a block is whole there.  Only the first and the last beat of a block may go on in the next one; up to
+    ``most`` frames these are put together, longer ones (hours without a beat) go through value counts, so no task holds one.
     """
-    medians = [F.coalesce(F.median(F.when(finite(c), F.col(c))), F.lit(0.0)).alias(f"{c}_median") for c in cols]
-    extra = []
-    if "phase" in frames.columns:
-        extra.append(F.max_by("phase", IDX).alias("phase"))
-    if "vib_state" in frames.columns:
-        extra.append(F.avg((F.col("vib_state") == VIB_ON).cast("double")).alias("vib_duty_in_beat"))
-    return frames.where(F.col(beat).isNotNull()).groupBy(KEY, beat).agg(*medians, *extra)
+    keys = [KEY, beat]
+    has = [c for c in ("phase", "vib_state") if c in frames.columns]
+    d = frames.where(F.col(beat).isNotNull()).select(*keys, IDX, *[F.col(c).cast("double").alias(c) for c in cols if c not in has],
+                                                     *has, floor_div(F.col(IDX), most).alias("_block")).repartition(KEY, "_block")
+    values = [F.collect_list(F.when(finite(c), F.col(c).cast("double"))).alias(f"_{c}") for c in cols]
+    sums = [F.count(F.lit(1)).alias("_n"), F.max(IDX).alias("_end")]
+    if "phase" in has:
+        sums.append(F.max_by("phase", IDX).alias("phase"))
+    if "vib_state" in has:  # a frame without a state is neither on nor off
+        on = (F.col("vib_state") == VIB_ON).cast("bigint")
+        sums += [F.sum(on).alias("_on"), F.count(on).alias("_known")]
+    block = Window.partitionBy(KEY, "_block")
+    parts = cut(d.groupBy(KEY, "_block", beat).agg(*values, *sums).withColumn(
+        "_edge", (F.col(beat) == F.min(beat).over(block)) | (F.col(beat) == F.max(beat).over(block))).drop("_block"))
+
+    def over_parts() -> list[Column]:
+        out = [F.max_by("phase", "_end").alias("phase")] if "phase" in has else []
+        return out + ([(F.sum("_on") / F.sum("_known")).alias("vib_duty_in_beat")] if "vib_state" in has else [])
+
+    def middle(c: str) -> Column:
+        v, n = F.array_sort(c), F.size(c)
+        at = lambda i: F.get(v, i.cast("int"))
+        return F.coalesce((at(F.floor((n - 1) / 2)) * 0.5 + at(F.floor(n / 2)) * 0.5), F.lit(0.0))
+
+    medians = [middle(f"_{c}").alias(f"{c}_median") for c in cols]
+    names = [*keys, *[f"{c}_median" for c in cols], *[{"vib_state": "vib_duty_in_beat"}.get(c, c) for c in has]]
+    inner = parts.where("NOT _edge")
+    if "vib_state" in has:
+        inner = inner.withColumn("vib_duty_in_beat", F.col("_on") / F.col("_known"))
+    inner = inner.select("*", *medians).select(*names)
+    edge = parts.where("_edge")
+    long = edge.select(*keys, "_n").groupBy(*keys).agg(F.sum("_n").alias("_all")).where(F.col("_all") > most).select(*keys)
+    if long.isEmpty():
+        short, tail = edge, None
+    else:
+        flagged = attach(edge, long.withColumn("_long", F.lit(True)), keys, ["_end"], "left")
+        short, many = flagged.where("_long IS NULL"), flagged.where("_long")
+        named = lambda c: F.transform(f"_{c}", lambda x: F.struct(F.lit(c).alias("column"), x.alias("x")))
+        value = F.explode(F.flatten(F.array(*[named(c) for c in cols])))
+        counts = many.select(*keys, value.alias("r")).select(*keys, "r.*").groupBy(*keys, "column", "x").agg(F.count(F.lit(1)).alias("n"))
+        mid = count_quantiles(counts, [0.5], keys).groupBy(*keys).agg(
+            *[F.max(F.when(F.col("column") == c, F.col("value"))).alias(f"{c}_median") for c in cols])
+        tail = many.groupBy(*keys).agg(F.count(F.lit(1)).alias("_parts"), *over_parts()).drop("_parts").join(mid, keys, "left").withColumns(
+            {f"{c}_median": F.coalesce(f"{c}_median", F.lit(0.0)) for c in cols}).select(*names)
+    joined = short.groupBy(*keys).agg(*[F.flatten(F.collect_list(f"_{c}")).alias(f"_{c}") for c in cols],
+                                      F.max("_end").alias("_end"), *over_parts())
+    out = inner.unionByName(joined.select("*", *medians).select(*names))
+    return out if tail is None else out.unionByName(tail)
 
 
 def on_run_rms(imu: DataFrame, beats: DataFrame) -> DataFrame:

@@ -174,23 +174,25 @@ def imu_on_frames(imu: DataFrame, frames: DataFrame, cols: Sequence[str] = ("acc
 
 
 def resonance(imu: DataFrame, grid_hz: Sequence[float], key: Sequence[str] = (KEY,)) -> DataFrame:
-    """Grid frequency with the largest Fourier power of |accel| over ON samples (mean removed by its grid sums).
+    """Grid frequency with the largest Fourier power of |accel| over ON samples (mean removed by its grid sums); the lower one wins a tie.
 
-    The grid lives in one array per row and sums combine before the shuffle.
+    The grid becomes rows, so the plan is as wide for thousands of frequencies as for one, and the sums of a frequency combine before
+    the shuffle.  Turns are taken from whole seconds and from the rest apart, so that epoch clocks keep their digits.  Samples without
+    a magnitude take no part.
     """
     on = imu.where(F.col("vib_state") == VIB_ON).select(
-        *key, (F.col("t_ns") / 1e9).alias("_t"), magnitude("accel_x", "accel_y", "accel_z").alias("_m"))
-    ang = F.lit(2.0 * math.pi) * F.col("_t")
-    sums = []
-    for i, f in enumerate(grid_hz):
-        for name, fn in (("c", F.cos), ("s", F.sin)):
-            wave = fn(ang * F.lit(float(f)))
-            sums += [F.sum(F.col("_m") * wave).alias(f"_m{name}{i}"), F.sum(wave).alias(f"_{name}{i}")]
-    g = on.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.avg("_m").alias("_a"), *sums)
-    part = lambda x, i: F.col(f"_m{x}{i}") - F.col("_a") * F.col(f"_{x}{i}")
-    power = [F.struct((part("c", i) * part("c", i) + part("s", i) * part("s", i)).alias("p"), F.lit(-float(f)).alias("f"))
-             for i, f in enumerate(grid_hz)]
-    return g.select(*key, "n", F.array_max(F.array(*power)).alias("_b")).select(
+        *key, F.expr("t_ns div 1000000000").alias("_s"), (F.expr("t_ns % 1000000000") / 1e9).alias("_r"),
+        magnitude("accel_x", "accel_y", "accel_z").alias("_m")).where("_m IS NOT NULL")
+    rows = on.select("*", F.explode(F.array(*[F.lit(float(f)) for f in grid_hz])).alias("_f"))
+    whole = (F.col("_f") - F.floor("_f")) * F.col("_s")  # whole turns of whole seconds are left out
+    rows = rows.withColumn("_a", F.lit(2.0 * math.pi) * (whole - F.floor(whole) + F.col("_f") * F.col("_r")))
+    rows = rows.withColumn("_c", F.cos("_a")).withColumn("_d", F.sin("_a"))
+    g = rows.groupBy(*key, "_f").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("_m").alias("_m"), F.sum("_c").alias("_c"), F.sum("_d").alias("_d"),
+        F.sum(F.col("_m") * F.col("_c")).alias("_mc"), F.sum(F.col("_m") * F.col("_d")).alias("_md"))
+    c, d = F.col("_mc") - F.col("_m") * F.col("_c"), F.col("_md") - F.col("_m") * F.col("_d")
+    best = F.max(F.struct((c * c + d * d).alias("p"), (-F.col("_f")).alias("f"))).alias("_b")
+    return g.groupBy(*key).agg(F.max("n").alias("n"), best).select(
         *key, "n", (-F.col("_b.f")).alias("resonance_hz"), (F.col("_b.p") / (F.col("n") * F.col("n"))).alias("power"))
 
 

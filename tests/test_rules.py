@@ -1,12 +1,14 @@
 """Limits of every reason, scoring invariants, replays and joins on hand-written rows."""
 
 import json
+import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from beatframe.functions import models as m, quality as q, scalars as s
-from beatframe.operators import aggregates as agg, chunks as ch, detect as det, joins as jn, phases as ph, replay as rp, rolling as ro
+from beatframe.operators import aggregates as agg, chunks as ch, detect as det, evaluate as ev, joins as jn, phases as ph, replay as rp, rolling as ro
 from beatframe.sources import tables as t
 
 
@@ -276,3 +278,47 @@ def test_missing_pair_has_no_relative_time(spark):
     got = det.pair_history(kept).orderBy("frame_idx").collect()
     assert (got[0].v2p_rel, got[0].p2v_rel, got[0].p2v_amp) == (-0.4125, 0.0, 0.0)
     assert (got[1].v2p_rel, got[1].p2v_rel) == (-0.4125, -0.33)
+
+
+def test_beat_medians_of_any_length(spark):
+    """Beats inside a block, over a block edge, and one of many blocks give what the in-group median gives."""
+    i = F.col("id")
+    beat = F.when(i < 95, F.floor(i / 30)).when(i < 4_000, F.lit(4)).when(i < 4_990, 5 + F.floor((i - 4_000) / 33))
+    d = spark.range(0, 5_000, 1, 3).select(
+        F.lit("s").alias("session_id"), i.alias("frame_idx"), beat.cast("bigint").alias("beat_index"),
+        F.when(i % 7 == 0, F.lit(float("nan"))).when(i % 11 > 0, F.pmod(F.xxhash64("id"), F.lit(997)) / 8.0).alias("a"),
+        F.when(i < 30, F.lit(None)).otherwise(F.col("id") % 13).cast("int").alias("b"),
+        (F.floor(i / 50) % 4).cast("int").alias("phase"), (i % 3).cast("int").alias("vib_state"))
+    ok = lambda c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
+    want = d.where("beat_index IS NOT NULL").groupBy("session_id", "beat_index").agg(
+        F.coalesce(F.median(ok("a")), F.lit(0.0)).alias("a_median"), F.coalesce(F.median(ok("b")), F.lit(0.0)).alias("b_median"),
+        F.max_by("phase", "frame_idx").alias("phase"), F.avg((F.col("vib_state") == 1).cast("double")).alias("vib_duty_in_beat"))
+    want = sorted(tuple(r) for r in want.collect())
+    for most in (70, 10_000):
+        got = agg.beat_context(d, ["a", "b"], most=most)
+        assert got.columns == ["session_id", "beat_index", "a_median", "b_median", "phase", "vib_duty_in_beat"]
+        got = sorted(tuple(r) for r in got.collect())
+        assert [r[:2] for r in got] == [r[:2] for r in want]
+        assert [x for r in got for x in r[2:]] == pytest.approx([x for r in want for x in r[2:]])
+    bare = agg.beat_context(d.drop("phase", "vib_state"), ["a"], most=70)
+    assert bare.columns == ["session_id", "beat_index", "a_median"] and bare.count() == len(want)
+    assert agg.beat_context(d.limit(0), ["a"]).count() == 0
+
+
+def test_resonance_on_a_fine_grid(spark):
+    """2,000 frequencies: a plan as wide as for one, epoch clocks, and the powers of a plain sum."""
+    start, n = 1_700_000_000_123_456_789, 4_000
+    t = F.lit(start) + F.col("id") * 2_500_000
+    value = 9.0 + F.sin(2 * math.pi * 63.37 * F.col("id") * 0.0025)
+    imu = spark.range(n).select(F.lit("s").alias("session_id"), t.alias("t_ns"), value.alias("accel_x"), F.lit(0.0).alias("accel_y"),
+                                F.lit(0.0).alias("accel_z"), F.lit(1).alias("vib_state"))
+    imu = imu.withColumn("accel_x", F.when(F.col("t_ns") != start, F.col("accel_x")))
+    grid = [20.0 + 0.07 * k for k in range(2_000)]
+    got = ev.resonance(imu, grid)
+    one, all_ = (ev.resonance(imu, g)._jdf.queryExecution().optimizedPlan() for g in (grid[:1], grid))
+    assert len(one.toString().splitlines()) == len(all_.toString().splitlines()) and got.schema == ev.resonance(imu, grid[:1]).schema
+    x = np.arange(1, n)
+    m = 9.0 + np.sin(2 * np.pi * 63.37 * x * 0.0025)
+    power = [abs(((m - m.mean()) * np.exp(-2j * np.pi * f * x * 0.0025)).sum()) ** 2 / (n - 1) ** 2 for f in grid]
+    r = got.first()
+    assert (r.n, r.resonance_hz) == (n - 1, grid[int(np.argmax(power))]) and r.power == pytest.approx(max(power), rel=1e-6)
