@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from beatframe.llm.base import text_buffers
+from beatframe.llm.base import stage, text_buffers
 
 
 def as_windows(x: np.ndarray, params: dict) -> np.ndarray:
@@ -110,17 +110,28 @@ def mean_logits(col, params: dict, chunk: int, hop: int, part: int = 64) -> np.n
     return total / np.bincount(doc, minlength=len(off) - 1)[:, None]
 
 
-def draw(rows: DataFrame, per_class: int, seed: int = 7) -> tuple[DataFrame, dict]:
-    """About ``per_class`` rows (y, id, ...) of each class, drawn by a hash of the id, and the class counts of all rows.
+def draw(rows: DataFrame, per_class: int, most: int = 50_000, seed: int = 7) -> tuple[DataFrame, DataFrame]:
+    """About ``per_class`` rows (y, id, ...) of each class, drawn by a hash of the id, and the table (y, n, least) of all class counts and least hashes.
 
-    At most the 1,000 most frequent classes are drawn, so the sample is bounded whatever the size of the table.
+    About ``most`` rows are drawn at most: where there are too many classes, the rows per class are halved until they fit, down to one.
+    The row of the least hash is always drawn, so every class keeps one. Only with more than ``most`` classes a seeded part of the classes is drawn. Classes of fewer rows are
+    drawn whole; the shares of the others, at most ``most`` rows, are broadcast.
     """
     known = rows.where("y IS NOT NULL")
-    counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "y").limit(1000).collect()}
-    if not counts:
-        return known.limit(0), {}
-    share = F.create_map(*[F.lit(v) for y, n in counts.items() for v in (y, int(1_000_000 * min(1.0, 1.2 * per_class / n)))])
-    return known.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1_000_000)) < share[F.col("y")]), counts
+    mark = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1_000_000))
+    counts = stage(known.groupBy("y").agg(F.count(F.lit(1)).alias("n"), F.min(mark).alias("least")), "classes")
+    levels = [1.2 * per_class]
+    while levels[-1] > 1:
+        levels.append(max(1.0, levels[-1] / 2))
+    classes, *sums = counts.agg(F.count(F.lit(1)), *[F.sum(F.least(F.col("n").cast("double"), F.lit(x))) for x in levels]).first()
+    if not classes:
+        return known.limit(0), counts
+    per = next((x for x, s in zip(levels, sums) if s <= most), levels[-1])
+    within = F.pmod(F.xxhash64("y", F.lit(seed)), F.lit(1_000_000)) < F.lit(1_000_000 * most // classes)
+    share = F.greatest(F.floor(1_000_000 * (F.lit(per) / F.col("n"))), F.col("least") + 1)
+    large = counts.where(F.col("n") > per).where(within).select(F.col("y").alias("large_y"), share.alias("share"))
+    drawn = known.where(within).join(F.broadcast(large), F.col("y") == F.col("large_y"), "left")
+    return drawn.where(mark < F.coalesce("share", F.lit(1_000_000))).select(*known.columns), counts
 
 
 def learning_chunks(drawn: DataFrame, chunk: int, per_doc: int) -> tuple[np.ndarray, list]:

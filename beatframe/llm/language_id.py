@@ -12,13 +12,14 @@ WINDOW = 256
 
 
 def learn_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", allowed: Column | None = None,
-                    per_class: int = 500, per_doc: int = 6, steps: int = 400) -> tuple[dict, list[str]]:
-    """Train on at most about ``per_class`` documents of each language, ``per_doc`` windows each (bounds of the sample).
+                    per_class: int = 500, per_doc: int = 6, steps: int = 400, most: int = 50_000) -> tuple[dict, list[str]]:
+    """Train on at most about ``per_class`` documents of each language and ``most`` in all, ``per_doc`` windows each (bounds of the sample).
 
-    Only texts with a letter and a non-null language are learned from; the 1,000 most frequent languages at most.
+    Only texts with a letter and a non-null language are learned from. Many languages lower the documents of each (see ``draw``); none is left out
+    up to ``most`` languages.
     """
     rows = docs.where((allowed if allowed is not None else F.lit(True)) & F.rlike(text_col, F.lit(r"\p{L}")))
-    drawn, _ = draw(rows.select(F.col(lang_col).alias("y"), F.col(id_col).alias("id"), F.col(text_col).alias("text")), per_class)
+    drawn, _ = draw(rows.select(F.col(lang_col).alias("y"), F.col(id_col).alias("id"), F.col(text_col).alias("text")), per_class, most)
     x, y = learning_chunks(drawn, WINDOW, per_doc)
     names = sorted(set(y))
     params = start(max(1, len(names)), (3, 4, 5), 10, 8, 16, 1, seed=5)

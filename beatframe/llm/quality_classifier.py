@@ -32,7 +32,8 @@ def learn_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
         params = train(x, np.array(y), params, steps)
     else:
         params["out"][:] = 0
-    prior = np.log((counts.get(1, 0) + 1) / (counts.get(0, 0) + 1))
+    n_of = {r["y"]: r["n"] for r in counts.collect()}  # two classes
+    prior = np.log((n_of.get(1, 0) + 1) / (n_of.get(0, 0) + 1))
     params["out_bias"] = params["out_bias"] + np.array([0, prior], np.float32)  # learned on even classes
     return params
 

@@ -13,8 +13,9 @@ def integer_vectors(vectors: DataFrame, id_col: str, vec_col: str, scale: int) -
     """(id, v): floor(scale * x) per component; rows without an id or with a null or non-finite component are left out."""
     sound = F.col(vec_col).isNotNull() & F.col(id_col).isNotNull() & F.forall(
         vec_col, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) != float("inf")))
-    return vectors.where(sound).select(F.col(id_col).cast("bigint").alias("id"),
-                                       F.transform(vec_col, lambda x: F.floor(scale * x.cast("double")).cast("bigint")).alias("v"))
+    wide = F.raise_error(F.lit("a component passes 64 bits"))
+    whole = lambda x: F.when(F.abs(scale * x.cast("double")) < 2.0 ** 63, F.floor(scale * x.cast("double")).cast("bigint")).otherwise(wide)
+    return vectors.where(sound).select(F.col(id_col).cast("bigint").alias("id"), F.transform(vec_col, whole).alias("v"))
 
 
 def matrices(table: pa.Table, *extra: str) -> dict[int, tuple]:
@@ -34,26 +35,37 @@ def matrices(table: pa.Table, *extra: str) -> dict[int, tuple]:
 
 
 def number_type(a: np.ndarray, b: np.ndarray):
-    """A type in which all sums of products are exact."""
+    """A type in which all sums of products are exact; Python's integers where 64 bits might not do."""
     if not a.size or not b.size:
         return np.int64
     most = float(np.abs(a.astype(np.float64)).max()) * float(np.abs(b.astype(np.float64)).max()) * a.shape[0]
-    return np.float32 if most < 2 ** 24 else np.float64 if most < 2 ** 53 else np.int64
+    return np.float32 if most < 2 ** 24 else np.float64 if most < 2 ** 53 else np.int64 if most < 2 ** 62 else object
+
+
+def ranked(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k best, highest score first, then smaller id."""
+    if score.dtype != object:
+        return np.lexsort((ids, -score))[:k]
+    best = np.array(sorted(range(len(score)), key=lambda i: (-score[i], ids[i]))[:k], np.int64)
+    if any(abs(x) >= 2 ** 63 for x in score[best]):
+        raise OverflowError("the inner product of two vectors passes 64 bits")
+    return best
 
 
 def best_of(q: np.ndarray, cand: np.ndarray, rest: np.ndarray, keep: np.ndarray, k: int, step: int) -> tuple[np.ndarray, np.ndarray]:
     """Places and scores of all candidates that can be among the k best.
 
     Products are summed over blocks of ``step`` dimensions. After each block a candidate's score lies within partial sum plus or
-    minus |rest of q| * |rest of candidate|; those whose upper bound is under the k-th best lower bound leave.
+    minus |rest of q| * |rest of candidate|; those whose upper bound is under the k-th best lower bound leave. Numbers that doubles
+    can't hold, for which such bounds would be rounded, are summed to the end.
     """
     at, part = keep, np.zeros(len(keep), cand.dtype)
     tail = np.sqrt(np.r_[np.cumsum((q.astype(np.float64) ** 2)[::-1])[::-1], 0.0])
-    whole = len(keep) == cand.shape[1]
+    whole, exact = len(keep) == cand.shape[1], cand.dtype.kind == "f"
     for b, lo in enumerate(range(0, len(q), step)):
         block = cand[lo:lo + step]
         part = part + q[lo:lo + step] @ (block if whole else block[:, at])
-        if len(at) > k and lo + step < len(q):
+        if exact and len(at) > k and lo + step < len(q):
             slack = tail[lo + step] * rest[b + 1][at] * (1 + 1e-6) + 1e-6
             value = part.astype(np.float64)
             floor = np.partition(value - slack, len(at) - k)[len(at) - k]
@@ -79,7 +91,7 @@ def search_cell(k: int, step: int):
                 for j in range(len(qid)):
                     own = np.flatnonzero(cid != qid[j])
                     at, score = best_of(qm[:, j], cm, rest, own, k, step)
-                    best = np.lexsort((cid[at], -score))[:k]
+                    best = ranked(score, cid[at], k)
                     out["query_id"].append(np.full(len(best), qid[j]))
                     out["query_row"].append(np.full(len(best), qrow[j]))
                     out["vec_id"].append(cid[at[best]])
@@ -98,7 +110,8 @@ def top_k_products(vectors: DataFrame, is_query: Column, id_col: str = "vec_id",
 
     Rows whose id is null, and vectors that are null or hold a null, NaN or infinite component, take no part. Only vectors of equal
     length are compared; empty vectors score 0 with each other. Rows that share the query's id count as the query itself; a repeated
-    query row is answered again, a repeated candidate row counts each time. Fewer than k candidates: all. Empty tables give none.
+    query row is answered again, a repeated candidate row counts each time. Fewer than k candidates: all. Empty tables give none. Components
+    of 2^63 or more after scaling, and scores among the k best that pass 64 bits, are an error, never a wrapped number.
     """
     rows = integer_vectors(vectors, id_col, vec_col, scale)
     asked = integer_vectors(vectors.where(is_query), id_col, vec_col, scale)

@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from beatframe.llm.conv import chunk_places, forward, gradients, softmax, start
+from beatframe.llm.conv import chunk_places, draw, forward, gradients, softmax, start
 from beatframe.llm.language_id import language, learn_languages
 from beatframe.llm.quality_classifier import learn_quality, quality_score
 from beatframe.llm.quality_rules import quality_rules
@@ -70,6 +70,22 @@ def test_learned_models(spark):
     assert docs.select(language(F.col("text"), params, names).alias("p")).where("p.lang_pred <> 'und'").count() == 0
 
 
+def test_sample_is_bounded_by_rows(spark):
+    """Every class keeps rows while there are at most ``most`` classes; the whole sample stays near ``most`` rows."""
+    rows = spark.range(30_000).select(F.when(F.col("id") < 10_000, F.lit("hot")).when(F.col("id") < 28_000, F.concat(F.lit("c"), F.col("id") % 1500)).alias("y"), "id")
+    drawn, counts = draw(rows, 500)
+    assert drawn.columns == ["y", "id"] and counts.count() == 1501
+    n = {r.y: r["count"] for r in drawn.groupBy("y").count().collect()}
+    assert len(n) == 1501 and None not in n and 500 < n["hot"] < 700 and all(n[f"c{k}"] == 12 for k in range(1500))
+    n = {r.y: r["count"] for r in draw(rows, 500, most=6_000)[0].groupBy("y").count().collect()}
+    assert len(n) == 1501 and 3_000 < sum(n.values()) < 6_600 and n["hot"] < 20
+    few = draw(rows, 500, most=300)[0]
+    assert 150 < few.select("y").distinct().count() < 450 and few.count() < 600
+    assert draw(rows.limit(0), 500)[0].count() == 0
+    one = draw(rows.where("y = 'hot'"), 500)[0].agg(F.count("id"), F.countDistinct("id")).first()
+    assert one[0] == one[1] == draw(rows, 500)[0].where("y = 'hot'").count()
+
+
 def base_brute(text):
     t = text or ""
     w = WORD.findall(t)

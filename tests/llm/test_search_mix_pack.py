@@ -24,7 +24,7 @@ def top_k_brute(rows, k, scale=64):
     return sorted(out)
 
 
-@pytest.mark.parametrize("spread", [1.0, 1e4, 1e9])
+@pytest.mark.parametrize("spread", [1.0, 1e4, 1e6])  # at 1e9 scores pass 64 bits, an error below
 def test_top_k(spark, spread):
     g = np.random.default_rng(1)
     rows = [(k, [float(x) for x in g.normal(size=20) * spread * g.choice([0.1, 1.0])]) for k in range(300)]
@@ -36,6 +36,17 @@ def test_top_k(spark, spread):
     assert top_k_products(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_scores_beyond_64_bits_are_an_error(spark):
+    """Products that fit are exact though sums on the way don't; those that don't fit raise, and so do wide components."""
+    def search(rows):
+        return top_k_products(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, k=2)
+    fits = [(20, [2.0 ** 29, 2.0 ** 29, 3.0]), (21, [2.0 ** 29, -(2.0 ** 29), 1.0]), (22, [2.0 ** 18, 2.0 ** 17, 2.0]), (23, [-(2.0 ** 18), 1.0, 2.0])]
+    assert sorted(tuple(r) for r in search(fits).collect()) == top_k_brute(fits, 2)
+    for x in (2.0 ** 29, 1e18):
+        with pytest.raises(Exception, match="64 bits"):
+            search([(20, [x, 1.0]), (21, [x, 2.0])]).collect()
+
+
 def test_closest_subset_matches_enumeration():
     r = random.Random(4)
     for _ in range(60):
