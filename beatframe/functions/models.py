@@ -9,8 +9,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import quality as q
-from .lets import let
-from .scalars import clamp, clamp_feature, clamp_feature_upper, col, dbp_of, join_reasons, sbp_of
+from .lets import settle
+from .scalars import clamp, clamp_note, col, dbp_of, join_reasons, sbp_of, was_clamped
 
 # Published coefficients (intercept first), feature supports and limits.
 M1_MAP = (98.17933671736458, 0.00517585270648243, -0.0011788672226907752, 0.04921591953183601, -0.12096408757505715)
@@ -138,55 +138,49 @@ def press_bp(hr, amp, sbp=PRESSURE_SBP, dbp=PRESSURE_DBP) -> Column:
     return F.struct(f(sbp).alias("sbp"), f(dbp).alias("dbp"))
 
 
-def _supported(label: str, value, bounds) -> Column:
+def _limited(value, bounds) -> Column:
+    """The value within its support, as ``clamp_feature`` and ``clamp_feature_upper`` limit it."""
     lo, hi = bounds
-    return clamp_feature_upper(label, value, hi) if lo is None else clamp_feature(label, value, lo, hi)
+    return F.least(col(value), F.lit(hi)) if lo is None else clamp(value, lo, hi)
 
 
-def bind(body, **named: Column) -> Column:
-    """Evaluate the named expressions once and hand them to ``body`` as struct fields."""
-    return let(F.struct(*[c.alias(n) for n, c in named.items()]), lambda r: body(**{n: r[n] for n in named}))
+def _clamp_stage(df: DataFrame, values: dict[str, Column], supports: dict, at: int = 0) -> DataFrame:
+    """Columns ``_u<i>`` (used value) and ``_n<i>`` (moved) per feature from ``at`` on, and the values as ``_v<i>``."""
+    of = list(enumerate(values.items(), at))
+    d = df.select("*", *[col(v).alias(f"_v{i}") for i, (_, v) in of])
+    d = d.select("*", *[_limited(f"_v{i}", supports[f]).alias(f"_u{i}") for i, (f, _) in of])
+    d = d.select("*", *[F.coalesce(was_clamped(f"_v{i}", f"_u{i}"), F.lit(False)).alias(f"_n{i}") for i, _ in of])
+    return settle(d, *[f"_u{i}" for i, _ in of], *[f"_n{i}" for i, _ in of])
 
 
-def _plain_terms(coefs: Sequence[float], used: Sequence[Column]) -> Column:
-    return F.array(F.lit(float(coefs[0])), *[F.lit(float(c)) * u for c, u in zip(coefs[1:], used)])
+def _notes(labels: Sequence[str]) -> Column:
+    """The joined clamp notes; texts are made only where this is read."""
+    return join_reasons(*[F.when(F.col(f"_n{i}"), clamp_note(f, f"_v{i}", f"_u{i}")) for i, f in enumerate(labels)])
 
 
-def _plain_total(terms: Column, n: int) -> Column:
-    out = F.get(terms, F.lit(0))
-    for i in range(1, n):
-        out = out + F.get(terms, F.lit(i))
-    return out
+def _too_many(n: int, most: int = 1) -> Column:
+    """``support_reason`` of the joined notes, from the number of moved features."""
+    moved = reduce(lambda x, y: x + y, [F.col(f"_n{i}").cast("int") for i in range(n)])
+    return F.when(moved > most, "feature_support_violation").otherwise(q.OK)
 
 
-def _support(clamped: list[Column], timing: Column, reject: bool, body) -> Column:
-    """Bind clamp results, then call ``body(used, joined, clamps_known, stop)``."""
-    def joined_up(timing, **cs):
-        return bind(lambda used, joined, timing: bind(
-            lambda used, joined, stop, known: body(used, joined, known, stop), used=used, joined=joined,
-            known=timing == q.OK,
-            stop=F.when(timing != q.OK, timing).otherwise(q.support_reason(joined) if reject else F.lit(q.OK))),
-            used=F.array(*[c["used"] for c in cs.values()]), joined=join_reasons(*[c["reason"] for c in cs.values()]),
-            timing=timing)
-    return bind(joined_up, timing=timing, **{f"c{i}": c for i, c in enumerate(clamped)})
+def _sum(terms: Sequence[Column]) -> Column:
+    return reduce(lambda x, y: x + y, terms)
 
 
 def predict(df: DataFrame, model: str | Model, features: dict[str, Column], out: str | None = None) -> DataFrame:
     """Add one struct with used features, terms, raw and final pressures, flags and the reject reason.
 
     Value fields are null where the model stops before computing them.  Each stage is a projection of plain
-    expressions, so the whole model stays inside generated code and nothing is computed twice.
+    expressions in generated code, and nothing is computed twice; ``settle`` keeps the methods short enough to be compiled.
     """
     m = MODELS[model] if isinstance(model, str) else model
     out = out or (model if isinstance(model, str) else "prediction")
     n, c = len(m.map_coefs), F.col
-    clamped = [_supported(f, features[f], m.supports[f]) for f in m.features]
     timing = q.relttp_reason(features["V2P_relTTP"], features["P2V_relTTP"]) if m.uses_timing else F.lit(q.OK)
-    d = df.select("*", *[x.alias(f"_c{i}") for i, x in enumerate(clamped)], timing.alias("_timing"))
-    d = d.select("*", *[c(f"_c{i}.used").alias(f"_u{i}") for i in range(n - 1)],
-                 join_reasons(*[c(f"_c{i}.reason") for i in range(n - 1)]).alias("_notes"))
-    support = q.support_reason("_notes") if m.reject_on_clamps else F.lit(q.OK)
-    d = d.withColumn("_stop", F.when(c("_timing") != q.OK, c("_timing")).otherwise(support))
+    d = _clamp_stage(df.withColumn("_timing", timing), {f: features[f] for f in m.features}, m.supports)
+    support = _too_many(n - 1) if m.reject_on_clamps else F.lit(q.OK)
+    d = d.withColumn("_stop", F.when(c("_timing") != q.OK, c("_timing")).otherwise(support)).withColumn("_notes", _notes(m.features))
     for axis, coefs in (("map", m.map_coefs), ("pp", m.pp_coefs)):
         d = d.select("*", F.lit(float(coefs[0])).alias(f"_{axis}0"),
                      *[(F.lit(float(k)) * c(f"_u{i}")).alias(f"_{axis}{i + 1}") for i, k in enumerate(coefs[1:])])
@@ -194,7 +188,7 @@ def predict(df: DataFrame, model: str | Model, features: dict[str, Column], out:
     d = d.withColumn("_d0", dbp_of("_map", "_pp")).withColumn("_s0", c("_d0") + c("_pp"))
     d = d.withColumn("_fin", constrain("_s0", "_d0", m.min_pp))
     checked = q.bp_reason("_fin.sbp", "_fin.dbp") if m.check_bp else F.lit(q.OK)
-    d = d.withColumn("_reason", F.when(c("_stop") != q.OK, c("_stop")).otherwise(checked))
+    d = settle(d.withColumn("_reason", F.when(c("_stop") != q.OK, c("_stop")).otherwise(checked)), "_stop", "_reason", "_fin")
     known, ran, notes = c("_timing") == q.OK, c("_stop") == q.OK, c("_notes") != ""
     value = lambda x, name: F.when(ran, x).alias(name)
     flag = lambda x, name: F.when(ran, x).otherwise(0).alias(name)
@@ -225,61 +219,48 @@ def linear_pressures(map_coefs, pp_coefs, features: Column) -> Column:
     return F.struct(sbp_of(m, p).alias("sbp"), dbp_of(m, p).alias("dbp"), m.alias("map"), p.alias("pp"))
 
 
-def variant(kind: str, amp, hr, v2p, p2v, e) -> Column:
-    """Comparison branches of the distortion model: 'e_only', 'e2', 'local_a'.
+def with_variant(df: DataFrame, kind: str, amp, hr, v2p, p2v, e, out: str | None = None) -> DataFrame:
+    """Add the struct of a comparison branch of the distortion model: 'e_only', 'e2', 'local_a'.
 
-    Values are 0 where a branch stops early, as in the exported tables.
+    Values are 0 where a branch stops early, as in the exported tables.  Stages are plain projections as in ``predict``.
     """
-    s = M2_SUPPORT
-    parts = [clamp_feature("A", amp, *s["A"]), clamp_feature("HR", hr, *s["HR"]),
-             clamp_feature("V2P_relTTP", v2p, *s["V2P_relTTP"]), clamp_feature("P2V_relTTP", p2v, *s["P2V_relTTP"]),
-             clamp_feature_upper("E", e, E_MAX)]
+    c, out = F.col, out or kind
+    timing = q.relttp_reason(v2p, p2v)
+    parts = {"A": amp, "HR": hr, "V2P_relTTP": v2p, "P2V_relTTP": p2v, "E": e}
+    d = _clamp_stage(df.withColumn("_timing", timing), parts, {**M2_SUPPORT, "E": (None, E_MAX)})
     if kind == "local_a":
-        root = F.sqrt(F.greatest(clamp(amp, *s["A"]), F.lit(0.0)))
-        parts.append(clamp_feature_upper("Stiffness", F.least(col(e), F.lit(E_MAX)) * root, STIFFNESS_MAX))
+        root = F.sqrt(F.greatest(c("_u0"), F.lit(0.0)))
+        d = _clamp_stage(d, {"Stiffness": c("_u4") * root}, {"Stiffness": (None, STIFFNESS_MAX)}, len(parts))
+        parts["Stiffness"] = None
     base_s, base_d = sbp_coefs(M1_MAP, M1_PP), dbp_coefs(M1_MAP, M1_PP)
     corr_s, corr_d = VARIANT_SBP[kind], VARIANT_DBP[kind]
-    joint = lambda b, c: (b[0] + c[0], *b[1:], *c[1:])
-    n = 5 + len(corr_s) - 1
-    blank = literals([0.0] * n)
-
-    def with_support(used, joined, known, stop):
-        u = [F.get(used, F.lit(i)) for i in range(len(parts))]
-        ee, stiff = u[4], u[5] if kind == "local_a" else F.lit(0.0)
-        extra = [stiff, ee] if kind == "local_a" else [ee, ee * ee][: len(corr_s) - 1]
-        low = lambda b: _plain_total(_plain_terms(b, u[:4]), 5)
-        add = lambda c: _plain_total(_plain_terms(c, extra), len(c))
-
-        def with_sides(sb, sc, db, dc):
-            return bind(lambda s0, d0: bind(lambda s1, d1, narrow: bind(
-                lambda s2, d2: result(sb, sc, db, dc, s1, d1, narrow, s2, d2),
-                s2=clamp(s1, *SBP_LIMITS), d2=clamp(d1, *DBP_LIMITS)),
-                s1=F.when(s0 < d0 + MIN_PP, d0 + MIN_PP).otherwise(s0), d1=d0, narrow=(s0 < d0 + MIN_PP).cast("int")),
-                s0=sb + sc, d0=db + dc)
-
-        def result(sb, sc, db, dc, s1, d1, narrow, s2, d2):
-            moved = ((F.abs(s2 - s1) > 1e-9) | (F.abs(d2 - d1) > 1e-9)).cast("int")
-
-            def fields(ran, reason):
-                z = lambda cond, x, name: F.when(cond, x).otherwise(F.lit(0.0)).alias(name)
-                zi = lambda cond, x, name: F.when(cond, x).otherwise(0).alias(name)
-                za = lambda x, name: F.when(ran, x).otherwise(blank).alias(name)
-                ok = reason == q.OK
-                return F.struct(
-                    z(ok, s2, "sbp"), z(ok, d2, "dbp"), z(ran, s2, "sbp_raw"), z(ran, d2, "dbp_raw"),
-                    z(ran, sb, "sbp_base"), z(ran, db, "dbp_base"), z(ran, sc, "sbp_correction"),
-                    z(ran, dc, "dbp_correction"), z(ran, s1, "sbp_constrained"), z(ran, d1, "dbp_constrained"),
-                    z(ran, u[0], "a_used"), z(ran, ee, "e_used"), z(ran, stiff, "stiffness_used"),
-                    zi(ran, narrow, "constraint_applied"), zi(ran, moved, "clamp_applied"),
-                    zi(known, (joined != "").cast("int"), "feature_clamp_applied"), ok.cast("int").alias("output_valid"),
-                    F.when(known & (joined != ""), joined).otherwise(q.OK).alias("feature_clamp_reason"),
-                    reason.alias("reject_reason"), za(literals(joint(base_s, corr_s)), "sbp_coefs"),
-                    za(literals(joint(base_d, corr_d)), "dbp_coefs"),
-                    za(_plain_terms(joint(base_s, corr_s), [*u[:4], *extra]), "sbp_terms"),
-                    za(_plain_terms(joint(base_d, corr_d), [*u[:4], *extra]), "dbp_terms"))
-
-            return bind(fields, ran=stop == q.OK, reason=F.when(stop == q.OK, q.bp_reason(s2, d2)).otherwise(stop))
-
-        return bind(with_sides, sb=low(base_s), sc=add(corr_s), db=low(base_d), dc=add(corr_d))
-
-    return _support(parts, q.relttp_reason(v2p, p2v), True, with_support)
+    joint = lambda b, k: (b[0] + k[0], *b[1:], *k[1:])
+    u, ee, stiff = [c(f"_u{i}") for i in range(4)], c("_u4"), c("_u5") if kind == "local_a" else F.lit(0.0)
+    extra = [stiff, ee] if kind == "local_a" else [ee, ee * ee][: len(corr_s) - 1]
+    terms = lambda k, x: [F.lit(float(k[0])), *[F.lit(float(a)) * v for a, v in zip(k[1:], x)]]
+    d = d.withColumn("_stop", F.when(c("_timing") != q.OK, c("_timing")).otherwise(_too_many(len(parts)))).withColumn("_notes", _notes(list(parts)))
+    d = d.select("*", _sum(terms(base_s, u)).alias("_sb"), _sum(terms(corr_s, extra)).alias("_sc"),
+                 _sum(terms(base_d, u)).alias("_db"), _sum(terms(corr_d, extra)).alias("_dc"))
+    d = d.select("*", (c("_sb") + c("_sc")).alias("_s0"), (c("_db") + c("_dc")).alias("_d1"))
+    d = d.select("*", (c("_s0") < c("_d1") + MIN_PP).alias("_narrow"))
+    d = d.select("*", F.when(c("_narrow"), c("_d1") + MIN_PP).otherwise(c("_s0")).alias("_s1"))
+    d = d.select("*", clamp("_s1", *SBP_LIMITS).alias("_s2"), clamp("_d1", *DBP_LIMITS).alias("_d2"))
+    d = settle(d.withColumn("_reason", F.when(c("_stop") == q.OK, q.bp_reason("_s2", "_d2")).otherwise(c("_stop"))), "_stop", "_reason", "_s2", "_d2")
+    ran, ok, known, notes = c("_stop") == q.OK, c("_reason") == q.OK, c("_timing") == q.OK, c("_notes") != ""
+    moved = ((F.abs(c("_s2") - c("_s1")) > 1e-9) | (F.abs(c("_d2") - c("_d1")) > 1e-9)).cast("int")
+    blank = literals([0.0] * (5 + len(corr_s) - 1))
+    z = lambda cond, x, name: F.when(cond, x).otherwise(F.lit(0.0)).alias(name)
+    zi = lambda cond, x, name: F.when(cond, x).otherwise(0).alias(name)
+    za = lambda x, name: F.when(ran, x).otherwise(blank).alias(name)
+    result = F.struct(
+        z(ok, c("_s2"), "sbp"), z(ok, c("_d2"), "dbp"), z(ran, c("_s2"), "sbp_raw"), z(ran, c("_d2"), "dbp_raw"),
+        z(ran, c("_sb"), "sbp_base"), z(ran, c("_db"), "dbp_base"), z(ran, c("_sc"), "sbp_correction"),
+        z(ran, c("_dc"), "dbp_correction"), z(ran, c("_s1"), "sbp_constrained"), z(ran, c("_d1"), "dbp_constrained"),
+        z(ran, u[0], "a_used"), z(ran, ee, "e_used"), z(ran, stiff, "stiffness_used"),
+        zi(ran, c("_narrow").cast("int"), "constraint_applied"), zi(ran, moved, "clamp_applied"),
+        zi(known, notes.cast("int"), "feature_clamp_applied"), ok.cast("int").alias("output_valid"),
+        F.when(known & notes, c("_notes")).otherwise(q.OK).alias("feature_clamp_reason"),
+        c("_reason").alias("reject_reason"), za(literals(joint(base_s, corr_s)), "sbp_coefs"),
+        za(literals(joint(base_d, corr_d)), "dbp_coefs"), za(F.array(*terms(joint(base_s, corr_s), [*u, *extra])), "sbp_terms"),
+        za(F.array(*terms(joint(base_d, corr_d), [*u, *extra])), "dbp_terms"))
+    return d.select(*[x for x in df.columns if x != out], result.alias(out))

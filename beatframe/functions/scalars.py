@@ -81,9 +81,16 @@ def sbp_of(mean_p, pulse_p) -> Column:
     return dbp_of(mean_p, pulse_p) + col(pulse_p)
 
 
+def was_clamped(before, after) -> Column:
+    return F.abs(col(after) - col(before)) > 1e-9
+
+
+def clamp_note(label: str, before, after) -> Column:
+    return F.format_string(f"{label}:%.4f->%.4f", col(before), col(after))
+
+
 def _clamped(label: str, before: Column, after: Column) -> Column:
-    note = F.format_string(f"{label}:%.4f->%.4f", before, after)
-    return F.struct(after.alias("used"), F.when(F.abs(after - before) > 1e-9, note).alias("reason"))
+    return F.struct(after.alias("used"), F.when(was_clamped(before, after), clamp_note(label, before, after)).alias("reason"))
 
 
 def clamp_feature(label: str, v, lo, hi) -> Column:

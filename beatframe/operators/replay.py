@@ -64,11 +64,11 @@ def postprocess_variants(beats: DataFrame, kinds: Sequence[str] = ("e_only", "e2
     return postprocess(rows, "M2", (KEY, "variant"))
 
 
-def feature_row(beats: DataFrame, columns: Sequence[str]) -> DataFrame:
+def feature_row(beats: DataFrame, columns: Sequence[str], methods: Sequence[str] = METHODS) -> DataFrame:
     """Named features of a beat as one map (missing and non-finite become 0) plus status per method."""
     pairs = [x for c in columns for x in (F.lit(c), finite_or(F.col(c).cast("double")))]
     status = [F.struct(F.lit(m).alias("method"), F.col(f"{m}_output_valid").alias("output_valid"),
-                       normalize_reason(F.col(f"{m}_reject_reason")).alias("reject_reason")) for m in METHODS]
+                       normalize_reason(F.col(f"{m}_reject_reason")).alias("reject_reason")) for m in methods]
     return beats.select(KEY, "beat_index", F.create_map(*pairs).alias("features"), F.explode(F.array(*status)).alias("s")
                         ).select(KEY, "beat_index", "features", "s.*")
 

@@ -113,7 +113,7 @@ def with_variants(rows: DataFrame) -> DataFrame:
     local = z(r["stats"]["range"])
     for kind in ("e_only", "e2", "local_a"):
         amp = local if kind == "local_a" else z(r["v2p_amp"])
-        d = d.withColumn(kind, m.variant(kind, amp, z(r["hr"]), z(r["v2p_rel"]), z(r["p2v_rel"]), z(r["e"])))
+        d = m.with_variant(d, kind, amp, z(r["hr"]), z(r["v2p_rel"]), z(r["p2v_rel"]), z(r["e"]))
     return d
 
 

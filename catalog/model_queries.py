@@ -96,7 +96,7 @@ VARG = ("A", "HR", "V2P", "P2V", "E")
 for _kind, _name in (("e_only", "m5_variant_e"), ("e2", "m6_variant_e2"), ("local_a", "m7_variant_local")):
     @query(_name, variant_sql(_kind, f"WITH {BF0}") + f" SELECT {ROWS}, reason AS reject_reason, {_VSEL} FROM v5")
     def variant(spark, sf, kind=_kind):
-        d = feature_rows(spark, sf, indexed=False).withColumn("v", m.variant(kind, *[C(a) for a in VARG]))
+        d = m.with_variant(feature_rows(spark, sf, indexed=False), kind, *[C(a) for a in VARG], out="v")
         return d.select(*ROW, "v.reject_reason", *[r6(f"v.{c}").alias(c) for c in VAR_COLS])
 
 
@@ -162,7 +162,9 @@ def _all_variants():
 @query("r2_postprocess_variants", f"WITH RECURSIVE {BF}, {_all_variants()}, src AS MATERIALIZED ({_union}), " + post_sql("src", ["session_id", "variant"]))
 def post_variants(spark, sf):
     d = feature_rows(spark, sf)
-    d = d.select("session_id", "beat_index", *[m.variant(k, *[C(a) for a in VARG]).alias(k) for k in ("e_only", "e2", "local_a")])
+    for k in ("e_only", "e2", "local_a"):
+        # the fields that the replay reads, before the next branch: nothing else is computed or carried on
+        d = m.with_variant(d, k, *[C(a) for a in VARG]).withColumn(k, F.struct(*[C(k)[f].alias(f) for f in ("sbp", "dbp", "output_valid", "reject_reason")]))
     out = rp.postprocess_variants(d)
     return r5(out.select("session_id", "variant", "beat_index", *POST_SEL, "postprocess_applied"), *POST_SEL)
 
@@ -179,16 +181,15 @@ FEATURE_COLS = ["M1_A_used", "M1_HR_used", "M1_V2P_relTTP_used", "M1_P2V_relTTP_
                 "M2_P2V_relTTP_used", "M2_E_used", "M3_A_used", "M3_HR_used", "M3_Mean_used", "M3_sinPhi_used", "M3_cosPhi_used"]
 
 
-def replay_rows(spark, sf):
+def replay_rows(spark, sf, methods=rp.METHODS):
+    """Rows of ``methods`` with the used features of these methods."""
     d = feature_rows(spark, sf)
-    for k in ("M1", "M2", "M3"):
+    for k in methods:
+        # flat before the next model: terms and notes that no one reads are not computed
         d = m.predict(d, k, feats())
-    cols = []
-    for k in ("M1", "M2", "M3"):
-        for i, n in enumerate(m.MODELS[k].features):
-            cols.append(F.get(C(k)["used"], F.lit(i)).alias(f"{k}_{n}_used"))
-        cols += [C(k)["output_valid"].alias(f"{k}_output_valid"), C(k)["reject_reason"].alias(f"{k}_reject_reason")]
-    return rp.feature_row(d.select("session_id", "beat_index", *cols), FEATURE_COLS)
+        used = [F.get(C(k)["used"], F.lit(i)).alias(f"{k}_{n}_used") for i, n in enumerate(m.MODELS[k].features)]
+        d = d.select(*[c for c in d.columns if c != k], *used, C(k)["output_valid"].alias(f"{k}_output_valid"), C(k)["reject_reason"].alias(f"{k}_reject_reason"))
+    return rp.feature_row(d, [c for c in FEATURE_COLS if c[:2] in methods], methods)
 
 
 # a small coefficient set for the shape that has no published values: two columns in each layout
@@ -224,7 +225,7 @@ SELECT session_id, beat_index, n, round(mraw, 5) AS baseline_map_raw, round(mr,
 for _series, _model, _name in (("INITIAL_BASELINE", "M1", "r3_adaptive_initial"), ("RICH_BASELINE", "M3", "r3_adaptive_rich")):
     @query(_name, _adaptive_sql(_series, _model))
     def adaptive(spark, sf, series=_series, model=_model):
-        rows = replay_rows(spark, sf).where(C("method") == model)
+        rows = replay_rows(spark, sf, (model,))
         coef = coefficient_fixture(spark).where((C("series") == series) & (C("method") == model))
         d = rp.adaptive_baseline(rows, coef)
         cols = ["baseline_map_raw", "map_raw", "pp_raw", "map", "pp"]
@@ -241,7 +242,7 @@ def rich_dynamic(spark, sf):
 
 @query("r6_empty_policy", score_sql("M1", "", f"WITH {BF}") + """ SELECT session_id, beat_index, s2.s AS series, 0 AS output_valid, 'missing' AS reject_reason, 0.0 AS map FROM sc, (SELECT unnest(['INITIAL_BASELINE', 'RICH_BASELINE', 'SHARED_D_BASELINE', 'RICH_DYNAMIC']) AS s) s2""")
 def empty(spark, sf):
-    return rp.replay(replay_rows(spark, sf).where(C("method") == "M1"), None).select("session_id", "beat_index", "series", "output_valid", "reject_reason", "map")
+    return rp.replay(replay_rows(spark, sf, ("M1",)), None).select("session_id", "beat_index", "series", "output_valid", "reject_reason", "map")
 
 
 @query("r7_r8_wide_replay")
