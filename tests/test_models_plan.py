@@ -35,3 +35,24 @@ def test_variant_makes_no_clamp_notes(spark):
 def test_rows_of_one_method(spark):
     d = spark.createDataFrame([("s", 1, 2.0, 1, "ok")], "session_id string, beat_index long, M1_A_used double, M1_output_valid int, M1_reject_reason string")
     assert [tuple(r) for r in rp.feature_row(d, ["M1_A_used"], ("M1",)).collect()] == [("s", 1, {"M1_A_used": 2.0}, "M1", 1, "ok")]
+
+
+def test_adaptive_baseline_stores_what_is_kept(spark, monkeypatch):
+    from catalog.model_queries import coefficient_fixture
+
+    stored, cut = [], rp.cut
+    monkeypatch.setattr(rp, "cut", lambda d: stored.append(d.columns) or cut(d))
+    names = ["M1_A_used", "M1_HR_used", "M1_V2P_relTTP_used", "M1_P2V_relTTP_used"]
+    d = spark.range(1, 41).select(F.lit("s").alias("session_id"), F.col("id").alias("beat_index"), *[(F.col("id") % 7 + i).cast("double").alias(c) for i, c in enumerate(names)],
+                                  F.lit(1).alias("M1_output_valid"), F.when(F.col("id") % 5 == 0, "poor").otherwise("ok").alias("M1_reject_reason"))
+    rows = rp.feature_row(d, names, ("M1",))
+    coef = coefficient_fixture(spark).where("method = 'M1'")
+    small = {tuple(r) for r in rp.adaptive_baseline(rows, coef, ["n"]).select("series", "beat_index", "n", "map_raw", "map", "pp").collect()}
+    assert "features" not in stored[-1] and "delta_map_terms" not in stored[-1]
+    whole = rp.adaptive_baseline(rows, coef)
+    assert {tuple(r) for r in whole.select("series", "beat_index", "n", "map_raw", "map", "pp").collect()} == small and len(small) == 96
+    rich = whole.where("series = 'RICH_BASELINE'")
+    models = rp.default_models()
+    a = rp.rich_dynamic(rich, models).select("beat_index", "map", "pp", "dynamic_map").collect()
+    b = rp.rich_dynamic(rp.adaptive_baseline(rp.dynamic_values(rows, models), coef.where("series = 'RICH_BASELINE'"), ["_dm", "_dp"]), models)
+    assert sorted(map(tuple, a)) == sorted(map(tuple, b.select("beat_index", "map", "pp", "dynamic_map").collect()))
