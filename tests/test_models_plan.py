@@ -56,3 +56,11 @@ def test_adaptive_baseline_stores_what_is_kept(spark, monkeypatch):
     a = rp.rich_dynamic(rich, models).select("beat_index", "map", "pp", "dynamic_map").collect()
     b = rp.rich_dynamic(rp.adaptive_baseline(rp.dynamic_values(rows, models), coef.where("series = 'RICH_BASELINE'"), ["_dm", "_dp"]), models)
     assert sorted(map(tuple, a)) == sorted(map(tuple, b.select("beat_index", "map", "pp", "dynamic_map").collect()))
+
+
+def test_zone_points_are_constants(spark):
+    from beatframe.functions.scalars import in_zone_area
+
+    d = spark.createDataFrame([(640.0, 0.0), (640.0, 1000.0), (0.0, 0.0)], "area double, cx double")
+    z = d.select(in_zone_area("area", "cx", F.lit(0.0), F.lit(2.0), F.lit(2.0), F.lit(0.0), F.lit(0.0), F.lit(9.0), F.lit(9.0)).alias("z"))
+    assert "COS(" not in _plan(z).upper() and [r.z for r in z.collect()] == [320.0, 0.0, 0.0]
