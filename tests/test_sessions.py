@@ -92,3 +92,77 @@ def test_tables_are_committed_once(spark, wave, tmp_path, monkeypatch):
     due = [n for e, n in sorted(per_batch.items()) if n // 8 > max([m for k, m in per_batch.items() if k < e], default=0) // 8]
     assert due and [r["beat_index"] for r in snap] == list(range(1, due[-1] + 1))
     assert [r["M1_reject_reason"] for r in snap] == [r["M1_reject_reason"] for r in whole[:due[-1]]]
+
+
+class FakeState:
+    """State of one key that counts its calls."""
+
+    def __init__(self):
+        self.at, self.calls = {}, 0
+
+    def __getattr__(self, name):
+        def call(*args):
+            self.calls += 1
+            return {"get": lambda: self.at.get(()), "update": lambda v: self.at.update({(): v}), "clear": lambda: self.at.clear(), "keys": lambda: iter(list(self.at)),
+                    "getValue": lambda k: self.at.get(k), "updateValue": lambda k, v: self.at.update({k: v}), "removeKey": lambda k: self.at.pop(k)}[name](*args)
+        return call
+
+
+class FakeHandle:
+    def __init__(self):
+        self.states, self.timers = [], set()
+        self.registerTimer, self.deleteTimer = self.timers.add, self.timers.discard
+
+    def getValueState(self, *_):
+        self.states.append(FakeState())
+        return self.states[-1]
+
+    def getMapState(self, *_):
+        return self.getValueState()
+
+
+class Mark:
+    def __init__(self, ms):
+        self.getCurrentWatermarkInMs = lambda: ms
+
+
+def fed(span_s, order, marks):
+    """Rows of frames that lie an hour apart, fed in three batches, and the calls of the state store."""
+    import numpy as np
+    import pandas as pd
+
+    n, hour = 360, 3_600_000_000
+    i = np.arange(n)
+    frames = pd.DataFrame({"at_us": i * hour, "tie_rank": 0, "at_ms": -1, "green_raw": 5 + 4 * np.cos(2 * np.pi * i / 30), "iso_now": 600})
+    step, handle = sessions.SessionProcessor(10**15, False, "session_id", span_s * 1_000_000), FakeHandle()
+    step.init(handle)
+    out = []
+    for part, mark in zip(np.array_split(np.array(order(i)), len(marks)), marks):
+        out += step.handleInputRows(("a",), iter([frames.iloc[part]]), Mark(mark))
+    out += step.handleExpiredTimer(("a",), Mark(n * 3_600_000 + 10**12 + 1), None)
+    rows = [tuple(r) for d in out for r in d[["kind", "frame_idx", "ibi_ms", "smoothed_ibi_ms", "n_frames"]].astype(object).where(lambda x: x.notna(), None).values]
+    assert not any(s.at for s in handle.states) or handle.timers
+    return rows, sum(s.calls for s in handle.states)
+
+
+def test_sparse_frames_cost_few_state_calls():
+    """A frame an hour is kept by spans of the watermark's delay, not one by one; the rows are those of a second a span."""
+    hour = 3_600_000
+    marks = [0, 100 * hour + 1, 220 * hour + 1]  # inside a span
+    want, many = fed(1, lambda i: i, marks)
+    got, few = fed(15 * 3600, lambda i: i, marks)
+    assert got == want and len(got) == 3 and got[-1][0] == "end" and got[-1][4] == 360
+    assert few < 150 < many
+
+
+def test_state_step_needs_no_package():
+    """What the workers get holds no reference to a module of the package."""
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    data = cloudpickle.dumps(sessions.SessionProcessor(1, False, "session_id"))
+    code = "import sys; from pyspark import cloudpickle; p = cloudpickle.loads(sys.stdin.buffer.read()); print(p.span_us, 'beatframe' in sys.modules)"
+    out = subprocess.run([sys.executable, "-c", code], input=data, capture_output=True, cwd="/")
+    assert out.stdout.split() == [b"1000000", b"False"], out.stderr
