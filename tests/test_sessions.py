@@ -166,3 +166,14 @@ def test_state_step_needs_no_package():
     code = "import sys; from pyspark import cloudpickle; p = cloudpickle.loads(sys.stdin.buffer.read()); print(p.span_us, 'beatframe' in sys.modules)"
     out = subprocess.run([sys.executable, "-c", code], input=data, capture_output=True, cwd="/")
     assert out.stdout.split() == [b"1000000", b"False"], out.stderr
+
+
+def test_only_asked_methods_are_scored(spark):
+    """Tables that hold one method plan and score that one, with the rows of the whole plan."""
+    from beatframe.streaming import commits
+
+    rows = spark.createDataFrame([], f"session_id string, {sessions.OUT}")
+    whole, one = commits.scored_for(("training",), rows), commits.scored_for(("ibi", "method_M1"), rows)
+    assert {"M1", "M2", "M3", "e2"} <= set(whole.columns) and "M2" not in one.columns and one.schema["M1"].dataType == whole.schema["M1"].dataType
+    text = one._jdf.queryExecution().analyzed().toString()
+    assert "d_in" not in text.split("LogicalRDD")[0].split("LocalRelation")[0] and len(text) < len(whole._jdf.queryExecution().analyzed().toString()) / 4
