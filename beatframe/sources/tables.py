@@ -52,20 +52,29 @@ def _read(spark: SparkSession, path: str, fmt, kind: str) -> DataFrame:
     return d.withColumn(KEY, F.when(folder != "", folder).otherwise(F.regexp_extract(file, rf"([^/]+)_{kind}\.csv$", 1)))
 
 
+#: Each task moves the files it wrote when it ends, instead of the driver one after another at the end of the job.
+TASKS_MOVE = {"mapreduce.fileoutputcommitter.algorithm.version": "2"}
+
+
+def file_tasks(spark: SparkSession) -> int:
+    """Tasks to write many small files with: a fixed number, as partitions merged by their size would leave all files to one task."""
+    return max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def _write(df: DataFrame, path: str, fmt, header, order: str, mirror: str | None) -> None:
     """One folder per session; the file separator is a comma and a space.
 
     With ``mirror`` the formatted rows are stored once and written twice.
     """
-    text = formatted(df, fmt, header)
+    spark, text = df.sparkSession, formatted(df, fmt, header)
     cols = [c for c in text.columns if c != KEY]
     padded = text.select(KEY, cols[0], *[F.concat(F.lit(" "), F.col(c)).alias(f" {c}") for c in cols[1:]])
     padded = padded.withColumn("_o", F.col(cols[0]).cast("double"))
-    padded = padded.repartitionByRange(KEY, "_o").sortWithinPartitions(KEY, "_o").drop("_o")
+    padded = padded.repartitionByRange(file_tasks(spark), KEY, "_o").sortWithinPartitions(KEY, "_o").drop("_o")
     if mirror:
         padded = cut(padded)
     for target in filter(None, (path, mirror)):
-        padded.write.mode("overwrite").partitionBy(KEY).option("header", True).option(
+        padded.write.mode("overwrite").partitionBy(KEY).options(**TASKS_MOVE).option("header", True).option(
             "ignoreLeadingWhiteSpace", False).option("quoteAll", False).csv(target)
 
 

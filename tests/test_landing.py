@@ -3,6 +3,7 @@
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from beatframe.streaming import landing
 
@@ -42,3 +43,16 @@ def test_files_land_in_three_steps(spark, tmp_path, monkeypatch):
     assert run(spark, folder, path) == both
     rows = landing.read_ledger(spark, str(path))
     assert rows.count() == 3
+
+
+def test_files_of_many_sessions_are_written_by_many_tasks(spark, tmp_path):
+    """Small rows aren't merged into one task that writes the files of all sessions one after another."""
+    import re
+
+    from beatframe.sources import tables as t
+
+    frames = spark.range(0, 120, 1, 4).select((F.col("id") % 40).alias("session_id"), F.col("id").alias("elapsed_s"), F.lit(1.0).alias("green"))
+    t.write_frames(frames, str(tmp_path / "out"))
+    tasks = {re.match(r"part-(\d+)", p.name).group(1) for p in (tmp_path / "out").rglob("part-*.csv")}
+    assert len(tasks) > 8
+    assert t.read_frames(spark, str(tmp_path / "out")).count() == 120
