@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.quality import imu_rate_warning
 from ..functions.scalars import canonical_rotation, col, decode_pattern, tempo_speed
-from .chunks import IDX, KEY, Halo, attach, carry, dense_index, ewma, let, running_sum
+from .chunks import IDX, KEY, Halo, attach, carry, dense_index, ewma, floor_div, let, running_sum
 
 SECOND_NS = 1_000_000_000
 CLOCK_CHUNK_NS = 60 * SECOND_NS
@@ -87,11 +87,33 @@ def sampling_rate(imu: DataFrame, span_ns: int = SECOND_NS, t: str = "t_ns", out
 
 
 def rolling_sd(imu: DataFrame, cols: Sequence[str], span_ns: int = SECOND_NS, t: str = "t_ns") -> DataFrame:
-    """Population SD of each column over the trailing span."""
+    """Population SD of each column over the trailing span.
+
+    The clock is cut into blocks of one span, so the rows inside are the end of the block before and the start of the row's own. Counts,
+    means and variances of all ends and starts are running ones, and a copy of every row carries the end it opens to where it leaves the
+    span, so the cost of a row does not grow with the rate. Variances are put together around their means; no large sums are subtracted.
+    """
     h = Halo(imu, back=span_ns, idx=t, chunk=CLOCK_CHUNK_NS)
-    w = h.window.rangeBetween(-span_ns, 0)
-    d = h.spread(imu).select("*", *[F.stddev_pop(F.col(c).cast("double")).over(w).alias(f"{c}_sd") for c in cols])
-    return h.trim(d)
+    parts = [*h.keys, "_chunk", "_block"]
+    start = Window.partitionBy(*parts).orderBy(t).rangeBetween(Window.unboundedPreceding, Window.currentRow)  # rows of the same time together
+    end = Window.partitionBy(*parts).orderBy(F.col(t).desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+
+    def stats(w) -> Column:
+        x = [F.col(c).cast("double") for c in cols]
+        return F.struct(*[F.struct(F.count(v).over(w).alias("n"), F.avg(v).over(w).alias("m"), F.var_pop(v).over(w).alias("v")).alias(f"c{i}") for i, v in enumerate(x)])
+
+    def sd(i: int) -> Column:
+        a, b = F.col("_before")[f"c{i}"], F.col("_start")[f"c{i}"]
+        n, k = F.coalesce(a["n"], F.lit(0)), b["n"]
+        both = (a["v"] * n + b["v"] * k + (b["m"] - a["m"]) * (b["m"] - a["m"]) * n * k / (n + k)) / (n + k)
+        return F.sqrt(F.when(n == 0, b["v"]).when(k == 0, a["v"]).otherwise(both))
+    d = h.spread(imu).repartition(*h.keys, "_chunk").withColumn("_block", floor_div(F.col(t), span_ns))  # blocks stay in the task of their chunk
+    d = d.select("*", stats(start).alias("_start"), stats(end).alias("_end"))
+    d = d.withColumn("_leaves", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("_at", F.col(t) + F.col("_leaves") * span_ns).withColumn("_block", F.col("_block") + F.col("_leaves"))
+    back = Window.partitionBy(*parts).orderBy(F.col("_at").desc(), F.col("_leaves").desc())
+    d = d.withColumn("_before", F.last(F.when(F.col("_leaves") == 1, F.col("_end")), ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0)))
+    d = d.where("_leaves = 0").select("*", *[sd(i).alias(f"{c}_sd") for i, c in enumerate(cols)])
+    return h.trim(d).drop("_block", "_start", "_end", "_leaves", "_at", "_before")
 
 
 def instant_fps(frames: DataFrame, t: str = "t_ms", out: str = "fps") -> DataFrame:

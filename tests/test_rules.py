@@ -322,3 +322,26 @@ def test_resonance_on_a_fine_grid(spark):
     power = [abs(((m - m.mean()) * np.exp(-2j * np.pi * f * x * 0.0025)).sum()) ** 2 / (n - 1) ** 2 for f in grid]
     r = got.first()
     assert (r.n, r.resonance_hz) == (n - 1, grid[int(np.argmax(power))]) and r.power == pytest.approx(max(power), rel=1e-6)
+
+
+def test_rolling_sd_does_not_look_at_every_row_of_the_span_again(spark):
+    """No moving frame, one shuffle, and the values of the plain definition with ties, gaps, nulls and large levels."""
+    import numpy as np
+
+    from beatframe.operators.rolling import rolling_sd
+
+    rng = np.random.default_rng(5)
+    t_ns = np.sort(rng.integers(0, 130_000, 900)) * 1_000_000
+    t_ns[10:14] = t_ns[10]
+    t_ns[400:] += 7_000_000_000
+    x = [None if i % 17 == 3 else float(v) for i, v in enumerate(1e6 + rng.normal(0, 0.5, 900))]
+    d = spark.createDataFrame([("a", i, int(t), v) for i, (t, v) in enumerate(zip(t_ns, x))], "session_id string, frame_idx long, t_ns long, x double").union(
+        spark.createDataFrame([("b", 0, 5, 1.0), ("b", 1, 1_000_000_005, 3.0), ("b", 2, 2_000_000_006, 9.0)], "session_id string, frame_idx long, t_ns long, x double"))
+    out = rolling_sd(d, ["x"])
+    got = {(r.session_id, r.frame_idx): r.x_sd for r in out.collect()}
+    assert [got["b", i] for i in range(3)] == [0.0, 1.0, 0.0] and len(got) == 903
+    for i, at in enumerate(t_ns):
+        inside = [v for s, v in zip(t_ns, x) if at - 1_000_000_000 <= s <= at and v is not None]
+        assert got["a", i] is None if not inside else abs(got["a", i] - np.std(inside)) < 1e-6
+    plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "-1000000000" not in plan and plan.count("Exchange hashpartitioning") == 1
