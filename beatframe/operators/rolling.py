@@ -68,22 +68,21 @@ def sampling_rate(imu: DataFrame, span_ns: int = SECOND_NS, t: str = "t_ns", out
     """Samples per second over the trailing span; 0 with fewer than two samples.
 
     A copy of every sample stands where it leaves the span.  Along both, the number inside is a running count, and the oldest one inside is
-    the next copy to come, so the cost of a row does not grow with the rate.
+    the next copy to come, so the cost of a row does not grow with the rate.  All of it is read in one order, so a task sorts its rows once.
     """
     h = Halo(imu, back=span_ns, idx=t, chunk=CLOCK_CHUNK_NS)
-    d = h.spread(imu).withColumn("_at", F.col(t)).withColumn("_leaves", F.lit(0))
-    leave = d.select(*h.keys, "_chunk", (F.col(t) + span_ns).alias("_at"), F.lit(1).alias("_leaves"))
-    both = d.unionByName(leave, allowMissingColumns=True)
-    w = Window.partitionBy(*h.keys, "_chunk").orderBy("_at", F.col("_leaves"))
-    back = Window.partitionBy(*h.keys, "_chunk").orderBy(F.col("_at").desc(), F.col("_leaves").desc())
+    both = h.spread(imu).withColumn("_leaves", F.explode(F.array(F.lit(0), F.lit(1))))
+    both = both.withColumn("_at", F.col(t) + F.col("_leaves") * span_ns).withColumn("_old", F.when(F.col("_leaves") == 1, F.col(t)))
+    w = Window.partitionBy(*h.keys, "_chunk").orderBy("_at", "_leaves")
     upto = w.rangeBetween(Window.unboundedPreceding, Window.currentRow)  # rows of the same time together
+    ahead = F.expr(f"lead(_old, 1) IGNORE NULLS OVER (PARTITION BY {', '.join(f'`{k}`' for k in h.keys)}, _chunk ORDER BY _at, _leaves)")
     both = both.select("*", F.sum(F.lit(1) - F.col("_leaves")).over(upto).alias("_in"),
                        F.coalesce(F.sum("_leaves").over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)).alias("_left"),
-                       F.last(F.when(F.col("_leaves") == 1, F.col("_at") - span_ns), ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0)).alias("_first"))
+                       ahead.alias("_first"))
     d = both.where("_leaves = 0").withColumn("_n", F.col("_in") - F.col("_left"))
     span = (F.col(t) - F.col("_first")) / 1e9
     rate = F.when((F.col("_n") >= 2) & (span > 0), (F.col("_n") - 1) / span).otherwise(0.0)
-    return h.trim(d.withColumn(out, rate)).drop("_n", "_first", "_in", "_left", "_at", "_leaves")
+    return h.trim(d.withColumn(out, rate)).drop("_n", "_first", "_in", "_left", "_at", "_leaves", "_old")
 
 
 def rolling_sd(imu: DataFrame, cols: Sequence[str], span_ns: int = SECOND_NS, t: str = "t_ns") -> DataFrame:
