@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions import quality as q, waves
 from ..functions.scalars import java_round, wrap01
-from .chunks import IDX, KEY, Halo, Lift, fold, let, move
+from .chunks import IDX, KEY, Halo, Lift, floor_div, fold, let, move
 from .conditioning import strict_peaks
 from .joins import interval_join
 
@@ -201,21 +201,24 @@ def curve_on_frames(frames: DataFrame, fits: DataFrame, offset: float = 0.25) ->
 def fitted_wave(frames: DataFrame, fits: DataFrame, offset: float = 0.25, value: str = "green") -> DataFrame:
     """Every frame with the ideal curve scaled onto the observed range of its beat (0 outside fitted beats).
 
-    A frame on the edge of two beats takes the later one.
+    A frame on the edge of two beats takes the later one.  The ranges of a beat are summed up before they are shuffled, and come back with the
+    fits of a 10 s bucket in one row, so no frame is sorted by beat or copied.  Frames are read twice.
     """
+    span = [KEY, "start_t", "end_t"]
+    fits = fits.select(*span, "mean", "amp", "systole", "diastole")
     on = curve_on_frames(frames, fits, offset)
-    w = Window.partitionBy(KEY, "start_t", "end_t")  # one beat, at most a few dozen frames
-    lo, hi = F.min(value).over(w), F.max(value).over(w)
-    ilo, ihi = F.min("ideal").over(w), F.max("ideal").over(w)
-    d = on.select("*", lo.alias("_lo"), hi.alias("_hi"), ilo.alias("_ilo"), ihi.alias("_ihi"))
-    scaled = F.col("_lo") + (F.col("ideal") - F.col("_ilo")) * (F.col("_hi") - F.col("_lo")) / (
-        F.col("_ihi") - F.col("_ilo"))
-    d = d.withColumn("_wave", F.when((F.col("_hi") > F.col("_lo")) & (F.col("_ihi") > F.col("_ilo")), scaled)
-                     .otherwise(F.col("ideal")))
-    last = d.groupBy(KEY, IDX).agg(F.max_by(F.struct(
-        F.col("_wave").alias("sin_wave"), F.col("amp").alias("sin_amplitude"), F.col("mean").alias("sin_mean"),
-        (F.col("end_t") - F.col("start_t")).cast("double").alias("sin_ibi_ms")), "end_t").alias("_w"))
-    names = ["sin_wave", "sin_amplitude", "sin_mean", "sin_ibi_ms"]
-    return frames.join(last, [KEY, IDX], "left").select(
-        *frames.columns, *[F.coalesce(F.col("_w")[n], F.lit(0.0)).alias(n) for n in names])
-
+    ranges = on.groupBy(*span).agg(F.min(value).alias("lo"), F.max(value).alias("hi"), F.min("ideal").alias("ilo"), F.max("ideal").alias("ihi"))
+    known = fits.join(ranges, span)
+    size = 10_000
+    bucket = F.explode(F.sequence(floor_div(F.col("start_t"), size), floor_div(F.col("end_t"), size)))
+    item = F.struct("end_t", "start_t", "mean", "amp", "systole", "diastole", "lo", "hi", "ilo", "ihi")
+    near = known.withColumn("_bucket", bucket).groupBy(KEY, "_bucket").agg(F.sort_array(F.collect_list(item), asc=False).alias("_fits"))
+    d = frames.withColumn("_bucket", floor_div(F.col("t_ms"), size)).join(near, [KEY, "_bucket"], "left")
+    d = d.withColumn("_f", F.get(F.filter("_fits", lambda f: F.col("t_ms").between(f["start_t"], f["end_t"])), F.lit(0)))
+    f = F.col("_f")
+    length = (f["end_t"] - f["start_t"]).cast("double")
+    ideal = waves.ideal_curve(wrap01((F.col("t_ms") - f["start_t"]) / length + offset), f["mean"], f["amp"], f["systole"], f["diastole"])
+    scaled = f["lo"] + (ideal - f["ilo"]) * (f["hi"] - f["lo"]) / (f["ihi"] - f["ilo"])
+    out = {"sin_wave": F.when((f["hi"] > f["lo"]) & (f["ihi"] > f["ilo"]), scaled).otherwise(ideal), "sin_amplitude": f["amp"],
+           "sin_mean": f["mean"], "sin_ibi_ms": length}
+    return d.select(*frames.columns, *[F.coalesce(c, F.lit(0.0)).alias(n) for n, c in out.items()])

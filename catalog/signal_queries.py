@@ -481,7 +481,7 @@ o3 AS (SELECT *, min(g) OVER q AS gl, max(g) OVER q AS gh, min(ideal) OVER q AS
 o4 AS (SELECT session_id, frame_idx, arg_max(CASE WHEN gh > gl AND ih > il THEN gl + (ideal - il) * (gh - gl) / (ih - il) ELSE ideal END, beat_index) AS wv, arg_max(amp, beat_index) AS am FROM o3 GROUP BY 1, 2)
 SELECT li.session_id, li.frame_idx, round(coalesce(wv, 0), 6) AS sin_wave, coalesce(am, 0) AS sin_amplitude FROM li LEFT JOIN o4 USING (session_id, frame_idx)""")
 def fitted(spark, sf):
-    f = line_frames(spark, sf)
+    f = cut(line_frames(spark, sf))
     fits = _windows(f).select("session_id", "start_t", "end_t", F.lit(5.0).alias("mean"), (2.0 + C("beat_index") % 3).alias("amp"), F.lit(0.4).alias("systole"), F.lit(0.6).alias("diastole"))
     return rounded(bt.fitted_wave(f, fits, value="green_raw").select("session_id", "frame_idx", "sin_wave", "sin_amplitude"), "sin_wave")
 
