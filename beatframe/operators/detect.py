@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.quality import MIN_ISO, pair_valid
 from ..functions.scalars import FPS, augmentation_index, java_round, rel_ttp
-from .chunks import IDX, KEY, Halo, Lift, carry, ewma, fold, let, move, running_sum
+from .chunks import IDX, KEY, Halo, Lift, carry, cut, ewma, fold, let, move, running_sum
 from .conditioning import signal
 from .joins import asof_backward
 
@@ -248,7 +248,7 @@ def pair_history(kept: DataFrame) -> DataFrame:
     d = kept.groupBy(KEY, IDX).agg(F.max("t_ms").alias("t_ms"), F.max("ibi_ms").alias("ibi_ms"),
                                    of("v2p", "amp").alias("v2p_amp"), of("v2p", "dt").alias("v2p_dt"),
                                    of("p2v", "amp").alias("p2v_amp"), of("p2v", "dt").alias("p2v_dt"))
-    d = carry(d, ["v2p_amp", "v2p_dt", "p2v_amp", "p2v_dt"])
+    d = carry(cut(d), ["v2p_amp", "v2p_dt", "p2v_amp", "p2v_dt"])  # read twice
     zero = F.lit(0.0)
     rel = lambda c: F.when(F.col(c).isNotNull(), rel_ttp(F.col(c).cast("double"), F.col("ibi_ms"))).otherwise(zero)
     return d.select(KEY, IDX, "t_ms", F.coalesce("v2p_amp", zero).alias("v2p_amp"),
