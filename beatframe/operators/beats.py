@@ -82,14 +82,11 @@ def sine_peaks(states: DataFrame) -> DataFrame:
     """
     gated = states.where("gidx is not null").select(KEY, IDX, "gidx", "t_ms", "green",
                                                     F.col("smoothed_prev").alias("smoothed"))
-    cands = strict_peaks(gated, idx="gidx").where("is_peak").select(
-        KEY, IDX, "gidx", "t_ms", "smoothed", F.col("peak_t").alias("t_peak"))
-    h = Halo(gated, back=BUFFER, idx="gidx")
-    sample = F.struct(F.col("t_ms").alias("t"), F.col("green").alias("v"))
-    early = h.spread(gated.where("smoothed <= 0"))
-    early = h.trim(early.withColumn("early", F.collect_list(sample).over(h.rows(1 - BUFFER, 0)))).select(
-        KEY, "gidx", "early")
-    cands = cands.join(early, [KEY, "gidx"], "left")
+    # before the frame path knows an interval, a peak's samples are needed; those frames come first, so they can be searched apart
+    cands = strict_peaks(gated, idx="gidx").where("is_peak and not coalesce(smoothed <= 0, false)")
+    early = strict_peaks(gated.where("smoothed <= 0"), idx="gidx", newest=BUFFER).where("is_peak")
+    cands = cands.withColumn("newest", F.lit(None).cast(early.schema["newest"].dataType)).unionByName(early).select(
+        KEY, IDX, "gidx", "t_ms", "smoothed", F.col("peak_t").alias("t_peak"), F.col("newest").alias("early"))
     rows = cands.withColumn("path", F.explode(F.array(*[F.lit(p) for p in PATHS])))
     init = F.struct(F.lit(None).cast("bigint"), F.lit(None).cast("bigint"), F.lit(0.0), F.lit(0.0))
     # ``path`` is both a key and part of the item

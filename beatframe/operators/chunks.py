@@ -284,12 +284,14 @@ def _real_starts(chunks: Column, state: str, lift: Lift) -> Column:
 
 
 def fold(rows: DataFrame, order: str, item: Sequence[str], init: Column, step: Step, state: str, out: str,
-         key=KEY, items: int | None = None, tail: int = FOLD_TAIL, lift: Lift | None = None) -> DataFrame:
+         key=KEY, items: int | None = None, tail: int = FOLD_TAIL, lift: Lift | None = None, chunk_col: str | None = None) -> DataFrame:
     """Run a state machine along ``order`` (unique per key) and return its output rows.
 
-    ``step(state, item)`` returns ``move(next state, output struct or null)``.  Arrays are bounded by ``items`` and
-    ``tail``.  Only keys with more than one chunk need checking; their chunks are run again until every chunk
-    starts from the real end of the one before, so the result equals one pass over the whole key.
+    ``step(state, item)`` returns ``move(next state, output struct or null)``.  Rows are shuffled once, into one array per key
+    and span of ``order`` (``beatframe.chunkRows``); arrays are cut into chunks of at most ``items`` rows.  Only keys with more
+    than one chunk need checking; their chunks are run again until every chunk starts from the real end of the one before, so
+    the result equals one pass over the whole key.  Keys with a single chunk run where they are stored.  ``chunk_col`` names the
+    chunk column of ``order`` that the rows are already partitioned by (left by ``Halo.trim``); then they aren't shuffled.
 
     With ``lift`` a chunk that started from a wrong guess runs again only if a decision in it hangs on that: otherwise its end follows from
     its note, and one pass over a key's chunk summaries carries the real state through all of them.  ``fold.rounds`` tells how often
@@ -297,24 +299,25 @@ def fold(rows: DataFrame, order: str, item: Sequence[str], init: Column, step: S
     """
     keys = _keys(key)
     items = items or int(rows.sparkSession.conf.get("beatframe.foldItems", str(FOLD_ITEMS)))
-    rows = cut(rows.select(*keys, order, *[c for c in item if c != order]))
-    # one ordinal over the stored candidates gives dense chunks of equal size
-    numbered = _ordinal(rows, order, keys, items)
-    payload = F.struct(F.col(order).alias("_o"), *[F.col(c) for c in item])
-    parts = (numbered.groupBy(*keys, "_c").agg(F.array_sort(F.collect_list(payload)).alias("arr")))
+    fold.rounds = 0
+    first = F.col(order) if order in item else F.col(order).alias("_o")
+    payload = F.struct(first, *[F.col(c) for c in item if c != order])
+    span = F.col(chunk_col) if chunk_col else floor_div(F.col(order), chunk_rows(rows))
+    spans = rows.dropna(subset=[*keys, order]).select(*keys, span.alias("_s"), payload.alias("p"))
+    spans = cut(spans.groupBy(*keys, "_s").agg(F.array_sort(F.collect_list("p")).alias("arr")).withColumn("_k", F.ceil(F.size("arr") / items)))
     result = lambda d, start: d.select(
         *keys, F.explode(_run(F.col("arr"), start, step, state, out)["o"]).alias("r")).select(*keys, "r.*")
 
-    many = numbered.where(F.col("_c") > 0).limit(1).count() > 0
-    if not many:
-        return result(parts, init)
-
-    parts = cut(parts)
+    many = spans.groupBy(*keys).agg(F.sum("_k").alias("_n")).where("_n > 1").select(*keys)
+    if many.limit(1).count() == 0:
+        return result(spans, init)
+    many = cut(many)
+    single = result(spans.join(many, keys, "left_anti"), init)
+    parts = cut(_pieces(spans.join(many, keys, "left_semi"), keys))
     tails = parts.select(*keys, (F.col("_c") + 1).alias("_c"), F.slice("arr", -F.least(F.size("arr"), F.lit(tail)),
                                                                      F.least(F.size("arr"), F.lit(tail))).alias("t"))
     guess = parts.join(tails, [*keys, "_c"], "left").withColumn(
         "start", F.when(F.col("_c") == 0, init.cast(state)).otherwise(_run(F.col("t"), init, step, state, None)))
-    fold.rounds = 0
     if lift is not None:
         noted = lambda d: d.select(*keys, "_c", "start", _run_noted(F.col("arr"), F.col("start"), step, state, lift).alias("r")).select(
             *keys, "_c", "start", F.col("r.s").alias("end"), F.col("r.l").alias("l"))
@@ -325,7 +328,7 @@ def fold(rows: DataFrame, order: str, item: Sequence[str], init: Column, step: S
             real = cut(real)
             again = real.where("again").drop("again")
             if again.limit(1).count() == 0:
-                return result(parts.join(real.drop("again"), [*keys, "_c"]), F.col("start"))
+                return single.unionByName(result(parts.join(real.drop("again"), [*keys, "_c"]), F.col("start")))
             fold.rounds += 1
             redone = noted(again.join(parts, [*keys, "_c"]))
             ends = cut(ends.join(again.select(*keys, "_c"), [*keys, "_c"], "left_anti").unionByName(redone))
@@ -341,14 +344,16 @@ def fold(rows: DataFrame, order: str, item: Sequence[str], init: Column, step: S
         redone = again.join(parts, [*keys, "_c"]).select(
             *keys, "_c", "start", _run(F.col("arr"), F.col("start"), step, state, None).alias("end"))
         ends = cut(ends.join(again.select(*keys, "_c"), [*keys, "_c"], "left_anti").unionByName(redone))
-    return result(parts.join(ends.select(*keys, "_c", "start"), [*keys, "_c"]), F.col("start"))
+    return single.unionByName(result(parts.join(ends.select(*keys, "_c", "start"), [*keys, "_c"]), F.col("start")))
 
 
 fold.rounds = 0
 
 
-def _ordinal(rows: DataFrame, order: str, keys: list[str], items: int) -> DataFrame:
-    """Split a key's rows into consecutive chunks of about ``items`` rows, numbered without gaps."""
-    span = chunk_rows(rows)
-    ranked = running_sum(rows, {"_ord": F.lit(1)}, keys, order, span)
-    return ranked.withColumn("_c", floor_div(F.col("_ord") - 1, items)).drop("_ord")
+def _pieces(spans: DataFrame, keys: list[str]) -> DataFrame:
+    """Arrays of spans (``_s``) cut into ``_k`` consecutive chunks of near equal size, numbered without gaps per key."""
+    before = Window.partitionBy(*keys).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    base = spans.select(*keys, "_s", "_k").withColumn("_b", F.coalesce(F.sum("_k").over(before), F.lit(0))).drop("_k")
+    size = F.ceil(F.size("arr") / F.col("_k")).cast("int")
+    piece = lambda j: F.struct((F.col("_b") + j).alias("_c"), F.slice("arr", (j * size + 1).cast("int"), size).alias("arr"))
+    return spans.join(base, [*keys, "_s"]).select(*keys, F.inline(F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("_k") - 1), piece)))

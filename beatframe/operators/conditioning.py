@@ -101,12 +101,13 @@ def signal(frames: DataFrame, logic: str = "1", chunk: int | None = None, keep_c
     return h.trim(d, keep_chunk)
 
 
-def strict_peaks(samples: DataFrame, idx: str = IDX, value: str = "green", chunk: int | None = None) -> DataFrame:
+def strict_peaks(samples: DataFrame, idx: str = IDX, value: str = "green", chunk: int | None = None, newest: int = 0) -> DataFrame:
     """Seven-point local maxima, decided three samples late.
 
-    Adds ``is_peak`` and, for the centre sample, ``peak_v`` and ``peak_t`` (parabolic time).
+    Adds ``is_peak`` and, for the centre sample, ``peak_v`` and ``peak_t`` (parabolic time); with ``newest`` also that many
+    samples up to the row as ``newest``.
     """
-    h = Halo(samples, back=10, idx=idx, chunk=chunk)
+    h = Halo(samples, back=max(10, newest), idx=idx, chunk=chunk)
     d, w = h.spread(samples), h.window
     v = F.col(value)
     d = d.select("*", *[F.lag(value, k).over(w).alias(f"_g{k}") for k in range(1, 7)],
@@ -125,6 +126,9 @@ def strict_peaks(samples: DataFrame, idx: str = IDX, value: str = "green", chunk
          .withColumn("peak_v", F.when(F.col("is_peak"), c))
          .withColumn("peak_t", F.when(F.col("is_peak"), peak_time_ms("_g4", "_g3", "_g2", base)))
          .drop("_lo", "_hi", "_tc", *[f"_g{k}" for k in range(1, 7)]))
+    if newest:
+        sample = F.struct(F.col("t_ms").alias("t"), v.alias("v"))
+        d = d.withColumn("newest", F.collect_list(sample).over(h.rows(1 - newest, 0)))
     return h.trim(d)
 
 

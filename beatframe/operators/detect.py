@@ -164,21 +164,19 @@ def smooth_ibi(beats: DataFrame, ibi: str = "ibi_ms", order: str = "beat_index")
 def frame_state(sig: DataFrame, peaks: DataFrame) -> DataFrame:
     """Interval and smoothed interval known at the end of each frame (0 before the first beat).
 
-    ``smoothed_prev`` is the smoothed value one frame earlier; ``is_beat`` marks frames that close a beat.
+    ``smoothed_prev`` is the smoothed value one frame earlier; ``is_beat`` marks frames that close a beat.  Beats are sorted in
+    among the frames of their chunk, so frames are shuffled once and joined by no frame number.
     """
-    b = peaks.where("valid").select(KEY, IDX, F.col("ibi_ms").alias("_i"), F.col("smoothed_ibi_ms").alias("_s"),
-                                    F.col("smoothed_before").alias("_b"), "bpm", "bpm_sd")
-    d = sig.join(b, [KEY, IDX], "left").withColumn("is_beat", F.col("_i").isNotNull())
-    d = d.withColumn("_before", F.col("_b"))
-    d = carry(d, ["_i", "_s", "bpm", "bpm_sd"])
-    zero = F.lit(0.0)
-    return (d.withColumn("ibi_ms", F.coalesce("_i", zero)).withColumn("smoothed_ibi_ms", F.coalesce("_s", zero))
-            .withColumn("smoothed_prev", F.when(F.col("is_beat"), F.col("_before")).otherwise(F.coalesce("_s", zero)))
-            .withColumn("bpm", F.coalesce("bpm", zero)).withColumn("bpm_sd", F.coalesce("bpm_sd", zero))
-            .drop("_i", "_s", "_b", "_before"))
+    b = peaks.where("valid").select(KEY, IDX, F.col(IDX).alias("_at"), F.col("ibi_ms").alias("_i"), F.col("smoothed_ibi_ms").alias("_s"),
+                                    F.col("smoothed_before").alias("_b"), F.col("bpm").alias("_bpm"), F.col("bpm_sd").alias("_sd"))
+    d = asof_backward(sig, b, ["_at", "_i", "_s", "_b", "_bpm", "_sd"])
+    zero, beat = F.lit(0.0), F.coalesce(F.col("_at") == F.col(IDX), F.lit(False))
+    smoothed = F.coalesce("_s", zero)
+    return d.select(*sig.columns, F.coalesce("_bpm", zero).alias("bpm"), F.coalesce("_sd", zero).alias("bpm_sd"), beat.alias("is_beat"),
+                    F.coalesce("_i", zero).alias("ibi_ms"), smoothed.alias("smoothed_ibi_ms"), F.when(beat, F.col("_b")).otherwise(smoothed).alias("smoothed_prev"))
 
 
-def local_extremes(states: DataFrame, chunk: int | None = None, max_interval_s: float = MAX_INTERVAL_S) -> DataFrame:
+def local_extremes(states: DataFrame, chunk: int | None = None, max_interval_s: float = MAX_INTERVAL_S, keep_chunk: bool = False) -> DataFrame:
     """Best valley and peak of the rise and fall searches, for frames that run the search.
 
     Search ranges count frames back and follow the current interval.  ``max_interval_s`` bounds them; a row with a longer
@@ -191,7 +189,7 @@ def local_extremes(states: DataFrame, chunk: int | None = None, max_interval_s:
     span = h.rows(-reach, -2)
     d = d.select("*", F.collect_list(F.when(F.col("is_low"), point)).over(span).alias("_lows"),
                  F.collect_list(F.when(F.col("is_high"), point)).over(span).alias("_highs"))
-    d = h.trim(d).where("gidx is not null and not is_beat")
+    d = h.trim(d, keep_chunk).where("gidx is not null and not is_beat")
     n = F.least(java_round(F.col("ibi_ms") / (1000.0 / FPS)) + 10, F.lit(RING - 5))
     n = F.when(n - 3 <= reach, n).otherwise(F.raise_error(F.lit(f"an interval is longer than max_interval_s = {max_interval_s}")))
     d = d.withColumn("_n", n).withColumn("_half", F.floor(F.col("_n") / 2).cast("bigint"))
@@ -221,8 +219,8 @@ def valid_pairs(ext: DataFrame) -> DataFrame:
                                    F.col("ibi_ms"), STEP_MS).alias("ok"))
 
     both = F.filter(F.array(rows("v2p"), rows("p2v")), lambda r: r["ok"])
-    return ext.select(KEY, IDX, "t_ms", "ibi_ms", F.explode(both).alias("r")).select(
-        KEY, IDX, "t_ms", "ibi_ms", "r.kind", "r.amp", "r.dt", "r.gap")
+    keep = [KEY, IDX, "t_ms", "ibi_ms", *[c for c in ext.columns if c == "_chunk"]]
+    return ext.select(*keep, F.explode(both).alias("r")).select(*keep, "r.kind", "r.amp", "r.dt", "r.gap")
 
 
 def debounce_pairs(pairs: DataFrame) -> DataFrame:
@@ -239,7 +237,8 @@ def debounce_pairs(pairs: DataFrame) -> DataFrame:
             move(a, F.lit(None).cast(out)))
 
     none = F.struct(F.lit(None).cast("bigint"), F.lit(None).cast("double"), F.lit(None).cast("bigint")).cast(state)
-    return fold(pairs, IDX, [IDX, "t_ms", "ibi_ms", "amp", "dt", "gap"], none, step, state, out, key=[KEY, "kind"])
+    return fold(pairs, IDX, [IDX, "t_ms", "ibi_ms", "amp", "dt", "gap"], none, step, state, out, key=[KEY, "kind"],
+                chunk_col="_chunk" if "_chunk" in pairs.columns else None)
 
 
 def pair_history(kept: DataFrame) -> DataFrame:
@@ -261,7 +260,7 @@ MORPHOLOGY = ["v2p_amp", "p2v_amp", "v2p_rel", "p2v_rel", "ai"]
 
 
 def morphology(states: DataFrame) -> DataFrame:
-    return pair_history(debounce_pairs(valid_pairs(local_extremes(states))))
+    return pair_history(debounce_pairs(valid_pairs(local_extremes(states, keep_chunk=True))))
 
 
 def with_morphology(rows: DataFrame, morph: DataFrame, inclusive: bool = False) -> DataFrame:

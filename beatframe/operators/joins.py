@@ -25,6 +25,15 @@ def asof_backward(left: DataFrame, right: DataFrame, cols: Sequence[str], on: st
         *left.columns, *[F.col("_hit")[c].alias(c) for c in cols])
 
 
+def asof_each(left: DataFrame, right: DataFrame, cols: Sequence[str], on: str = IDX, key=KEY, chunk: int | None = None) -> DataFrame:
+    """For each left row and each of ``cols`` the last value that isn't null on a right row at or before it, in one sort."""
+    keys, cols = _keys(key), list(cols)
+    r = right.select(*keys, on, F.lit(0).alias("_side"), *cols)
+    l = left.select("*", F.lit(1).alias("_side"))
+    out = carry(l.unionByName(r, allowMissingColumns=True), cols, keys, on, chunk, order=[F.col(on), F.col("_side")])
+    return out.where("_side = 1").select(*left.columns, *cols)
+
+
 def asof_nearest(left: DataFrame, right: DataFrame, on: str, cols: Sequence[str], key=KEY, tol: int | None = None,
                  first: Sequence[str] = (), chunk: int = 3_600 * SECOND_MS) -> DataFrame:
     """Nearest right row by ``|left.on - right.on|``; the earlier one wins a tie, ``first`` orders equal times.

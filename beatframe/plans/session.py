@@ -16,10 +16,14 @@ from ..operators import beats as bt, detect as det, replay as rp
 from ..operators.aggregates import CONTEXT, beat_clock, beat_context, on_run_rms
 from ..operators.chunks import IDX, KEY, cut
 from ..operators.conditioning import signal
-from ..operators.joins import align, asof_backward, assign_beat
+from ..operators.joins import align, asof_each, assign_beat
 from ..sources.tables import post_columns
 
 
+#: Columns of conditioned frames that later stages read.
+STATE = (KEY, IDX, "gidx", "t_ms", "iso", "phase", "ring", "green", "is_low", "is_high")
+
+
 @dataclass(frozen=True)
 class Session:
     """Stored stages of one run over a frame table."""
@@ -31,10 +35,12 @@ class Session:
 
 def analyse(frames: DataFrame, logic: str = "1") -> Session:
     gated = "iso" in frames.columns
-    sig = cut(det.gated_index(signal(frames, logic, keep_chunk=gated), "_chunk" if gated else None))
+    sig = det.gated_index(signal(frames, logic, keep_chunk=gated), "_chunk" if gated else None)
+    sig = cut(sig.select(*[c for c in (*STATE, "is_cand", "t_peak") if c in sig.columns]))
     peaks = cut(det.accept_peaks(sig.where("is_cand and gidx is not null")))
-    states = cut(det.frame_state(sig, peaks))
-    return Session(states, peaks, cut(det.morphology(states)), cut(bt.sine_beats(states, cut(bt.sine_peaks(states)))))
+    states = cut(det.frame_state(sig.drop("is_cand", "t_peak"), peaks))
+    sine = bt.sine_beats(states, cut(bt.sine_peaks(states))).drop("samples", "peak_phase_ms", "phase_offset_ms")
+    return Session(states, peaks, cut(det.morphology(states)), cut(sine))
 
 
 def score_m1(s: Session) -> DataFrame:
@@ -84,18 +90,44 @@ def beat_rows(s: Session) -> DataFrame:
     """One row per change of the frame-level interval, and one for the first gated frame of each session."""
     gated = s.states.where("gidx is not null")
     keep = [c for c in (KEY, IDX, "gidx", "t_ms", "ibi_ms", "smoothed_ibi_ms", "bpm", "bpm_sd", "iso", "phase") if c in gated.columns]
-    return det.beat_index(det.new_beats(gated.select(*keep), order="gidx"))
-
-
-def scored_beats(s: Session) -> DataFrame:
-    """Beat rows with the latest result of each method as of their frame."""
-    d = beat_rows(s)
-    m1 = score_m1(s).select(KEY, IDX, F.struct("M1", "hr", "v2p_amp", "v2p_rel", "p2v_rel", "ai").alias("m1_row"))
-    d = asof_backward(d, m1, ["m1_row"])
-    for method in ("M2", "M3"):
-        x = score_sine(s, method)
-        d = asof_backward(d, x.select(KEY, IDX, sine_row(method).alias(f"{method.lower()}_row")), [f"{method.lower()}_row"])
-    return with_variants(d)
+    marks = det.dense_from(gated.where("is_beat or gidx = 0").select(*keep), "gidx")  # the interval changes on these frames only
+    return det.beat_index(cut(det.new_beats(marks, order="_ord").drop("_ord")))  # read twice
+
+
+def scored_beats(s: Session, slim: bool = False) -> DataFrame:
+    """Beat rows with the latest result of each method as of their frame.
+
+    What the methods read comes to the beat rows, all three in one sort, and is scored there, so no scores or terms are shuffled.
+    With ``slim`` the rows of the sine methods hold of the wave only what the variants read.
+    """
+    beats = beat_rows(s)
+    peak = s.peaks.where("valid").select(KEY, IDX, F.struct("smoothed_before", "interval_ms").alias("m1_in"))
+    stats = F.struct(F.col("stats.range").alias("range")).alias("stats") if slim else F.col("stats")
+
+    def read(method: str) -> Column:
+        path, fit = ("D", "fit_d") if method == "M2" else ("M", "fit_m")
+        cols = ["smoothed", "beat_ibi_ms", "beat_reason", *(["e"] if method == "M2" else []), *([] if slim and method == "M2" else [fit])]
+        kept = [stats] if slim and method == "M2" else [] if slim else [stats, F.col("ratio")]
+        return F.when(F.col("path") == path, F.struct(*[F.col(c) for c in cols], *kept)).alias(f"{method.lower()}_in")
+    events = peak.unionByName(s.sine.select(KEY, IDX, read("M2"), read("M3")), allowMissingColumns=True)
+    events = cut(det.with_morphology(events, s.morph))  # read twice
+    morph = F.struct(*det.MORPHOLOGY)
+    feeds = {"M1": "m1_in", "M2": "m2_in", "M3": "m3_in"}
+    given = events.select(KEY, IDX, *feeds.values(), *[F.when(F.col(f"m{i}_in").isNotNull(), morph).alias(f"m{i}_morph") for i in (1, 2)])
+    d = asof_each(beats, given, [*feeds.values(), "m1_morph", "m2_morph"])
+    for method, feed in feeds.items():
+        fields = [F.col(feed)[c].alias(c) for c in given.schema[feed].dataType.names]
+        if method != "M3":
+            fields += [F.col(f"{method.lower()}_morph")[c].alias(c) for c in det.MORPHOLOGY]
+        x = d.select(*d.columns, *fields)
+        x = timing_scored(x) if method == "M1" else sine_scored(x, method)
+        row = F.struct("M1", "hr", "v2p_amp", "v2p_rel", "p2v_rel", "ai") if method == "M1" else slim_row(method) if slim else sine_row(method)
+        d = x.select(*d.columns, F.when(F.col(feed).isNotNull(), row).alias(f"{method.lower()}_row"))
+    return with_variants(d.drop(*feeds.values(), "m1_morph", "m2_morph"))
+
+
+def slim_row(method: str) -> Column:
+    return F.struct(method, "hr", "stats", "v2p_amp", "v2p_rel", "p2v_rel", "e") if method == "M2" else F.struct(method, "hr")
 
 
 def sine_row(method: str) -> Column:
@@ -153,9 +185,13 @@ def _variant_columns(kind: str) -> list[Column]:
 
 def training_table(frames: DataFrame, imu: DataFrame | None = None, coef: DataFrame | None = None, models: dict | None = None,
                    blend: dict | None = None, logic: str = "1", session: Session | None = None) -> DataFrame:
-    """Widest output: session context, three methods with terms and postprocess, variants, baselines, beat context."""
+    """Widest output: session context, three methods with terms and postprocess, variants, baselines, beat context.
+
+    Frames are read by the analysis and twice by the beat context, so they are stored first.
+    """
+    frames = cut(frames)
     s = session or analyse(frames, logic)
-    scored = cut(scored_beats(s))
+    scored = cut(scored_beats(s, slim=True).drop("m1_row", "m2_row", "m3_row"))
     table = training_rows(scored, coef, models, blend)
     present = [c for c in CONTEXT if c in frames.columns]
     marks = scored.select(KEY, IDX, "beat_index")
