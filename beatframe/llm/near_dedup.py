@@ -11,6 +11,7 @@ compared with every block.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -256,6 +257,20 @@ def links(rows: DataFrame, prepare: Callable, block_rows: int, part_rows: int, n
 
 
 # ---------------------------------------------------------------- the operator
+def fetch_texts(docs: DataFrame, asked: DataFrame, n: int, most: int = 500_000, pieces: int = 8) -> DataFrame:
+    """Inner join of (doc_id, th, text) with ``n`` rows (rep_id, rep_th, node, ...) that ask for a text.
+
+    Few texts are asked for, so up to ``pieces`` times ``most`` rows (about 50 MB each) are broadcast, a scan of the texts for each,
+    and no text is shuffled; more rows are joined by key.
+    """
+    same = F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.col("th") == F.col("rep_th"))
+    parts = max(1, -(-n // most))
+    if parts > pieces:
+        return docs.join(asked, same)
+    cuts = [asked.where(F.pmod(F.xxhash64("node"), F.lit(parts)) == i) for i in range(parts)] if parts > 1 else [asked]
+    return reduce(DataFrame.unionByName, [docs.join(F.broadcast(c), same) for c in cuts])
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, percent: int = 85, deviations: float = 5.0,
                     block_rows: int = 4096, part_rows: int = 50_000, heavy: int = 1000, one_task: int = 0) -> DataFrame:
     """doc_id, text_hash, n_shingles, component_id, kept and label for every row.
@@ -286,7 +301,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sizes = loose.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
     members = stage(attach(loose, sizes, ["label"], F.xxhash64("node"), total, heavy).join(nodes.select("node", "rep"), "node"), "members", n_docs)
     asked = members.select("node", F.col("label").alias("grp"), F.col("rep.doc_id").alias("rep_id"), F.col("rep.th").alias("rep_th")).distinct()
-    texts = d.where("text IS NOT NULL").join(asked, F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.col("th") == F.col("rep_th")))
+    texts = fetch_texts(d.where("text IS NOT NULL"), asked, members.count())
     sets = texts.select("grp", "node", "text").mapInArrow(set_documents(shingle), "grp binary, node binary, body binary").dropDuplicates(["node"])
     exact = stage(sets.join(members.select("node", "n"), "node").select("grp", "n", "node", "body"), "sets", n_docs, 2_000)
     label = components(links(exact, set_links(percent), max(1, block_rows // 8), max(1, part_rows // 32), "exact", one_task), heavy, one_task=one_task)

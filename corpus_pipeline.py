@@ -16,6 +16,8 @@ KEEP = 0.5
 ALONE = 10
 #: Link tables of near copies up to this many rows are contracted in one task (about 100 MB); larger ones by rounds of joins.
 ONE_TASK = 500_000
+#: Up to this many texts that go as near copies are broadcast (ids and hashes); more are joined by key, which shuffles all texts.
+FEW = 1_000_000
 
 
 def with_text(row: Column, names: list[str]) -> Column:
@@ -61,13 +63,16 @@ def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     same_text = ["doc_id", "text_hash"]
     near = near_duplicates(docs, shingle=5, percent=80, one_task=ONE_TASK)
     gone = shortened_copies(docs, spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    texts = near.groupBy("label", *same_text).agg(F.count(F.lit(1)).alias("rows")).join(gone, same_text, "left_anti")
+    every = stage(near.groupBy("label", *same_text).agg(F.count(F.lit(1)).alias("rows")), "every")
+    texts = every.join(gone, same_text, "left_anti")
     alone = F.when(F.col("label").isNull(), F.struct("doc_id", "text_hash"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("late"), F.col("doc_id").alias("k_id"), F.col("text_hash").alias("k_hash"), "rows"))
     kept = texts.groupBy("label", alone.alias("alone")).agg(first.alias("first")).select("first.k_id", "first.k_hash", "first.rows")
-    same = F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.xxhash64("text") == F.col("k_hash"))
     kept = stage(kept, "kept")
-    out = docs.join(kept, same, "left_semi")
+    copy = F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("text_hash") == F.col("k_hash"))
+    dropped = stage(every.join(kept, copy, "left_anti").select(F.col("doc_id").alias("d_id"), F.col("text_hash").alias("d_hash")), "dropped")
+    same = F.col("doc_id").eqNullSafe(F.col("d_id")) & (F.xxhash64("text") == F.col("d_hash"))
+    out = docs.join(F.broadcast(dropped) if dropped.count() <= FEW else dropped, same, "left_anti")
     if not kept.where("rows > 1").isEmpty():  # repeated rows of one id and text
         out = out.dropDuplicates(["doc_id", "text"])
     return out
