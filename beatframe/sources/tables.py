@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from ..functions.models import ALPHA_MAP, ALPHA_PP, CALIBRATION, PRESSURE_DBP, PRESSURE_SBP
 from ..functions.scalars import elapsed_s, sanitize_csv, wall_iso
 from ..operators.chunks import KEY, cut, dense_index, floor_div
+from .files import file_tasks, write_keyed
 
 # File formats (column, decimals; None prints as is).
 FRAME_FORMAT = (("elapsed_s", 3), ("green", 2), ("sin_wave", 2), ("y_mean", 2), ("u_mean", 2), ("v_mean", 2),
@@ -52,15 +53,6 @@ def _read(spark: SparkSession, path: str, fmt, kind: str) -> DataFrame:
     return d.withColumn(KEY, F.when(folder != "", folder).otherwise(F.regexp_extract(file, rf"([^/]+)_{kind}\.csv$", 1)))
 
 
-#: Each task moves the files it wrote when it ends, instead of the driver one after another at the end of the job.
-TASKS_MOVE = {"mapreduce.fileoutputcommitter.algorithm.version": "2"}
-
-
-def file_tasks(spark: SparkSession) -> int:
-    """Tasks to write many small files with: a fixed number, as partitions merged by their size would leave all files to one task."""
-    return max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-
-
 def _write(df: DataFrame, path: str, fmt, header, order: str, mirror: str | None) -> None:
     """One folder per session; the file separator is a comma and a space.
 
@@ -70,12 +62,11 @@ def _write(df: DataFrame, path: str, fmt, header, order: str, mirror: str | None
     cols = [c for c in text.columns if c != KEY]
     padded = text.select(KEY, cols[0], *[F.concat(F.lit(" "), F.col(c)).alias(f" {c}") for c in cols[1:]])
     padded = cut(padded.withColumn("_o", F.col(cols[0]).cast("double")))  # a sample finds the ranges; without this all before it runs twice
-    padded = padded.repartitionByRange(file_tasks(spark), KEY, "_o").sortWithinPartitions(KEY, "_o").drop("_o")
+    padded = padded.repartitionByRange(file_tasks(spark), KEY, "_o")
     if mirror:
-        padded = cut(padded)
+        padded = cut(padded.sortWithinPartitions(KEY, "_o"))
     for target in filter(None, (path, mirror)):
-        padded.write.mode("overwrite").partitionBy(KEY).options(**TASKS_MOVE).option("header", True).option(
-            "ignoreLeadingWhiteSpace", False).option("quoteAll", False).csv(target)
+        write_keyed(padded, target, [KEY], ["_o"], "overwrite", ignoreLeadingWhiteSpace=False, quoteAll=False)
 
 
 def read_frames(spark: SparkSession, path: str) -> DataFrame:

@@ -10,6 +10,13 @@ from .commits import _write as write_part, read_committed
 
 KINDS = ("Wave_Data", "Training_Data", "IMU_Data")
 FILE = "path string, modificationTime timestamp, length bigint, content binary"
+LISTING = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+
+
+def list_in_few_tasks(spark: SparkSession) -> None:
+    """Folders and files are listed in a few tasks a core, where the session says nothing else: Spark makes a task for each, up to 10,000 a listing."""
+    if LISTING not in spark.conf.getAll:
+        spark.conf.set(LISTING, str(4 * spark.sparkContext.defaultParallelism))
 
 
 def landed_files(spark: SparkSession, folder: str, per_batch: int = 100_000) -> DataFrame:
@@ -18,6 +25,7 @@ def landed_files(spark: SparkSession, folder: str, per_batch: int = 100_000) ->
     Names are ``<session>_<kind>.csv``, or folders ``session_id=<session>/kind=<kind>`` hold the parts of a file. Other files and empty
     ones are left out; files have to be moved into ``folder`` whole, as each path is seen once.
     """
+    list_in_few_tasks(spark)
     d = (spark.readStream.schema(FILE).format("binaryFile").option("pathGlobFilter", "*.csv").option("recursiveFileLookup", True)
          .option("maxFilesPerTrigger", per_batch).load(folder))
     kinds = "|".join(KINDS)

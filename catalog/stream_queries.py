@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from beatframe.functions.scalars import utc_timestamp
 from beatframe.operators.chunks import ensure_checkpoint_dir
-from beatframe.sources import tables as t
+from beatframe.sources import files, tables as t
 from beatframe.streaming import commits, landing, live, sessions
 from .base import EV, LI, query, r6, rounded, table
 from .model_queries import score_sql
@@ -142,6 +142,7 @@ def landed(spark, sf):
     ensure_checkpoint_dir(spark)
     base = f"{spark.sparkContext.getCheckpointDir()}/landed-{uuid.uuid4().hex}"
     e = table(spark, sf, "events").where("value > 60").withColumn("kind", F.expr("CASE event_type WHEN 'click' THEN 'Wave_Data' WHEN 'view' THEN 'Training_Data' ELSE 'IMU_Data' END"))
-    e.select(C("user_id").alias("session_id"), "kind", "event_id", "value").repartition(t.file_tasks(spark), "session_id", "kind").write.options(**t.TASKS_MOVE).partitionBy("session_id", "kind").csv(f"{base}/in", header=True)
+    e = e.select(C("user_id").alias("session_id"), "kind", "event_id", "value").repartition(files.file_tasks(spark), "session_id", "kind")
+    files.write_keyed(e, f"{base}/in", ["session_id", "kind"])
     landing.ingest_landed(landing.landed_files(spark, f"{base}/in"), f"{base}/ledger").trigger(availableNow=True).start().awaitTermination()
     return landing.read_ledger(spark, f"{base}/ledger").select(C("session_id").cast("bigint").alias("session_id"), "has_imu")
