@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from ..functions.models import ALPHA_MAP, ALPHA_PP, CALIBRATION, PRESSURE_DBP, PRESSURE_SBP
 from ..functions.scalars import elapsed_s, sanitize_csv, wall_iso
 from ..operators.chunks import KEY, cut, dense_index, floor_div
-from .files import file_tasks, write_keyed
+from .files import file_tasks, list_in_few_tasks, write_keyed
 
 # File formats (column, decimals; None prints as is).
 FRAME_FORMAT = (("elapsed_s", 3), ("green", 2), ("sin_wave", 2), ("y_mean", 2), ("u_mean", 2), ("v_mean", 2),
@@ -46,6 +46,7 @@ def formatted(df: DataFrame, fmt, header: Sequence[str] | None = None) -> DataFr
 
 def _read(spark: SparkSession, path: str, fmt, kind: str) -> DataFrame:
     """Rows of ``session_id=<name>`` folders or of flat ``<name>_<kind>.csv`` files."""
+    list_in_few_tasks(spark)
     d = spark.read.csv(path, schema=_schema(fmt), header=True, enforceSchema=True, ignoreLeadingWhiteSpace=True,
                        pathGlobFilter="*.csv")
     file = F.expr("url_decode(replace(_metadata.file_path, '+', '%2B'))")
@@ -71,8 +72,8 @@ def _write(df: DataFrame, path: str, fmt, header, order: str, mirror: str | None
 
 def read_frames(spark: SparkSession, path: str) -> DataFrame:
     """Frames as the detector takes them: file columns, ``t_ms``, ``t_ns`` and a dense ``frame_idx`` in time order."""
-    d = _read(spark, path, FRAME_FORMAT, "Wave_Data").withColumn(
-        "t_ms", F.round(F.coalesce("elapsed_s", F.lit(0.0)) * 1000).cast("bigint")).withColumn("t_ns", F.col("t_elapsed_ns"))
+    d = cut(_read(spark, path, FRAME_FORMAT, "Wave_Data").withColumn(
+        "t_ms", F.round(F.coalesce("elapsed_s", F.lit(0.0)) * 1000).cast("bigint")).withColumn("t_ns", F.col("t_elapsed_ns")))  # as in read_imu
     return dense_index(d, [F.col("t_ms"), F.col("t_ns")], floor_div(F.col("t_ms"), 60_000))
 
 

@@ -6,17 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.chunks import KEY
 from ..operators.evaluate import ingest
+from ..sources.files import list_in_few_tasks
 from .commits import _write as write_part, read_committed
 
 KINDS = ("Wave_Data", "Training_Data", "IMU_Data")
 FILE = "path string, modificationTime timestamp, length bigint, content binary"
-LISTING = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
-
-
-def list_in_few_tasks(spark: SparkSession) -> None:
-    """Folders and files are listed in a few tasks a core, where the session says nothing else: Spark makes a task for each, up to 10,000 a listing."""
-    if LISTING not in spark.conf.getAll:
-        spark.conf.set(LISTING, str(4 * spark.sparkContext.defaultParallelism))
 
 
 def landed_files(spark: SparkSession, folder: str, per_batch: int = 100_000) -> DataFrame:

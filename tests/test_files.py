@@ -42,7 +42,7 @@ def test_no_checksum_files_and_whole_overwrite(spark, tmp_path):
 
 def test_folders_are_listed_in_few_tasks(spark, tmp_path):
     """40 folders made 40 tasks, and 90,000 make 10,000, three times a batch."""
-    spark.conf.unset(landing.LISTING)
+    spark.conf.unset(files.LISTING)
     rows = spark.range(0, 40, 1, 4).select(F.col("id").alias("session_id"), F.lit("Wave_Data").alias("kind"), "id")
     files.write_keyed(rows, str(tmp_path / "in"), ["session_id", "kind"])
     spark.sparkContext.setJobGroup("list", "list")
@@ -50,3 +50,13 @@ def test_folders_are_listed_in_few_tasks(spark, tmp_path):
     track = spark.sparkContext.statusTracker()
     stages = [s for j in track.getJobIdsForGroup("list") for s in track.getJobInfo(j).stageIds]
     assert d.isStreaming and 0 < max(track.getStageInfo(s).numTasks for s in stages) <= 16
+
+
+def test_frame_files_are_read_once(spark, tmp_path):
+    """The index reads its rows twice; the files were parsed twice for it."""
+    from beatframe.sources import tables as t
+
+    t.write_frames(spark.range(0, 60, 1, 4).select((F.col("id") % 3).alias("session_id"), F.col("id").alias("elapsed_s"), F.lit(1.0).alias("green")), str(tmp_path / "out"))
+    d = t.read_frames(spark, str(tmp_path / "out"))
+    assert "FileScan csv" not in d._jdf.queryExecution().toString()
+    assert sorted((r.session_id, r.frame_idx, r.t_ms) for r in d.collect()) == sorted((str(k), i, 1000 * (3 * i + k)) for k in range(3) for i in range(20))
